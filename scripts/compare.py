@@ -49,6 +49,16 @@ def rows_of(cols, rows, digits=None):
     return sorted(tuple(_norm(r[i], digits) for i in order) for r in rows)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+def _types(spark_df, rel):
+    a = {c: SPARK_TO_DUCK.get(t, t.upper()) for c, t in spark_df.dtypes}
+    b = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (a[c], b.get(c)) for c in a if a[c] != b.get(c)}
+
+
 def compare(spark_df, con, sql: str) -> dict:
     s_cols = spark_df.columns
     s_rows = [tuple(r) for r in spark_df.collect()]
@@ -57,6 +67,9 @@ def compare(spark_df, con, sql: str) -> dict:
     d_rows = rel.fetchall()
     out = {"cols_equal": sorted(s_cols) == sorted(d_cols), "spark_rows": len(s_rows),
            "duck_rows": len(d_rows)}
+    mism = _types(spark_df, rel)
+    if mism:
+        out["type_mismatch"] = mism
     if not out["cols_equal"]:
         out["spark_cols"], out["duck_cols"] = s_cols, d_cols
         return out
