@@ -24,7 +24,7 @@ class Analysis:
     code: str                       # SURVEY §2.A id
     run: Callable[..., DataFrame]   # (store, **params) -> DataFrame
     params: dict = field(default_factory=dict)
-    sql: str | None = None          # oracle template, ``{param}`` placeholders
+    sql: str | Callable[[dict], str] | None = None  # template (``{param}``) or builder
     web: bool = True                # which feed the oracle needs
     commerce: bool = False
 
@@ -34,7 +34,8 @@ class Analysis:
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        return with_feeds(self.sql.format(**self.params), web=self.web, commerce=self.commerce)
+        body = self.sql(self.params) if callable(self.sql) else self.sql.format(**self.params)
+        return with_feeds(body, web=self.web, commerce=self.commerce)
 
 
 # --- SQL snippets -----------------------------------------------------------
@@ -56,6 +57,10 @@ def cdif(cond: str, col: str = "website_session_id") -> str:
     return f"COUNT(DISTINCT CASE WHEN {cond} THEN {col} ELSE NULL END)"
 
 
+def sql_list(values) -> str:
+    return ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+
+
 def yr(c: str) -> str:
     return f"CAST(year({c}) AS INTEGER)"
 
