@@ -31,11 +31,13 @@ class Analysis:
     def __call__(self, store: Store) -> DataFrame:
         return self.run(store, **self.params)
 
-    def oracle(self) -> str | None:
+    def oracle(self, feeds: bool = True) -> str | None:
+        """The SQL oracle; with ``feeds=False`` it reads tables named like
+        the logical tables (``web_orders`` / ``store_orders`` for orders)."""
         if self.sql is None:
             return None
         body = self.sql(self.params) if callable(self.sql) else self.sql.format(**self.params)
-        return with_feeds(body, web=self.web, commerce=self.commerce)
+        return with_feeds(body, web=self.web and feeds, commerce=self.commerce and feeds)
 
 
 # --- SQL snippets -----------------------------------------------------------

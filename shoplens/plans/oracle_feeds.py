@@ -124,5 +124,5 @@ def with_feeds(body: str, web: bool = False, commerce: bool = False) -> str:
     ctes = [c.strip() for c, on in ((WEB_FEED, web), (COMMERCE_FEED, commerce)) if on]
     body = body.strip()
     if body.upper().startswith("SELECT"):
-        return "WITH " + ",\n".join(ctes) + "\n" + body
+        return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
     return "WITH " + ",\n".join(ctes + [body])

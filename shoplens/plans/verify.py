@@ -1,4 +1,5 @@
-"""Compare a Spark DataFrame with a DuckDB query result, order-insensitively.
+"""Compare a Spark DataFrame with a DuckDB query result, order-insensitively
+(used by tests and ``scripts/check_oracle.py``; DuckDB is imported lazily).
 
 Mirrors the correctness gate: same column names (sorted), same row count,
 same multiset of rows.  Floats are compared exactly and, separately, after
@@ -13,13 +14,13 @@ import hashlib
 import math
 import os
 
-import duckdb
-
 VIEWS = ("region nation customer supplier part orders lineitem events documents "
          "embeddings pages benchmark labels conversations").split()
 
 
-def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+def duck(sf_dir: str):
+    """A DuckDB connection with the driver's parquet tables as views."""
+    import duckdb
     con = duckdb.connect()
     for v in VIEWS:
         p = os.path.join(sf_dir, f"{v}.parquet")

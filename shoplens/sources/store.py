@@ -126,15 +126,17 @@ def materialize(spark: SparkSession, sf_dir: str, root: str | None = None) -> st
     return base
 
 
-def load_store(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Store:
-    """The store for ``sf_dir``; ``materialized=False`` keeps it lazy."""
+def load_store(spark: SparkSession, sf_dir: str, materialized: bool = True,
+               root: str | None = None) -> Store:
+    """The store for ``sf_dir``; ``materialized=False`` keeps it lazy.
+    ``root`` overrides the folder the tables are written under."""
     if not materialized:
         tables, _ = derive(spark, sf_dir)
         return Store(**tables)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), root)
     with _lock:
         if key not in _memo:
-            base = materialize(spark, sf_dir)
+            base = materialize(spark, sf_dir, root)
             _memo[key] = Store(**{
                 t: spark.read.schema(schemas.TABLES[t]).parquet(f"{base}/{t}")
                 for t in STORE_TABLES})
