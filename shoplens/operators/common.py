@@ -56,8 +56,51 @@ def n_sessions() -> Column:
     return F.count(F.col(SID))
 
 
-def first_in_window(cond: Column, *fields: str) -> Column:
-    """The row with the smallest pageview id among rows where ``cond`` holds,
-    as a struct (pageview id first); NULL when there is none.  An
-    aggregate, so a hot session is combined map-side."""
-    return F.min(F.when(cond, F.struct("website_pageview_id", *fields)))
+# --- URLs inside aggregates -----------------------------------------------------
+# A string in an aggregation buffer (min_by(url, id), min(struct(id, url)))
+# forces Spark into sort-based aggregation, i.e. sorting every pageview.
+# URLs therefore travel through aggregates as a 64-bit code, which keeps hash
+# aggregation.  Equality on codes is exact as long as no two distinct URLs
+# share a code; ``codes_unique`` checks that once per query (a scalar
+# subquery over the distinct URLs) and ``checked`` makes the query fail
+# rather than return a wrong row if it ever does not hold.
+
+URL = "pageview_url"
+
+
+def url_code(col: str = URL) -> Column:
+    """64-bit code of a URL; NULL for NULL."""
+    return F.when(F.col(col).isNotNull(), F.xxhash64(F.col(col)))
+
+
+def code_of(page: str) -> Column:
+    return F.xxhash64(F.lit(page))
+
+
+def url_dictionary(pageviews: DataFrame) -> DataFrame:
+    """Distinct (code, URL) pairs: one row per page of the site (hash
+    aggregation on keys, combined map-side)."""
+    return pageviews.select(url_code().alias("url_code"), F.col(URL).alias("url")) \
+        .filter(F.col("url").isNotNull()).distinct()
+
+
+def codes_unique(pageviews: DataFrame) -> Column:
+    """Scalar subquery: TRUE when no two URLs share a code."""
+    d = url_dictionary(pageviews).groupBy("url_code").agg(F.count("url").alias("n"))
+    return d.agg(F.coalesce(F.max("n"), F.lit(1)) <= 1).scalar()
+
+
+def checked(cond: Column, unique: Column) -> Column:
+    """``cond`` (a comparison of URL codes), or an error if codes collide."""
+    return F.when(unique, cond).otherwise(F.raise_error(F.lit("pageview_url code collision")))
+
+
+def decode_url(df: DataFrame, code_col: str, out_col: str, pageviews: DataFrame) -> DataFrame:
+    """Replace a URL code column by the URL.  Meant for small (grouped)
+    results; the dictionary is one row per page of the site."""
+    d = url_dictionary(pageviews)
+    unique = codes_unique(pageviews)
+    j = df.join(d, df[code_col] == d["url_code"], "left")
+    return j.withColumn(out_col, F.when(unique, F.col("url"))
+                        .otherwise(F.raise_error(F.lit("pageview_url code collision")))) \
+        .drop("url_code", "url", *([code_col] if code_col != out_col else []))

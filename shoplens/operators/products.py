@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.metrics import count_if, in_range, ratio, sum_money, ts_lit
-from shoplens.operators.common import (SID, cohort, n_orders, n_sessions, orders_per_session,
-                                       with_orders)
+from shoplens.operators.common import (SID, checked, code_of, codes_unique, cohort, n_orders,
+                                       n_sessions, orders_per_session, url_code, with_orders)
 
 PV = "website_pageview_id"
 URL = "pageview_url"
@@ -79,15 +79,19 @@ def next_page_pathing(pageviews: DataFrame, from_url: str, targets: Mapping[str,
     src = (pageviews.filter((F.col(URL) == from_url) & in_range("created_at", after=after, before=before))
            .groupBy(_period("created_at", split, labels).alias("time_period"), SID)
            .agg(F.min(PV).alias("from_id")))
-    nxt = (pageviews.select(SID, F.col(PV).alias("pid"), URL)
+    nxt = (pageviews.select(SID, F.col(PV).alias("pid"), url_code().alias("code"))
            .join(src, SID, "inner")
            .filter(F.col("pid") > F.col("from_id"))
            .groupBy("time_period", SID)
-           .agg(F.min(F.struct("pid", URL)).getField(URL).alias("next_pageview_url")))
+           .agg(F.min_by("code", "pid").alias("next_code")))
     per = src.join(nxt, ["time_period", SID], "left")
-    nxt_url = F.col("next_pageview_url")
-    aggs = [n_sessions().alias("sessions"), count_if(nxt_url.isNotNull()).alias("next_page_session")]
-    aggs += [count_if(nxt_url == u).alias(f"to_{lab}") for lab, u in targets.items()]
+    unique = codes_unique(pageviews)
+    nxt_code = F.col("next_code")
+    # next_code is NULL when there is no next pageview (or its URL is NULL)
+    aggs = [n_sessions().alias("sessions"),
+            count_if(nxt_code.isNotNull()).alias("next_page_session")]
+    aggs += [count_if(checked(nxt_code == code_of(u), unique)).alias(f"to_{lab}")
+             for lab, u in targets.items()]
     cols = ["time_period", "sessions", "next_page_session",
             ratio("next_page_session", "sessions").alias("next_page_session_percentage")]
     for lab in targets:

@@ -2,10 +2,11 @@
 page tests, conversion funnels, page-version tests.
 
 Pageviews are first reduced to session grain with plain aggregates (first
-pageview as ``min(struct(id, ...))``, pageview count, step flags as
-``max``), which Spark combines map-side; only then do they meet sessions
-or orders, on the session id they are already partitioned by.  The literal
-"first id, then join back for its URL" becomes a single aggregate.
+pageview as ``min_by(url code, id)``, pageview count, step flags as
+``max``), which Spark hash-aggregates and combines map-side; only then do
+they meet sessions or orders, on the session id they are already
+partitioned by.  The literal "first id, then join back for its URL" becomes
+a single aggregate.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.calendar import day, year_week
 from shoplens.functions.metrics import count_if, in_range, ratio
-from shoplens.operators.common import (SID, cohort, first_in_window, n_sessions,
-                                       orders_per_session)
+from shoplens.operators.common import (SID, checked, code_of, codes_unique, cohort,
+                                       decode_url, n_sessions, orders_per_session, url_code)
 
 PV = "website_pageview_id"
 URL = "pageview_url"
@@ -39,19 +40,23 @@ def top_pages(pageviews: DataFrame, before) -> DataFrame:
 def entry_pages(pageviews: DataFrame) -> DataFrame:
     """Sessions per landing page (URL of the session's first pageview)."""
     first = (_sessions_of(pageviews).groupBy(SID)
-             .agg(F.min_by(URL, PV).alias("landing_page")))
-    return (first.groupBy("landing_page")
-            .agg(F.count(SID).alias("sessions_hitting_this_lander")))
+             .agg(F.min_by(url_code(), PV).alias("landing_code")))
+    counts = (first.groupBy("landing_code")
+              .agg(F.count(SID).alias("sessions_hitting_this_lander")))
+    return decode_url(counts, "landing_code", "landing_page", pageviews) \
+        .select("landing_page", "sessions_hitting_this_lander")
 
 
 def bounce_rate(pageviews: DataFrame, before, landing: str = "/home") -> DataFrame:
     """Sessions whose first pageview before ``before`` is ``landing``, how
     many of them have exactly one pageview (counting all their pageviews),
     and the rate.  One row."""
+    in_window = F.when(in_range("created_at", before=before), F.col(PV))
     per = (_sessions_of(pageviews).groupBy(SID)
-           .agg(first_in_window(in_range("created_at", before=before), URL).alias("first"),
+           .agg(F.min_by(url_code(), in_window).alias("first_code"),
                 F.count(PV).alias("n_pv")))
-    return (per.filter(F.col(f"first.{URL}") == landing)
+    unique = codes_unique(pageviews)
+    return (per.filter(checked(F.col("first_code") == code_of(landing), unique))
             .agg(n_sessions().alias("total_sessions"),
                  count_if(F.col("n_pv") == 1).alias("bounced_sessions"))
             .withColumn("bounce_rate", ratio("bounced_sessions", "total_sessions")))
@@ -90,27 +95,29 @@ def landing_page_test(pageviews: DataFrame, sessions: DataFrame, before,
     after_launch = (F.col(PV) >= launch) if launch_inclusive else (F.col(PV) > launch)
     per = (_sessions_of(pageviews).withColumn("after_launch", after_launch)
            .groupBy(SID)
-           .agg(first_in_window(F.col("after_launch"), URL).alias("first"),
+           .agg(F.min_by(url_code(), F.when(F.col("after_launch"), F.col(PV))).alias("landing_code"),
                 F.count(PV).alias("n_pv")))
     c = cohort(sessions, before=before, source=source, campaign=campaign).select(SID)
-    return (per.join(c, SID, "left_semi")
-            .filter(F.col(f"first.{URL}").isin(*pages))
-            .groupBy(F.col(f"first.{URL}").alias("landing_page"))
-            .agg(n_sessions().alias("sessions"),
-                 count_if(F.col("n_pv") == 1).alias("bounced_sessions"))
-            .withColumn("bounce_rate", ratio("bounced_sessions", "sessions")))
+    res = (per.join(c, SID, "left_semi")
+           .filter(F.col("landing_code").isin(*[code_of(p) for p in pages]))
+           .groupBy("landing_code")
+           .agg(n_sessions().alias("sessions"),
+                count_if(F.col("n_pv") == 1).alias("bounced_sessions")))
+    return (decode_url(res, "landing_code", "landing_page", pageviews)
+            .select("landing_page", "sessions", "bounced_sessions",
+                    ratio("bounced_sessions", "sessions").alias("bounce_rate")))
 
 
-def _weekly_landing(per_session: DataFrame, pages: Sequence[str]) -> DataFrame:
-    first_url, first_ts = F.col(f"first.{URL}"), F.col("first.created_at")
+def _weekly_landing(per_session: DataFrame, pages: Sequence[str], unique) -> DataFrame:
+    first_ts, code = F.col("first_at"), F.col("first_code")
     home, lander = pages[0], pages[1]
     return (per_session
             .groupBy(year_week(first_ts).alias("year_week"))
             .agg(F.min(day(first_ts)).alias("week_start_date"),
                  n_sessions().alias("total_sessions"),
                  count_if(F.col("n_pv") == 1).alias("bounce_sessions"),
-                 count_if(first_url == home).alias("home_sessions"),
-                 count_if(first_url == lander).alias("lander_sessions"))
+                 count_if(checked(code == code_of(home), unique)).alias("home_sessions"),
+                 count_if(checked(code == code_of(lander), unique)).alias("lander_sessions"))
             .select("year_week", "week_start_date", "total_sessions", "bounce_sessions",
                     ratio("bounce_sessions", "total_sessions").alias("bounce_rate"),
                     "home_sessions", "lander_sessions"))
@@ -118,7 +125,8 @@ def _weekly_landing(per_session: DataFrame, pages: Sequence[str]) -> DataFrame:
 
 def _pageviews_per_session(pageviews: DataFrame) -> DataFrame:
     return (_sessions_of(pageviews).groupBy(SID)
-            .agg(F.min(F.struct(PV, "created_at", URL)).alias("first"),
+            .agg(F.min_by(url_code(), PV).alias("first_code"),
+                 F.min_by("created_at", PV).alias("first_at"),
                  F.count(PV).alias("n_pv")))
 
 
@@ -130,7 +138,7 @@ def weekly_landing_trend(sessions: DataFrame, pageviews: DataFrame, after, befor
     c = cohort(sessions, after=after, before=before, source=source, campaign=campaign).select(SID)
     per = c.join(_pageviews_per_session(pageviews), SID, "left") \
         .withColumn("n_pv", F.coalesce("n_pv", F.lit(0)))
-    return _weekly_landing(per, pages)
+    return _weekly_landing(per, pages, codes_unique(pageviews))
 
 
 def weekly_landing_trend_raw(sessions: DataFrame, pageviews: DataFrame, after, before,
@@ -144,8 +152,8 @@ def weekly_landing_trend_raw(sessions: DataFrame, pageviews: DataFrame, after, b
     s = sessions.select(SID, in_cohort.alias("in_cohort"))
     per = _pageviews_per_session(pageviews)
     j = s.join(per, (s[SID] == per[SID]) & s["in_cohort"], "left").select(
-        s[SID], per["first"], F.coalesce(per["n_pv"], F.lit(0)).alias("n_pv"))
-    return _weekly_landing(j, pages)
+        s[SID], per["first_code"], per["first_at"], F.coalesce(per["n_pv"], F.lit(0)).alias("n_pv"))
+    return _weekly_landing(j, pages, codes_unique(pageviews))
 
 
 def _step_flags(pageviews: DataFrame, steps: Mapping[str, str]) -> DataFrame:

@@ -113,13 +113,15 @@ def tag_sessions(events: DataFrame, bucket_hours: int = 1) -> DataFrame:
     )
 
     # Pass 2: session id = event_id of the latest start at or before the row.
-    start_key = F.when(F.col("is_start"), F.struct("ts", "event_id"))
-    last_start = flagged.groupBy(*key).agg(F.max(start_key).alias("bucket_last_start"))
+    # Starts of a user have strictly increasing ts (each is > 12 h after the
+    # event before it), so "last start" is the start with the largest ts:
+    # a max_by with fixed-width buffers (hash aggregation).
+    last_start = flagged.groupBy(*key).agg(
+        F.max_by("event_id", F.when(F.col("is_start"), F.col("ts"))).alias("bucket_last_start"))
     carry_start = last_start.select(
         *key,
         F.last("bucket_last_start", ignorenulls=True)
-        .over(by_bucket.rowsBetween(Window.unboundedPreceding, -1))
-        .getField("event_id").alias("carry_sid"))
+        .over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_sid"))
     upto_row = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         flagged
@@ -163,14 +165,15 @@ def web_feed(events: DataFrame, bucket_hours: int = 1) -> WebFeed:
     # aggregate, so a hot session is combined map-side.
     first = (t.filter(etype == "purchase")
              .groupBy("session_id")
-             .agg(F.min(F.struct("event_id", "ts", "k", "value")).alias("o")))
-    price = F.col("o.value").cast("decimal(12,2)")
+             .agg(F.min("event_id").alias("event_id"),
+                  *[F.min_by(c, "event_id").alias(c) for c in ("ts", "k", "value")]))
+    price = F.col("value").cast("decimal(12,2)")
     orders = first.select(
-        F.col("o.event_id").alias("order_id"),
-        F.col("o.ts").alias("created_at"),
+        F.col("event_id").alias("order_id"),
+        F.col("ts").alias("created_at"),
         F.col("session_id").alias("website_session_id"),
-        (F.col("o.k") % 4 + 1).cast("int").alias("primary_product_id"),
-        F.when(F.col("o.k") % 3 == 0, 2).otherwise(1).cast("int").alias("items_purchased"),
+        (F.col("k") % 4 + 1).cast("int").alias("primary_product_id"),
+        F.when(F.col("k") % 3 == 0, 2).otherwise(1).cast("int").alias("items_purchased"),
         price.alias("price_usd"),
         (price * F.lit(WEB_COGS_RATE)).cast("decimal(16,4)").alias("cogs_usd"),
     )
