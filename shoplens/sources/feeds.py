@@ -87,6 +87,11 @@ def tag_sessions(events: DataFrame, bucket_hours: int = 1) -> DataFrame:
     ``session_id`` is the event_id of the session's first event;
     ``is_repeat`` marks a session start that has an earlier event of the same
     user (so the user's session ordinal is > 1).
+
+    One window pass per (user, bucket) settles every row except each
+    bucket's first; a per-bucket summary (one row per non-empty bucket)
+    carries the last timestamp and the last session start across buckets and
+    is joined back once.
     """
     ev = events.select(
         "event_id", "ts", "user_id", "event_type", "value",
@@ -95,41 +100,45 @@ def tag_sessions(events: DataFrame, bucket_hours: int = 1) -> DataFrame:
                 / F.lit(bucket_hours)).cast("long").alias("bucket"),
     )
     key = ["user_id", "bucket"]
+    gap = F.expr(SESSION_GAP)
     in_bucket = Window.partitionBy(*key).orderBy("ts", "event_id")
+    upto_row = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.col("rn") == 1
+
+    # Pass 1, inside (user, bucket): a row other than the bucket's first
+    # starts a session iff it is more than the gap after the row before it.
+    w = (ev.withColumn("rn", F.row_number().over(in_bucket))
+         .withColumn("local_start", F.col("ts") > F.lag("ts").over(in_bucket) + gap)
+         .withColumn("in_sid", F.last(F.when(F.col("local_start"), F.col("event_id")),
+                                      ignorenulls=True).over(upto_row)))
+
+    # Bucket summary.  Starts of a user have strictly increasing ts, so the
+    # last local start is a max_by on ts (fixed-width buffers, hash agg).
+    summary = w.groupBy(*key).agg(
+        F.max(F.when(first, F.col("ts"))).alias("first_ts"),
+        F.max(F.when(first, F.col("event_id"))).alias("first_id"),
+        F.max("ts").alias("last_ts"),
+        F.max_by("event_id", F.when(F.col("local_start"), F.col("ts"))).alias("last_local_start"))
     by_bucket = Window.partitionBy("user_id").orderBy("bucket")
+    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    carry = (summary
+             .withColumn("carry_ts", F.lag("last_ts").over(by_bucket))
+             .withColumn("first_is_start", F.col("carry_ts").isNull()
+                         | (F.col("first_ts") > F.col("carry_ts") + gap))
+             .withColumn("bucket_last_start", F.coalesce(
+                 "last_local_start", F.when(F.col("first_is_start"), F.col("first_id"))))
+             .withColumn("carry_sid", F.last("bucket_last_start", ignorenulls=True).over(before))
+             .select(*key, "carry_ts", "first_is_start", "first_id", "carry_sid"))
 
-    # Pass 1: gap to the previous event of the user.  The previous event of a
-    # bucket's first event is the last event of the previous non-empty bucket.
-    ev = ev.withColumn("prev_ts", F.lag("ts").over(in_bucket))
-    last_ts = ev.groupBy(*key).agg(F.max("ts").alias("bucket_last_ts"))
-    carry_ts = last_ts.select(*key, F.lag("bucket_last_ts").over(by_bucket).alias("carry_ts"))
-    flagged = (
-        ev.join(carry_ts, key, "left")
-        .withColumn("prev_ts", F.coalesce("prev_ts", "carry_ts"))
-        .withColumn("is_start", F.col("prev_ts").isNull()
-                    | (F.col("ts") > F.col("prev_ts") + F.expr(SESSION_GAP)))
-        .withColumn("is_repeat", F.col("prev_ts").isNotNull())
-        .drop("carry_ts")
-    )
-
-    # Pass 2: session id = event_id of the latest start at or before the row.
-    # Starts of a user have strictly increasing ts (each is > 12 h after the
-    # event before it), so "last start" is the start with the largest ts:
-    # a max_by with fixed-width buffers (hash aggregation).
-    last_start = flagged.groupBy(*key).agg(
-        F.max_by("event_id", F.when(F.col("is_start"), F.col("ts"))).alias("bucket_last_start"))
-    carry_start = last_start.select(
-        *key,
-        F.last("bucket_last_start", ignorenulls=True)
-        .over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_sid"))
-    upto_row = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        flagged
-        .withColumn("in_sid", F.last(F.when(F.col("is_start"), F.col("event_id")),
-                                     ignorenulls=True).over(upto_row))
-        .join(carry_start, key, "left")
-        .withColumn("session_id", F.coalesce("in_sid", "carry_sid"))
-        .drop("in_sid", "carry_sid", "prev_ts", "bucket")
+        w.join(carry, key, "left")
+        .withColumn("is_start", F.when(first, F.col("first_is_start"))
+                    .otherwise(F.coalesce("local_start", F.lit(False))))
+        .withColumn("is_repeat", F.when(first, F.col("carry_ts").isNotNull()).otherwise(True))
+        .withColumn("session_id", F.coalesce(
+            "in_sid", F.when(F.col("first_is_start"), F.col("first_id")), "carry_sid"))
+        .drop("rn", "local_start", "in_sid", "carry_ts", "first_is_start", "first_id",
+              "carry_sid", "bucket")
     )
 
 
