@@ -62,7 +62,7 @@ def n_sessions() -> Column:
 # URLs therefore travel through aggregates as a 64-bit code, which keeps hash
 # aggregation.  Equality on codes is exact as long as no two distinct URLs
 # share a code; ``codes_unique`` checks that once per query (a scalar
-# subquery over the distinct URLs) and ``checked`` makes the query fail
+# subquery over the distinct URLs) and ``guard_code`` makes the query fail
 # rather than return a wrong row if it ever does not hold.
 
 URL = "pageview_url"
@@ -90,9 +90,13 @@ def codes_unique(pageviews: DataFrame) -> Column:
     return d.agg(F.coalesce(F.max("n"), F.lit(1)) <= 1).scalar()
 
 
-def checked(cond: Column, unique: Column) -> Column:
-    """``cond`` (a comparison of URL codes), or an error if codes collide."""
-    return F.when(unique, cond).otherwise(F.raise_error(F.lit("pageview_url code collision")))
+def guard_code(df: DataFrame, col: str, pageviews: DataFrame) -> DataFrame:
+    """``df`` with URL-code column ``col`` passed through the collision
+    check (one projection, so the check runs once per query); after this,
+    comparing ``col`` with ``code_of(page)`` is exact."""
+    ok = codes_unique(pageviews)
+    return df.withColumn(col, F.when(ok, F.col(col))
+                         .otherwise(F.raise_error(F.lit("pageview_url code collision"))))
 
 
 def decode_url(df: DataFrame, code_col: str, out_col: str, pageviews: DataFrame) -> DataFrame:

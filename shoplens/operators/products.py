@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.metrics import count_if, in_range, ratio, sum_money, ts_lit
-from shoplens.operators.common import (SID, checked, code_of, codes_unique, cohort, n_orders,
-                                       n_sessions, orders_per_session, url_code, with_orders)
+from shoplens.operators.common import (SID, code_of, cohort, guard_code, n_orders, n_sessions,
+                                       orders_per_session, url_code, with_orders)
 
 PV = "website_pageview_id"
 URL = "pageview_url"
@@ -84,14 +84,12 @@ def next_page_pathing(pageviews: DataFrame, from_url: str, targets: Mapping[str,
            .filter(F.col("pid") > F.col("from_id"))
            .groupBy("time_period", SID)
            .agg(F.min_by("code", "pid").alias("next_code")))
-    per = src.join(nxt, ["time_period", SID], "left")
-    unique = codes_unique(pageviews)
+    per = guard_code(src.join(nxt, ["time_period", SID], "left"), "next_code", pageviews)
     nxt_code = F.col("next_code")
     # next_code is NULL when there is no next pageview (or its URL is NULL)
     aggs = [n_sessions().alias("sessions"),
             count_if(nxt_code.isNotNull()).alias("next_page_session")]
-    aggs += [count_if(checked(nxt_code == code_of(u), unique)).alias(f"to_{lab}")
-             for lab, u in targets.items()]
+    aggs += [count_if(nxt_code == code_of(u)).alias(f"to_{lab}") for lab, u in targets.items()]
     cols = ["time_period", "sessions", "next_page_session",
             ratio("next_page_session", "sessions").alias("next_page_session_percentage")]
     for lab in targets:

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.calendar import day, year_week
 from shoplens.functions.metrics import count_if, in_range, ratio
-from shoplens.operators.common import (SID, checked, code_of, codes_unique, cohort,
-                                       decode_url, n_sessions, orders_per_session, url_code)
+from shoplens.operators.common import (SID, code_of, cohort, decode_url, guard_code,
+                                       n_sessions, orders_per_session, url_code)
 
 PV = "website_pageview_id"
 URL = "pageview_url"
@@ -55,8 +55,8 @@ def bounce_rate(pageviews: DataFrame, before, landing: str = "/home") -> DataFra
     per = (_sessions_of(pageviews).groupBy(SID)
            .agg(F.min_by(url_code(), in_window).alias("first_code"),
                 F.count(PV).alias("n_pv")))
-    unique = codes_unique(pageviews)
-    return (per.filter(checked(F.col("first_code") == code_of(landing), unique))
+    return (guard_code(per, "first_code", pageviews)
+            .filter(F.col("first_code") == code_of(landing))
             .agg(n_sessions().alias("total_sessions"),
                  count_if(F.col("n_pv") == 1).alias("bounced_sessions"))
             .withColumn("bounce_rate", ratio("bounced_sessions", "total_sessions")))
@@ -108,16 +108,16 @@ def landing_page_test(pageviews: DataFrame, sessions: DataFrame, before,
                     ratio("bounced_sessions", "sessions").alias("bounce_rate")))
 
 
-def _weekly_landing(per_session: DataFrame, pages: Sequence[str], unique) -> DataFrame:
+def _weekly_landing(per_session: DataFrame, pages: Sequence[str], pageviews: DataFrame) -> DataFrame:
     first_ts, code = F.col("first_at"), F.col("first_code")
     home, lander = pages[0], pages[1]
-    return (per_session
+    return (guard_code(per_session, "first_code", pageviews)
             .groupBy(year_week(first_ts).alias("year_week"))
             .agg(F.min(day(first_ts)).alias("week_start_date"),
                  n_sessions().alias("total_sessions"),
                  count_if(F.col("n_pv") == 1).alias("bounce_sessions"),
-                 count_if(checked(code == code_of(home), unique)).alias("home_sessions"),
-                 count_if(checked(code == code_of(lander), unique)).alias("lander_sessions"))
+                 count_if(code == code_of(home)).alias("home_sessions"),
+                 count_if(code == code_of(lander)).alias("lander_sessions"))
             .select("year_week", "week_start_date", "total_sessions", "bounce_sessions",
                     ratio("bounce_sessions", "total_sessions").alias("bounce_rate"),
                     "home_sessions", "lander_sessions"))
@@ -138,7 +138,7 @@ def weekly_landing_trend(sessions: DataFrame, pageviews: DataFrame, after, befor
     c = cohort(sessions, after=after, before=before, source=source, campaign=campaign).select(SID)
     per = c.join(_pageviews_per_session(pageviews), SID, "left") \
         .withColumn("n_pv", F.coalesce("n_pv", F.lit(0)))
-    return _weekly_landing(per, pages, codes_unique(pageviews))
+    return _weekly_landing(per, pages, pageviews)
 
 
 def weekly_landing_trend_raw(sessions: DataFrame, pageviews: DataFrame, after, before,
@@ -153,7 +153,7 @@ def weekly_landing_trend_raw(sessions: DataFrame, pageviews: DataFrame, after, b
     per = _pageviews_per_session(pageviews)
     j = s.join(per, (s[SID] == per[SID]) & s["in_cohort"], "left").select(
         s[SID], per["first_code"], per["first_at"], F.coalesce(per["n_pv"], F.lit(0)).alias("n_pv"))
-    return _weekly_landing(j, pages, codes_unique(pageviews))
+    return _weekly_landing(j, pages, pageviews)
 
 
 def _step_flags(pageviews: DataFrame, steps: Mapping[str, str]) -> DataFrame:
