@@ -194,6 +194,7 @@ class CommerceFeed:
     orders: DataFrame
     order_items: DataFrame
     refunds: DataFrame
+    lines: DataFrame  # numbered line items the three tables derive from (for reuse)
 
 
 def commerce_feed(orders: DataFrame, lineitem: DataFrame) -> CommerceFeed:
@@ -247,4 +248,4 @@ def commerce_feed(orders: DataFrame, lineitem: DataFrame) -> CommerceFeed:
             F.timestamp_add("DAY", F.col("l_linenumber"), F.col("created_at")).alias("created_at"),
         )
     )
-    return CommerceFeed(store_orders, order_items, refunds)
+    return CommerceFeed(store_orders, order_items, refunds, items_x)
