@@ -143,7 +143,15 @@ def tag_sessions(events: DataFrame, bucket_hours: int = 1) -> DataFrame:
 
 
 def web_feed(events: DataFrame, bucket_hours: int = 1) -> WebFeed:
-    t = tag_sessions(events, bucket_hours)
+    return web_tables_from_tagged(tag_sessions(events, bucket_hours))
+
+
+def web_tables_from_tagged(t: DataFrame, first_purchase: Column | None = None) -> WebFeed:
+    """Sessions, pageviews and orders from events tagged with their session.
+
+    Orders are the first purchase event of each session: the smallest
+    event_id (an aggregate), or the rows flagged by ``first_purchase`` when
+    the tagging already decided it (the streaming feed)."""
     k = F.col("k")
     sessions = t.filter("is_start").select(
         F.col("event_id").alias("website_session_id"),
@@ -170,12 +178,15 @@ def web_feed(events: DataFrame, bucket_hours: int = 1) -> WebFeed:
         F.col("session_id").alias("website_session_id"),
         url.alias("pageview_url"),
     )
-    # First purchase event (smallest event_id) of each session; a plain
-    # aggregate, so a hot session is combined map-side.
-    first = (t.filter(etype == "purchase")
-             .groupBy("session_id")
-             .agg(F.min("event_id").alias("event_id"),
-                  *[F.min_by(c, "event_id").alias(c) for c in ("ts", "k", "value")]))
+    if first_purchase is None:
+        # First purchase event (smallest event_id) of each session; a plain
+        # aggregate, so a hot session is combined map-side.
+        first = (t.filter(etype == "purchase")
+                 .groupBy("session_id")
+                 .agg(F.min("event_id").alias("event_id"),
+                      *[F.min_by(c, "event_id").alias(c) for c in ("ts", "k", "value")]))
+    else:
+        first = t.filter(first_purchase).select("session_id", "event_id", "ts", "k", "value")
     price = F.col("value").cast("decimal(12,2)")
     orders = first.select(
         F.col("event_id").alias("order_id"),

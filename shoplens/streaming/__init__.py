@@ -1,0 +1 @@
+"""Structured Streaming: the web feed maintained incrementally."""

@@ -1,0 +1,65 @@
+"""The streaming web feed equals the batch feed on the same events."""
+
+import datetime as dt
+import os
+import tempfile
+
+from conftest import SF_SMALL
+from shoplens.plans.verify import rows_of
+from shoplens.sources.store import derive
+from shoplens.streaming.sessionize import tag_event_stream, web_tables
+
+
+def test_stream_matches_batch(spark):
+    events = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
+    src = tempfile.mkdtemp(prefix="shoplens-stream-src-")
+    # two micro-batches, the second one out of order with the first
+    events.filter("event_id % 2 = 0").write.parquet(f"{src}/part=1")
+    events.filter("event_id % 2 = 1").write.parquet(f"{src}/part=2")
+    # a far-future event of another user moves the watermark past everything
+    far = dt.datetime(2030, 1, 1)
+    spark.createDataFrame([(10**12, far, -1, "click", 0.0, '{"k": 1}')], events.schema) \
+        .write.parquet(f"{src}/part=3")
+
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1) \
+        .parquet(f"{src}/part=*")
+    q = (tag_event_stream(stream, lateness="30 days").writeStream.format("memory")
+         .queryName("tagged_stream").outputMode("append")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="shoplens-stream-ckpt-")).start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    tagged = spark.table("tagged_stream").filter("user_id >= 0")
+    assert tagged.count() == events.count()
+
+    batch, _ = derive(spark, SF_SMALL)
+    for name, df in web_tables(tagged).items():
+        a, b = df.collect(), batch[name].collect()
+        assert rows_of(df.columns, a) == rows_of(batch[name].columns, b), name
+
+
+def test_foreach_batch_writer(spark):
+    from shoplens.sources import schemas
+    from shoplens.streaming.sessionize import start_web_feed
+    events = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
+    src = tempfile.mkdtemp(prefix="shoplens-stream-src-")
+    events.write.parquet(f"{src}/part=1")
+    spark.createDataFrame([(10**12, dt.datetime(2030, 1, 1), -1, "click", 0.0, '{"k": 1}')],
+                          events.schema).write.parquet(f"{src}/part=2")
+    out = tempfile.mkdtemp(prefix="shoplens-stream-out-")
+    q = start_web_feed(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+                       .parquet(f"{src}/part=*"),
+                       out, tempfile.mkdtemp(prefix="shoplens-stream-ckpt-"), lateness="30 days")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    batch, _ = derive(spark, SF_SMALL)
+    for name in ("website_sessions", "website_pageviews", "web_orders"):
+        got = spark.read.parquet(f"{out}/{name}").select(*schemas.TABLES[name].fieldNames())
+        if name == "website_sessions":
+            got = got.filter("user_id >= 0")
+        else:
+            got = got.filter(f"{got.columns[0]} < {10**12}")
+        assert rows_of(got.columns, got.collect()) == rows_of(batch[name].columns, batch[name].collect()), name
