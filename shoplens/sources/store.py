@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -121,6 +122,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return os.path.exists(marker.removeprefix("file:"))
 
 
+def _publish(spark: SparkSession, staging: str, final: str) -> None:
+    """Move a finished write into place.  Renaming a directory is atomic on
+    HDFS and local disks; if another job published first, its copy wins
+    and the staging folder is left for the scratch space's cleanup."""
+    try:
+        jvm = spark.sparkContext._jvm
+        src, dst = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(final)
+        fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(dst):
+            fs.rename(src, dst)
+    except Exception:
+        if not os.path.exists(final.removeprefix("file:")):
+            os.rename(staging.removeprefix("file:"), final.removeprefix("file:"))
+
+
 def materialize(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
     """Write the store tables under ``root`` (default: the checkpoint dir)."""
     root = root or checkpoint_root(spark)
@@ -137,8 +153,10 @@ def materialize(spark: SparkSession, sf_dir: str, root: str | None = None) -> st
         for name in STORE_TABLES:
             if not _exists(spark, f"{base}/{name}"):
                 ts, pk = LAYOUT[name]
+                staging = f"{base}/_staging-{name}-{uuid.uuid4().hex[:8]}"
                 (tables[name].repartitionByRange(ts, pk).sortWithinPartitions(ts, pk)
-                 .write.mode("overwrite").parquet(f"{base}/{name}"))
+                 .write.mode("error").parquet(staging))
+                _publish(spark, staging, f"{base}/{name}")
     finally:
         for df in shared:
             df.unpersist()
