@@ -28,7 +28,7 @@ def main():
     store = load_store(spark, sf)
     for name in args:
         df = REGISTRY[name](store)
-        df.write.format("noop").mode("overwrite").save()
+        df.collect()  # run through the DataFrame's own execution: final adaptive plan
         plan = df._jdf.queryExecution().executedPlan().toString()
         print(f"=== {name}")
         print(plan if full else summary(plan))

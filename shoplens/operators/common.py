@@ -56,6 +56,54 @@ def n_sessions() -> Column:
     return F.count(F.col(SID))
 
 
+# --- hot keys ----------------------------------------------------------------------
+# Joins between a large side (pageviews of a session, repeat sessions of a
+# user) and a side with one or a few rows per key cannot rely on AQE's skew
+# split when the small side is an aggregate already partitioned on the key.
+# ``split_hot_join`` salts only the hot keys: their large-side rows spread
+# over ``n_split`` tasks, their few small-side rows are copied ``n_split``
+# times.  Hot keys are estimated from a sample; an estimate only moves rows
+# between tasks, never changes the result.
+
+HOT_ROWS_CONF = "spark.shoplens.hotKeyRows"        # rows per task before a key is split
+HOT_SAMPLE_CONF = "spark.shoplens.hotKeySample"    # sampled fraction for the estimate
+HOT_ROWS_DEFAULT, HOT_SAMPLE_DEFAULT = 4_000_000, 0.001
+
+
+def _conf(df: DataFrame, key: str, default: float) -> float:
+    try:
+        return float(df.sparkSession.conf.get(key, str(default)))
+    except Exception:
+        return default
+
+
+def hot_keys(big: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of ``big`` estimated to hold more than the per-task row budget,
+    with ``n_split`` ways to split each.  A key qualifies only with
+    ``rows_per_task`` rows, so there are at most rows(big) / rows_per_task of
+    them: small enough to broadcast, by construction."""
+    rows = _conf(big, HOT_ROWS_CONF, HOT_ROWS_DEFAULT)
+    frac = min(1.0, _conf(big, HOT_SAMPLE_CONF, HOT_SAMPLE_DEFAULT))
+    sampled = big.select(*keys).sample(fraction=frac, seed=17) if frac < 1 else big.select(*keys)
+    return (sampled.groupBy(*keys).count()
+            .select(*keys, F.ceil(F.col("count") / F.lit(frac * rows)).cast("int").alias("n_split"))
+            .filter(F.col("n_split") > 1))
+
+
+def split_hot_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: str) -> DataFrame:
+    """Inner join of ``big`` (possibly hot keys) with ``small`` (a few rows
+    per key) on ``keys``, with hot keys split over several tasks."""
+    hot = F.broadcast(hot_keys(big, keys))
+    b = (big.join(hot, keys, "left")
+         .withColumn("_salt", F.when(F.col("n_split").isNull(), F.lit(0))
+                     .otherwise(F.pmod(F.xxhash64(F.col(salt_by)), F.col("n_split"))).cast("int"))
+         .drop("n_split"))
+    s = (small.join(hot, keys, "left")
+         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n_split"), F.lit(1)) - 1)))
+         .drop("n_split"))
+    return b.join(s, keys + ["_salt"], "inner").drop("_salt")
+
+
 # --- URLs inside aggregates -----------------------------------------------------
 # A string in an aggregation buffer (min_by(url, id), min(struct(id, url)))
 # forces Spark into sort-based aggregation, i.e. sorting every pageview.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.metrics import count_if, in_range, ratio, sum_money, ts_lit
 from shoplens.operators.common import (SID, code_of, cohort, guard_code, n_orders, n_sessions,
-                                       orders_per_session, url_code, with_orders)
+                                       orders_per_session, split_hot_join, url_code, with_orders)
 
 PV = "website_pageview_id"
 URL = "pageview_url"
@@ -79,8 +79,8 @@ def next_page_pathing(pageviews: DataFrame, from_url: str, targets: Mapping[str,
     src = (pageviews.filter((F.col(URL) == from_url) & in_range("created_at", after=after, before=before))
            .groupBy(_period("created_at", split, labels).alias("time_period"), SID)
            .agg(F.min(PV).alias("from_id")))
-    nxt = (pageviews.select(SID, F.col(PV).alias("pid"), url_code().alias("code"))
-           .join(src, SID, "inner")
+    nxt = (split_hot_join(pageviews.select(SID, F.col(PV).alias("pid"), url_code().alias("code")),
+                          src, [SID], salt_by="pid")
            .filter(F.col("pid") > F.col("from_id"))
            .groupBy("time_period", SID)
            .agg(F.min_by("code", "pid").alias("next_code")))
@@ -122,8 +122,8 @@ def pages_after(pageviews: DataFrame, product_urls: Sequence[str], after, before
                  F.max(pid).alias("last_pv"))
             .filter(F.col("first_product").isNotNull()))
     # everything after the first product view covers everything after any
-    later = (pageviews.select(SID, PV, URL)
-             .join(span.select(SID, "first_product"), SID, "inner")
+    later = (split_hot_join(pageviews.select(SID, PV, URL), span.select(SID, "first_product"),
+                            [SID], salt_by=PV)
              .filter(pid > F.col("first_product"))
              .select(URL))
     dangling = (span.filter(F.col("last_product") == F.col("last_pv"))
@@ -145,8 +145,8 @@ def funnel_page_flags(pageviews: DataFrame, product_urls: Sequence[str],
               .agg(F.min(PV).alias("from_id")))
     last = pageviews.groupBy(SID).agg(F.max(PV).alias("last_pv"))
     flags = [(url == u).cast("int").alias(f"{lab}_page") for lab, u in steps.items()]
-    later = (pageviews.select(SID, PV, URL, F.col("created_at").alias("seen_at"))
-             .join(firsts, SID, "inner")
+    later = (split_hot_join(pageviews.select(SID, PV, URL, F.col("created_at").alias("seen_at")),
+                            firsts, [SID], salt_by=PV)
              .filter(F.col(PV) > F.col("from_id"))
              .select(SID, "product_page_seen", *flags, "seen_at"))
     zero = [F.lit(0).alias(f"{lab}_page") for lab in steps]
@@ -200,11 +200,12 @@ def cross_sell_pairs(orders: DataFrame, items: DataFrame, id_lo: int, id_hi: int
     most first."""
     rng = F.col("order_id").between(id_lo, id_hi)
     o = orders.filter(rng).select("order_id", "primary_product_id")
-    i = items.filter(rng).select("order_id", "product_id")
+    # lines per (order, product) first: a hot order becomes a few rows
+    i = items.filter(rng).groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
     return (o.join(i, "order_id", "inner")
             .filter(F.col("primary_product_id") != F.col("product_id"))
             .groupBy("primary_product_id", "product_id")
-            .agg(F.count("order_id").alias("orders"))
+            .agg(F.sum("n").alias("orders"))
             .orderBy(F.desc("orders")))
 
 
@@ -215,11 +216,16 @@ def cross_sell_matrix(orders: DataFrame, items: DataFrame, id_lo: int, id_hi: in
     cross-sold per product, and their rate over those rows."""
     rng = F.col("order_id").between(id_lo, id_hi)
     o = orders.filter(rng).select("order_id", "primary_product_id")
-    i = items.filter(rng & (F.col("is_primary_item") == 0)).select("order_id", "order_item_id", "product_id")
+    # non-primary lines per (order, product) first: a hot order becomes a few
+    # rows; an order matches max(1, lines) rows in the literal join
+    i = (items.filter(rng & (F.col("is_primary_item") == 0))
+         .groupBy("order_id", "product_id").agg(F.count("order_item_id").alias("n")))
+    n = F.coalesce(F.col("n"), F.lit(1))
     agg = (o.join(i, "order_id", "left")
            .groupBy("primary_product_id")
-           .agg(F.count("order_id").alias("orders"),
-                *[count_if(F.col("product_id") == p).alias(f"x_sell_product{p}") for p in products]))
+           .agg(F.sum(n).cast("long").alias("orders"),
+                *[F.coalesce(F.sum(F.when(F.col("product_id") == p, F.col("n"))), F.lit(0))
+                  .cast("long").alias(f"x_sell_product{p}") for p in products]))
     return agg.select("primary_product_id", "orders",
                       *[f"x_sell_product{p}" for p in products],
                       *[ratio(f"x_sell_product{p}", "orders").alias(f"x_sell_product{p}_rt")

@@ -1,11 +1,10 @@
 """User-level analyses: repeat visitors, time to repeat, new vs repeat.
 
 The "new" session of a user is the one with ``is_repeat_session = 0`` (in
-the data model, the user's first session).  Joins between a user's new and
-repeat sessions put the repeat sessions (the large, possibly skewed side)
-on the side AQE may split, and match each repeat session with the user's
-new session(s) only, so the join output is linear in the repeat sessions
-when each user has one new session.
+the data model, the user's first session).  Joins between a user's repeat
+sessions (the large side, possibly one hot user) and their new session(s)
+split hot users over several tasks (``split_hot_join``); the join output
+is linear in the repeat sessions when each user has one new session.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.channels import channel_group
 from shoplens.functions.metrics import count_if, ratio, sum_money
-from shoplens.operators.common import SID, cohort, n_orders, n_sessions, with_orders
+from shoplens.operators.common import SID, cohort, n_orders, n_sessions, split_hot_join, with_orders
 
 
 def _repeat():
@@ -52,7 +51,7 @@ def repeat_session_histogram(sessions: DataFrame, start, before) -> DataFrame:
     session."""
     new, rep = _new_and_repeat(sessions, start, before)
     first_new = new.groupBy("user_id").agg(F.min("new_session_id").alias("new_session_id"))
-    later = (rep.join(first_new, "user_id", "inner")
+    later = (split_hot_join(rep, first_new, ["user_id"], salt_by="repeat_session_id")
              .filter(F.col("repeat_session_id") > F.col("new_session_id"))
              .groupBy("user_id").agg(F.count("repeat_session_id").alias("n_rep")))
     per_user = first_new.join(later, "user_id", "left") \
@@ -65,7 +64,7 @@ def time_to_repeat(sessions: DataFrame, start, before) -> DataFrame:
     time among later ids) in [start, before); average, min and max over new
     sessions that have one.  One row."""
     new, rep = _new_and_repeat(sessions, start, before)
-    second = (rep.join(new, "user_id", "inner")
+    second = (split_hot_join(rep, new, ["user_id"], salt_by="repeat_session_id")
               .filter(F.col("repeat_session_id") > F.col("new_session_id"))
               .groupBy("user_id", "new_session_id", "new_at")
               .agg(F.min("repeat_at").alias("second_at")))
