@@ -1,7 +1,7 @@
 """Benchmark: every registered analysis on one scale factor.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEATS (default 3).  The store (sessionized web tables, commerce
+BENCH_REPEATS (default 3), BENCH_SHUFFLE_PARTITIONS (default: BENCH_CPUS).  The store (sessionized web tables, commerce
 tables) is built once into a fresh folder under the checkpoint dir and timed
 separately; each analysis then runs once to warm up and BENCH_REPEATS times,
 executed in full through the ``noop`` sink.  Prints one JSON line.
@@ -31,8 +31,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
-    spark = local_session(cpus, app="shoplens-bench",
-                          shuffle_partitions=2 * int(cpus) if cpus.isdigit() else 16)
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", 0)) or (int(cpus) if cpus.isdigit() else 8)
+    spark = local_session(cpus, app="shoplens-bench", shuffle_partitions=parts)
     root = f"{checkpoint_root(spark).rstrip('/')}/bench-{uuid.uuid4().hex[:8]}"
 
     t0 = time.perf_counter()

@@ -84,17 +84,21 @@ def next_page_pathing(pageviews: DataFrame, from_url: str, targets: Mapping[str,
            .filter(F.col("pid") > F.col("from_id"))
            .groupBy("time_period", SID)
            .agg(F.min_by("code", "pid").alias("next_code")))
-    per = guard_code(src.join(nxt, ["time_period", SID], "left"), "next_code", pageviews)
-    nxt_code = F.col("next_code")
-    # next_code is NULL when there is no next pageview (or its URL is NULL)
-    aggs = [n_sessions().alias("sessions"),
-            count_if(nxt_code.isNotNull()).alias("next_page_session")]
-    aggs += [count_if(nxt_code == code_of(u)).alias(f"to_{lab}") for lab, u in targets.items()]
+    # sessions per period come from the source side; next-page counts from
+    # the sessions that have a next page; both are a row per period
+    sessions = src.groupBy("time_period").agg(n_sessions().alias("sessions"))
+    nxt_code = F.col("next_code")  # NULL when the next pageview's URL is NULL
+    moved = (guard_code(nxt, "next_code", pageviews).groupBy("time_period")
+             .agg(count_if(nxt_code.isNotNull()).alias("next_page_session"),
+                  *[count_if(nxt_code == code_of(u)).alias(f"to_{lab}") for lab, u in targets.items()]))
+    counts = ["next_page_session"] + [f"to_{lab}" for lab in targets]
     cols = ["time_period", "sessions", "next_page_session",
             ratio("next_page_session", "sessions").alias("next_page_session_percentage")]
     for lab in targets:
         cols += [f"to_{lab}", ratio(f"to_{lab}", "sessions").alias(f"to_{lab}_percentage")]
-    return per.groupBy("time_period").agg(*aggs).select(*cols)
+    return (sessions.join(moved, "time_period", "left")
+            .select("time_period", "sessions", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+            .select(*cols))
 
 
 def _product_extremes(pageviews: DataFrame, products: Sequence[str], after, before,

@@ -23,6 +23,10 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.ansi.enabled": "true",
+    # PySpark 4 records the Python call site of every Column function for
+    # error messages (a stack walk and extra JVM calls per F.col / F.when);
+    # that dominated building the analyses' plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

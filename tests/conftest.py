@@ -17,6 +17,7 @@ def spark():
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     from shoplens.session import checkpoint_root
