@@ -35,3 +35,8 @@ def day(ts) -> Column:
 def weekday(ts) -> Column:
     """0 = Monday .. 6 = Sunday."""
     return F.weekday(_col(ts))
+
+
+# Names under which SURVEY §2.F lists these functions (MySQL WEEK / YEARWEEK, mode 0).
+mysql_week = week_number
+mysql_yearweek = year_week

@@ -83,15 +83,17 @@ def _launch_id(pageviews: DataFrame, url: str):
 def landing_page_test(pageviews: DataFrame, sessions: DataFrame, before,
                       source: str, campaign: str,
                       pages: Sequence[str] = ("/home", "/lander-1"),
-                      launch_url: str = "/lander-1", launch_inclusive: bool = False) -> DataFrame:
+                      launch_url: str = "/lander-1", launch_inclusive: bool = False,
+                      launch_id: int | None = None) -> DataFrame:
     """A/B test of landing pages since the launch of ``launch_url``.
 
     Per session of the channel cohort, the first pageview after the launch
     pageview id (strictly after unless ``launch_inclusive``) is its landing
     page; a session bounced if it has one pageview in all.  Per landing page
-    in ``pages``: sessions, bounced sessions, bounce rate.
+    in ``pages``: sessions, bounced sessions, bounce rate.  ``launch_id``
+    fixes the launch pageview id instead of discovering it.
     """
-    launch = _launch_id(pageviews, launch_url)
+    launch = F.lit(launch_id) if launch_id is not None else _launch_id(pageviews, launch_url)
     after_launch = (F.col(PV) >= launch) if launch_inclusive else (F.col(PV) > launch)
     per = (_sessions_of(pageviews).withColumn("after_launch", after_launch)
            .groupBy(SID)
@@ -201,15 +203,15 @@ def conversion_funnel(sessions: DataFrame, pageviews: DataFrame, steps: Mapping[
 
 def page_version_order_test(pageviews: DataFrame, orders: DataFrame, before,
                             versions: Sequence[str] = ("/billing", "/billing-2"),
-                            since_url: str | None = None) -> DataFrame:
+                            since_url: str | None = None, min_pv_id: int | None = None) -> DataFrame:
     """Per page version: sessions that saw it (from the first pageview of
     ``since_url``, default the last version, inclusive), their orders, and
-    the order rate.
+    the order rate.  ``min_pv_id`` fixes that starting id instead.
 
     Pageviews reduce to one row per session with a seen-flag per version,
     which joins the per-session order counts on the shared partitioning.
     """
-    since = _launch_id(pageviews, since_url or versions[-1])
+    since = F.lit(min_pv_id) if min_pv_id is not None else _launch_id(pageviews, since_url or versions[-1])
     url = F.col(URL)
     seen = (_sessions_of(pageviews)
             .filter((F.col(PV) >= since) & in_range("created_at", before=before) & url.isin(*versions))
