@@ -53,3 +53,21 @@ def test_hot_user_gap_edges(spark):
     sid = {r.event_id: r.session_id for r in tagged.collect()}
     assert all(sid[i] == 0 for i in range(52)) and all(sid[i] == 52 for i in range(52, 63))
     assert [r.is_repeat for r in tagged.filter("is_start").orderBy("event_id").collect()] == [False, True]
+
+
+def test_hot_cells_split_into_seconds(spark):
+    """With a tiny per-task budget every (user, hour) cell is hot and cut
+    into one-second buckets; sessions do not change."""
+    events = read_source(spark, SF_SMALL, "events")
+    cols = ["event_id", "session_id", "is_start", "is_repeat"]
+    base = sorted(feeds.tag_sessions(events, 1).select(*cols).collect())
+    spark.conf.set("spark.shoplens.hotKeyRows", "1")
+    spark.conf.set("spark.shoplens.hotKeySample", "1.0")
+    try:
+        split = feeds.tag_sessions(events, 1)
+        plan = split._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(split.select(*cols).collect()) == base
+        assert "n_split" in plan
+    finally:
+        spark.conf.unset("spark.shoplens.hotKeyRows")
+        spark.conf.unset("spark.shoplens.hotKeySample")
