@@ -73,6 +73,16 @@ class Store:
     def refunds(self) -> DataFrame:
         return self.order_item_refunds
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Expose the tables as temporary views (``website_sessions``,
+        ``website_pageviews``, ``web_orders``, ``orders``, ``order_items``,
+        ``order_item_refunds``) for Spark SQL; returns the view names."""
+        names = []
+        for t in STORE_TABLES:
+            getattr(self, t).createOrReplaceTempView(prefix + t)
+            names.append(prefix + t)
+        return names
+
 
 def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

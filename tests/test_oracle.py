@@ -37,3 +37,10 @@ def test_entry_contract(spark):
     assert df.columns == ["device_type", "sessions", "orders", "conversion_rt"]
     assert df.count() >= 0
     assert set(E.oracle_sql()) == set(E.queries())
+
+
+def test_register_views(spark, store):
+    names = store.register_views(prefix="t_")
+    assert "t_website_sessions" in names
+    n = spark.sql("SELECT COUNT(*) AS n FROM t_website_sessions").first().n
+    assert n == store.sessions.count()
