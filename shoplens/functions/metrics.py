@@ -15,14 +15,22 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _name(c) -> str | None:
+    """``c`` as a quoted SQL identifier if it is a plain column name."""
+    return f"`{c}`" if isinstance(c, str) and c.isidentifier() else None
+
+
 def ratio(num, den) -> Column:
     """num / den as DOUBLE; NULL when den is 0 or NULL."""
+    a, b = _name(num), _name(den)
+    if a and b:  # one expression instead of five column calls
+        return F.expr(f"try_divide(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))")
     return F.try_divide(_col(num).cast("double"), _col(den).cast("double"))
 
 
 def count_if(cond: Column) -> Column:
     """Rows where ``cond`` is true (BIGINT, 0 when none)."""
-    return F.count(F.when(cond, F.lit(1)))
+    return F.count_if(cond)
 
 
 def money(c) -> Column:
@@ -51,6 +59,11 @@ def ts_lit(value) -> Column:
 def in_range(c, after=None, before=None, start=None, end=None) -> Column:
     """Time predicate: ``after``/``before`` are exclusive bounds,
     ``start``/``end`` inclusive ones (``BETWEEN``).  Unset bounds are open."""
+    name = _name(c)
+    if name:  # one expression with typed literals
+        parts = [f"{name} {op} TIMESTAMP_NTZ '{v}'" for op, v in
+                 ((">", after), ("<", before), (">=", start), ("<=", end)) if v is not None]
+        return F.expr(" AND ".join(parts) or "TRUE")
     c = _col(c)
     cond = F.lit(True)
     if after is not None:

@@ -53,7 +53,7 @@ def n_orders() -> Column:
 
 
 def n_sessions() -> Column:
-    return F.count(F.col(SID))
+    return F.count(SID)
 
 
 # --- hot keys ----------------------------------------------------------------------
