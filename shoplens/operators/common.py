@@ -67,7 +67,7 @@ def n_sessions() -> Column:
 
 HOT_ROWS_CONF = "spark.shoplens.hotKeyRows"        # rows per task before a key is split
 HOT_SAMPLE_CONF = "spark.shoplens.hotKeySample"    # sampled fraction for the estimate
-HOT_ROWS_DEFAULT, HOT_SAMPLE_DEFAULT = 4_000_000, 0.001
+HOT_ROWS_DEFAULT, HOT_SAMPLE_DEFAULT = 4_000_000, 0.0001  # a hot key shows ~400 sampled rows
 
 
 def _conf(df: DataFrame, key: str, default: float) -> float:
