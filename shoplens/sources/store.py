@@ -180,7 +180,11 @@ def load_store(spark: SparkSession, sf_dir: str, materialized: bool = True,
     if not materialized:
         tables, _ = derive(spark, sf_dir)
         return Store(**tables)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), root)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect: no SparkContext on the client
+        app = spark.conf.get("spark.app.id", None) or str(id(spark))
+    key = (app, os.path.abspath(sf_dir), root)
     with _lock:
         if key not in _memo:
             base = materialize(spark, sf_dir, root)
