@@ -10,7 +10,9 @@ sessions, so no join multiplies rows and no distinct aggregate is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import weakref
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.metrics import in_range
@@ -125,17 +127,26 @@ def code_of(page: str) -> Column:
     return F.xxhash64(F.lit(page))
 
 
+_dictionaries: "weakref.WeakKeyDictionary[DataFrame, DataFrame]" = weakref.WeakKeyDictionary()
+
+
 def url_dictionary(pageviews: DataFrame) -> DataFrame:
-    """Distinct (code, URL) pairs: one row per page of the site (hash
-    aggregation on keys, combined map-side)."""
-    return pageviews.select(url_code().alias("url_code"), F.col(URL).alias("url")) \
-        .filter(F.col("url").isNotNull()).distinct()
+    """Distinct (code, URL) pairs with the number of URLs sharing the code:
+    one row per page of the site (hash aggregation, combined map-side).
+    Computed once per pageviews DataFrame and kept cached, since several
+    analyses of the same table need it; recomputed from lineage if lost."""
+    d = _dictionaries.get(pageviews)
+    if d is None:
+        pairs = pageviews.select(url_code().alias("url_code"), F.col(URL).alias("url")) \
+            .filter(F.col("url").isNotNull()).distinct()
+        d = pairs.withColumn("n_urls", F.count("url").over(Window.partitionBy("url_code"))).cache()
+        _dictionaries[pageviews] = d
+    return d
 
 
 def codes_unique(pageviews: DataFrame) -> Column:
     """Scalar subquery: TRUE when no two URLs share a code."""
-    d = url_dictionary(pageviews).groupBy("url_code").agg(F.count("url").alias("n"))
-    return d.agg(F.coalesce(F.max("n"), F.lit(1)) <= 1).scalar()
+    return url_dictionary(pageviews).agg(F.coalesce(F.max("n_urls"), F.lit(1)) <= 1).scalar()
 
 
 def guard_code(df: DataFrame, col: str, pageviews: DataFrame) -> DataFrame:
@@ -150,7 +161,7 @@ def guard_code(df: DataFrame, col: str, pageviews: DataFrame) -> DataFrame:
 def decode_url(df: DataFrame, code_col: str, out_col: str, pageviews: DataFrame) -> DataFrame:
     """Replace a URL code column by the URL.  Meant for small (grouped)
     results; the dictionary is one row per page of the site."""
-    d = url_dictionary(pageviews)
+    d = url_dictionary(pageviews).select("url_code", "url")
     unique = codes_unique(pageviews)
     j = df.join(d, df[code_col] == d["url_code"], "left")
     return j.withColumn(out_col, F.when(unique, F.col("url"))
