@@ -221,7 +221,9 @@ class CommerceFeed:
     lines: DataFrame  # numbered line items the three tables derive from (for reuse)
 
 
-def commerce_feed(orders: DataFrame, lineitem: DataFrame) -> CommerceFeed:
+def number_lines(lineitem: DataFrame) -> DataFrame:
+    """Line items numbered within their order, in the item table's columns
+    plus the two that refunds need."""
     # The item id scheme (order * 100 + rank) bounds an order at 99 lines, so
     # the per-order window below is bounded by construction.
     rank = Window.partitionBy("l_orderkey").orderBy(
@@ -230,7 +232,7 @@ def commerce_feed(orders: DataFrame, lineitem: DataFrame) -> CommerceFeed:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
         "l_returnflag", "l_shipdate",
     ).withColumn("rn", F.row_number().over(rank))
-    items_x = li.select(
+    return li.select(
         (F.col("l_orderkey") * ITEM_ID_FACTOR + F.col("rn")).alias("order_item_id"),
         F.col("l_orderkey").alias("order_id"),
         (F.col("l_partkey") % 4 + 1).cast("int").alias("product_id"),
@@ -239,6 +241,14 @@ def commerce_feed(orders: DataFrame, lineitem: DataFrame) -> CommerceFeed:
         F.col("l_shipdate").alias("created_at"),
         "l_returnflag", "l_linenumber",
     )
+
+
+def commerce_feed(orders: DataFrame, lineitem: DataFrame) -> CommerceFeed:
+    return commerce_tables(orders, number_lines(lineitem))
+
+
+def commerce_tables(orders: DataFrame, items_x: DataFrame) -> CommerceFeed:
+    """Orders, items and refunds from the source orders and numbered lines."""
     order_items = items_x.drop("l_returnflag", "l_linenumber")
 
     per_order = order_items.groupBy("order_id").agg(

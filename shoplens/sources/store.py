@@ -18,7 +18,6 @@ import threading
 import uuid
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from shoplens.session import checkpoint_root
@@ -89,8 +88,8 @@ def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derive(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], list[DataFrame]]:
-    """Lazy DataFrames of all store tables, plus the shared intermediates
-    (sessionized events, numbered line items) worth keeping while writing."""
+    """Lazy DataFrames of all store tables (no writes), plus the shared
+    intermediates (sessionized events, numbered line items)."""
     web = feeds.web_feed(read_source(spark, sf_dir, "events"))
     shop = feeds.commerce_feed(read_source(spark, sf_dir, "orders"),
                                read_source(spark, sf_dir, "lineitem"))
@@ -147,29 +146,43 @@ def _publish(spark: SparkSession, staging: str, final: str) -> None:
             os.rename(staging.removeprefix("file:"), final.removeprefix("file:"))
 
 
+def _write_once(spark: SparkSession, df: DataFrame, path: str, layout=None) -> None:
+    """Write ``df`` to ``path`` unless a completed copy is already there."""
+    if _exists(spark, path):
+        return
+    if layout:
+        ts, pk = layout
+        df = df.repartitionByRange(ts, pk).sortWithinPartitions(ts, pk)
+    staging = f"{path.rstrip('/')}-staging-{uuid.uuid4().hex[:8]}"
+    df.write.mode("error").parquet(staging)
+    _publish(spark, staging, path)
+
+
 def materialize(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
-    """Write the store tables under ``root`` (default: the checkpoint dir)."""
+    """Write the store tables under ``root`` (default: the checkpoint dir).
+
+    The two intermediates every table derives from (sessionized events,
+    numbered order lines) are written first, as tables in the same shared
+    folder.  That cuts the sessionization lineage: a lost executor costs a
+    re-read, not a re-sessionization, and a failed build resumes after the
+    last published table.
+    """
     root = root or checkpoint_root(spark)
     base = f"{root.rstrip('/')}/shoplens-store/{_fingerprint(sf_dir)}"
     if all(_exists(spark, f"{base}/{t}") for t in STORE_TABLES):
         return base
-    tables, shared = derive(spark, sf_dir)
-    # The web tables read the same sessionized events and the commerce tables
-    # the same numbered lines: keep those (spillable; recomputed from lineage
-    # if an executor is lost) for the duration of the writes.
-    for df in shared:
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for name in STORE_TABLES:
-            if not _exists(spark, f"{base}/{name}"):
-                ts, pk = LAYOUT[name]
-                staging = f"{base}/_staging-{name}-{uuid.uuid4().hex[:8]}"
-                (tables[name].repartitionByRange(ts, pk).sortWithinPartitions(ts, pk)
-                 .write.mode("error").parquet(staging))
-                _publish(spark, staging, f"{base}/{name}")
-    finally:
-        for df in shared:
-            df.unpersist()
+    _write_once(spark, feeds.tag_sessions(read_source(spark, sf_dir, "events")),
+                f"{base}/work/tagged_events")
+    _write_once(spark, feeds.number_lines(read_source(spark, sf_dir, "lineitem")),
+                f"{base}/work/order_lines")
+    web = feeds.web_tables_from_tagged(spark.read.parquet(f"{base}/work/tagged_events"))
+    shop = feeds.commerce_tables(read_source(spark, sf_dir, "orders"),
+                                 spark.read.parquet(f"{base}/work/order_lines"))
+    tables = {"website_sessions": web.sessions, "website_pageviews": web.pageviews,
+              "web_orders": web.orders, "orders": shop.orders, "order_items": shop.order_items,
+              "order_item_refunds": shop.refunds}
+    for name in STORE_TABLES:
+        _write_once(spark, tables[name], f"{base}/{name}", LAYOUT[name])
     return base
 
 
