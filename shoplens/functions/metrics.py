@@ -75,3 +75,13 @@ def in_range(c, after=None, before=None, start=None, end=None) -> Column:
     if end is not None:
         cond = cond & (c <= ts_lit(end))
     return cond
+
+
+def id_range(lo=None, hi=None, col: str = "order_id") -> Column:
+    """``col BETWEEN lo AND hi``; an unset bound is open."""
+    cond = F.lit(True)
+    if lo is not None:
+        cond = cond & (F.col(col) >= lo)
+    if hi is not None:
+        cond = cond & (F.col(col) <= hi)
+    return cond

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.functions.metrics import count_if, in_range, ratio, sum_money, ts_lit
+from shoplens.functions.metrics import count_if, id_range, in_range, ratio, sum_money, ts_lit
 from shoplens.operators.common import (SID, code_of, cohort, guard_code, n_orders, n_sessions,
                                        orders_per_session, split_hot_join, url_code, with_orders)
 
@@ -199,10 +199,11 @@ def single_item_primary_lines(orders: DataFrame, items: DataFrame) -> DataFrame:
                     "is_primary_item", "items_purchased"))
 
 
-def cross_sell_pairs(orders: DataFrame, items: DataFrame, id_lo: int, id_hi: int) -> DataFrame:
+def cross_sell_pairs(orders: DataFrame, items: DataFrame, id_lo: int | None = None,
+                     id_hi: int | None = None) -> DataFrame:
     """(primary product, other product in the order) pairs: order lines,
     most first."""
-    rng = F.col("order_id").between(id_lo, id_hi)
+    rng = id_range(id_lo, id_hi)
     o = orders.filter(rng).select("order_id", "primary_product_id")
     # lines per (order, product) first: a hot order becomes a few rows
     i = items.filter(rng).groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
@@ -213,12 +214,12 @@ def cross_sell_pairs(orders: DataFrame, items: DataFrame, id_lo: int, id_hi: int
             .orderBy(F.desc("orders")))
 
 
-def cross_sell_matrix(orders: DataFrame, items: DataFrame, id_lo: int, id_hi: int,
-                      products: Sequence[int] = (1, 2, 3)) -> DataFrame:
+def cross_sell_matrix(orders: DataFrame, items: DataFrame, id_lo: int | None = None,
+                      id_hi: int | None = None, products: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """Per primary product: order rows joined with their non-primary items
     (an order with two such items counts twice, as the join gives), items
     cross-sold per product, and their rate over those rows."""
-    rng = F.col("order_id").between(id_lo, id_hi)
+    rng = id_range(id_lo, id_hi)
     o = orders.filter(rng).select("order_id", "primary_product_id")
     # non-primary lines per (order, product) first: a hot order becomes a few
     # rows; an order matches max(1, lines) rows in the literal join
@@ -339,17 +340,24 @@ def _refunds_per_item(refunds: DataFrame) -> DataFrame:
     return refunds.groupBy("order_item_id").agg(F.count("order_item_refund_id").alias("n_refunds"))
 
 
-def refund_lookup(items: DataFrame, refunds: DataFrame, order_ids: Sequence[int]) -> DataFrame:
-    """Items of the given orders with their refunds (NULL when none)."""
-    i = items.filter(F.col("order_id").isin(*order_ids)).select(
-        "order_id", "order_item_id", F.col("price_usd").cast("double").alias("price_paid_usd"),
-        F.col("created_at").alias("item_created_at"))
-    # refunds are reduced to the looked-up items first (a semi join the
-    # optimizer can broadcast once it has measured the item side)
-    r = refunds.join(i.select("order_item_id"), "order_item_id", "left_semi").select(
-        "order_item_id", "order_item_refund_id",
-        F.col("refund_amount_usd").cast("double").alias("refund_amount_usd"),
-        F.col("created_at").alias("refund_created_at"))
+def refund_lookup(items: DataFrame, refunds: DataFrame,
+                  order_ids: Sequence[int] | None = None) -> DataFrame:
+    """Items (of the given orders, or all) with their refunds (NULL when
+    none)."""
+    i = items
+    if order_ids is not None:
+        i = i.filter(F.col("order_id").isin(*order_ids))
+    i = i.select("order_id", "order_item_id",
+                 F.col("price_usd").cast("double").alias("price_paid_usd"),
+                 F.col("created_at").alias("item_created_at"))
+    r = refunds
+    if order_ids is not None:
+        # a lookup: reduce refunds to the looked-up items first (a semi join
+        # the optimizer can broadcast once it has measured the item side)
+        r = r.join(i.select("order_item_id"), "order_item_id", "left_semi")
+    r = r.select("order_item_id", "order_item_refund_id",
+                 F.col("refund_amount_usd").cast("double").alias("refund_amount_usd"),
+                 F.col("created_at").alias("refund_created_at"))
     return i.join(r, "order_item_id", "left").select(
         "order_id", "order_item_id", "price_paid_usd", "item_created_at",
         "order_item_refund_id", "refund_amount_usd", "refund_created_at")

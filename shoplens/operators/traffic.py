@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.calendar import day, week_number
-from shoplens.functions.metrics import count_if, ratio
+from shoplens.functions.metrics import count_if, id_range, ratio
 from shoplens.operators.common import cohort, n_orders, n_sessions, with_orders
 
 
@@ -30,12 +30,13 @@ def conversion_overall(sessions: DataFrame, orders: DataFrame, before,
             .withColumn("session_to_order_conv_rt", ratio("orders", "sessions")))
 
 
-def items_per_order_pivot(orders: DataFrame, id_lo: int, id_hi: int,
+def items_per_order_pivot(orders: DataFrame, id_lo: int | None = None, id_hi: int | None = None,
                           sizes: Sequence[int] = (1, 2)) -> DataFrame:
-    """Per primary product: orders with n items for each n, and all orders."""
+    """Per primary product: orders with n items for each n, and all orders
+    (optionally only order ids in [id_lo, id_hi])."""
     def name(n):
         return f"orders_with_{n}_item" + ("" if n == 1 else "s")
-    return (orders.filter(F.col("order_id").between(id_lo, id_hi))
+    return (orders.filter(id_range(id_lo, id_hi))
             .groupBy("primary_product_id")
             .agg(*[count_if(F.col("items_purchased") == n).alias(name(n)) for n in sizes],
                  F.count("order_id").alias("total_orders")))

@@ -63,6 +63,13 @@ def sql_list(values) -> str:
     return ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
 
 
+def id_between(p: dict, col: str) -> str:
+    """SQL conditions for optional ``id_lo`` / ``id_hi`` parameters."""
+    conds = [f"{col} >= {p['id_lo']}" if p.get("id_lo") is not None else "",
+             f"{col} <= {p['id_hi']}" if p.get("id_hi") is not None else ""]
+    return " AND ".join(c for c in conds if c) or "TRUE"
+
+
 def yr(c: str) -> str:
     return f"CAST(year({c}) AS INTEGER)"
 
