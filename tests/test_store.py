@@ -30,3 +30,14 @@ def test_publish_keeps_the_first_copy(spark):
     _publish(spark, f"{root}/first", f"{root}/table")
     _publish(spark, f"{root}/second", f"{root}/table")      # lost the race
     assert spark.read.parquet(f"{root}/table").count() == 3
+
+
+def test_write_reports(spark):
+    from shoplens.plans.report import write_reports
+    from shoplens.sources.store import load_store
+    out = tempfile.mkdtemp(prefix="shoplens-reports-")
+    store = load_store(spark, SF_SMALL)
+    names = write_reports(store, out, ["conversion_by_device", "monthly_refund_summary"])
+    for n in names:
+        from shoplens.plans import REGISTRY
+        assert spark.read.parquet(f"{out}/{n}").count() == REGISTRY[n](store).count()
