@@ -221,16 +221,19 @@ def cross_sell_matrix(orders: DataFrame, items: DataFrame, id_lo: int | None = N
     cross-sold per product, and their rate over those rows."""
     rng = id_range(id_lo, id_hi)
     o = orders.filter(rng).select("order_id", "primary_product_id")
-    # non-primary lines per (order, product) first: a hot order becomes a few
-    # rows; an order matches max(1, lines) rows in the literal join
+    # non-primary lines per order first, one count per product: a hot order
+    # becomes one row, already partitioned on the join key; an order
+    # matches max(1, lines) rows in the literal join
+    prod = F.col("product_id")
     i = (items.filter(rng & (F.col("is_primary_item") == 0))
-         .groupBy("order_id", "product_id").agg(F.count("order_item_id").alias("n")))
-    n = F.coalesce(F.col("n"), F.lit(1))
+         .groupBy("order_id")
+         .agg(F.count("order_item_id").alias("n"),
+              *[count_if(prod == p).alias(f"n{p}") for p in products]))
     agg = (o.join(i, "order_id", "left")
            .groupBy("primary_product_id")
-           .agg(F.sum(n).cast("long").alias("orders"),
-                *[F.coalesce(F.sum(F.when(F.col("product_id") == p, F.col("n"))), F.lit(0))
-                  .cast("long").alias(f"x_sell_product{p}") for p in products]))
+           .agg(F.sum(F.greatest(F.coalesce(F.col("n"), F.lit(0)), F.lit(1))).cast("long").alias("orders"),
+                *[F.coalesce(F.sum(f"n{p}"), F.lit(0)).cast("long").alias(f"x_sell_product{p}")
+                  for p in products]))
     return agg.select("primary_product_id", "orders",
                       *[f"x_sell_product{p}" for p in products],
                       *[ratio(f"x_sell_product{p}", "orders").alias(f"x_sell_product{p}_rt")
