@@ -10,7 +10,8 @@ from shoplens.plans import REGISTRY
 from shoplens.plans.verify import compare
 
 NAMES = sorted(REGISTRY)
-CASES = {"seed1": dict(seed=1), "seed2": dict(seed=2, n_sessions=90), "empty": dict(seed=0, empty=True)}
+CASES = {"seed1": dict(seed=1), "seed2": dict(seed=2, n_sessions=90), "seed5": dict(seed=5, n_sessions=200),
+         "empty": dict(seed=0, empty=True)}
 
 
 @pytest.fixture(scope="module", params=list(CASES))
