@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import simhash
+from . import bpe, simhash
 from .common import table
 
 
@@ -16,8 +16,23 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
 
+def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def bpe_digests(coded: DataFrame) -> DataFrame:
+    return coded.select("doc_id", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup,)
+    f.__name__: f for f in (op1_simhash_near_dedup, op4_bpe_encode_decode)
 }
 
 ORACLE_SQL: dict[str, str] = {}
