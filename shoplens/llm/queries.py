@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, simhash
+from . import bpe, simhash, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -32,7 +36,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op4_bpe_encode_decode)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op4_bpe_encode_decode)
 }
 
 ORACLE_SQL: dict[str, str] = {}
