@@ -49,3 +49,14 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int):
         n = max(1, int(np.searchsorted(np.cumsum(size[start:], dtype=np.int64), limit, side="right")))
         yield batch.slice(start, n)
         start += n
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, ways: int = 16) -> DataFrame:
+    """Left join on null-safe keys of which one may hold a large part of left:
+    left is dealt over `ways` by a hash of column `by`, right (a row per key) is
+    repeated for each."""
+    a = left.withColumn("_way", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int")).alias("a")
+    b = right.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))).alias("b")
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a._way") == F.col("b._way")]
+    rest = [F.col(f"b.{c}") for c in right.columns if c not in keys]
+    return a.join(b, on, "left").select(*[F.col(f"a.{c}") for c in left.columns], *rest)

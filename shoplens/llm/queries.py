@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, simhash, toxicity
+from . import bpe, quality_rules, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -30,13 +35,20 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    known = url_filter.labels_by_url(pages, table(spark, sf_dir, "labels"))
+    return url_filter.judge(pages, known).select("page_id", "host", "path", "rule", "verdict")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op4_bpe_encode_decode)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality_rules, op4_bpe_encode_decode,
+                             op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {}
