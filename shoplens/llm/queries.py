@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, quality_rules, simhash, toxicity, url_filter
+from . import bpe, decontam, langid, quality_cotrain, quality_rules, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -35,6 +35,18 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cotrain.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     known = url_filter.labels_by_url(pages, table(spark, sf_dir, "labels"))
@@ -48,7 +60,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality_rules, op4_bpe_encode_decode,
-                             op10_url_filter)
+                             op7_language_id, op8_benchmark_decontamination,
+                             op9_quality_classifier, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {}
