@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, langid, quality_cotrain, quality_rules, simhash, toxicity, url_filter
+from . import bpe, decontam, langid, pii, quality_cotrain, quality_rules, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -35,6 +35,19 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+def pii_digests(found: DataFrame) -> DataFrame:
+    def joined(spans):
+        return f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.stop)), ',')"
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts,
+                        F.sha2(F.expr(joined("filter(spans, s -> s.kind <> 'term')")).cast("binary"), 256).alias("base_sha256"),
+                        F.expr(joined("spans")).alias("spans"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -60,7 +73,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality_rules, op4_bpe_encode_decode,
-                             op7_language_id, op8_benchmark_decontamination,
+                             op6_pii, op7_language_id, op8_benchmark_decontamination,
                              op9_quality_classifier, op10_url_filter)
 }
 
