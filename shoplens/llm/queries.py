@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, langid, pii, quality_cotrain, quality_rules, simhash, toxicity, url_filter
+from . import bpe, decontam, langid, pii, quality_cotrain, quality_rules, simhash, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -35,6 +35,13 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    removed = F.expr("aggregate(spans, 0L, (a, s) -> a + s.stop - s.first)")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digests(pii.find(table(spark, sf_dir, "documents")))
 
@@ -73,7 +80,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality_rules, op4_bpe_encode_decode,
-                             op6_pii, op7_language_id, op8_benchmark_decontamination,
+                             op5_substring_dedup, op6_pii, op7_language_id, op8_benchmark_decontamination,
                              op9_quality_classifier, op10_url_filter)
 }
 
