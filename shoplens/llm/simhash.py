@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import text_bytes, written
 
@@ -165,16 +165,43 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select("b", "b").distinct())
 
 
+def _groups(fp: DataFrame, max_bits: int, hot_segment: int) -> DataFrame:
+    """fp, label (of its component) and component_id (the smallest id there) of each distinct fingerprint."""
+    nodes = written(fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    label = components(links(nodes.select("fp"), max_bits, hot_segment))
+    named = nodes.join(label, nodes.fp == label.node, "left").select(
+        "fp", "first_id", F.coalesce("label", "fp").alias("label"))
+    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return named.join(least, "label").select("fp", "label", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3,
                     hot_segment: int = HOT_SEGMENT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each document."""
     fp = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    pairs = links(written(nodes.select("fp"), "distinct"), max_bits, hot_segment)
-    label = components(pairs)
-    named = nodes.join(label, nodes.fp == label.node, "left").select(
-        "fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    group = named.join(least, "label").select("fp", "component_id")
-    return fp.join(group, "fp").select(
+    return fp.join(_groups(fp, max_bits, hot_segment), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3, hot_segment: int = HOT_SEGMENT) -> DataFrame:
+    """One row of docs, with all its columns, of each group: that with the
+    smallest id (of equal ids, one with the smallest fingerprint)."""
+    fp = written(fingerprints(docs, shingle), "fingerprints")
+    group = fp.join(_groups(fp, max_bits, hot_segment), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = group.groupBy("label", "doc_id").agg(F.min("fp").alias("fp"))
+    first = written(first.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")), "first")
+    again = fp.groupBy("doc_id", "fp").count().where("count > 1")  # rows that repeat id and fingerprint
+
+    def mark(batches):
+        for b in batches:
+            fps = np.array([simhash(t, shingle) for t in text_bytes(b, "text")], np.uint64).view(np.int64)
+            yield b.append_column("_mark", pa.array(fps))
+    marked = docs.mapInArrow(mark, _with(docs.schema))
+    kept = marked.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_fp")), "left_semi")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_mark"])
+    return kept.select(*docs.columns)
+
+
+def _with(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("_mark", T.LongType())])
