@@ -2,9 +2,10 @@
 
 A path's segments are generalised: digits become `#`, and a segment too rare
 below its parent becomes `*`.  That gives a tree of templates per host.  From
-the host downwards, a branch whose labelled purity is statistically like its
-parent's is merged with it (it takes the parent's estimate); one that differs
-keeps its own, smoothed towards the parent's.  Pages of a template whose
+the host downwards, branches of a parent whose labelled purities are
+statistically alike are merged to one cluster, and a cluster like its parent is
+merged with it; one that differs has its own estimate, smoothed towards the
+parent's.  Pages of a template whose
 purity is below `least` are blocked.  Explicit rules come first.
 
 Pages are aggregated to templates before anything is joined, so the tree has a
@@ -18,12 +19,14 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import spread_join, written
 
 #: Verdict, host and path of each rule.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: Bins of purity among the branches of a parent.
+LEVELS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,6 +60,7 @@ def template_purity(shapes: DataFrame, depth: int, support: int, weight: float,
     rows = shapes.withColumn("parts", F.split(F.regexp_replace("shape", "^/", ""), "/")).withColumn(
         "template", F.lit("")).withColumn("purity", F.lit(base))
     for level in range(depth + 1):
+        rows = rows.withColumn("parent", F.col("template"))
         if level:
             part = F.expr(f"get(parts, {level - 1})")
             rows = rows.withColumn("part", F.coalesce(part, F.lit("")))
@@ -65,19 +69,42 @@ def template_purity(shapes: DataFrame, depth: int, support: int, weight: float,
                 "part", F.when(F.col("here") < support, F.lit("*")).otherwise(F.col("part")))
             rows = rows.withColumn("template", F.when(F.size("parts") >= level, F.concat("template", F.lit("/"), "part"))
                                    .otherwise(F.col("template"))).drop("part", "here")
-        tree = rows.groupBy("host", "template").agg(F.sum("labelled").alias("k"), F.sum("good").alias("g"),
-                                                    F.max("purity").alias("above"))
-        # like the parent unless its rate is far from the parent's for its size
-        gap = F.abs(F.col("g") / F.col("k") - F.col("above")) / F.sqrt(
-            F.greatest(F.col("above") * (1 - F.col("above")), F.lit(1e-4)) / F.col("k"))
-        own = (F.col("g") + weight * F.col("above")) / (F.col("k") + weight)
-        tree = tree.select("host", "template", F.when(F.col("k") == 0, F.col("above")).when(gap < z, F.col("above"))
-                           .otherwise(own).alias("now"))
-        rows = spread_join(rows, tree, ["host", "template"], "shape").withColumn("purity", F.col("now")).drop("now")
-        rows = written(rows, f"level{level}")
+        tree = rows.groupBy("host", "parent", "template").agg(
+            F.sum("labelled").alias("k"), F.sum("good").alias("g"), F.max("purity").alias("above"))
+        now = _merged(written(tree, f"tree{level}"), weight, z)
+        rows = spread_join(rows, now, ["host", "parent", "template"], "shape").withColumn("purity", F.col("now"))
+        rows = written(rows.drop("now", "parent"), f"level{level}")
     return rows.select("host", "shape", "template", "purity")
 
 
+def _merged(tree: DataFrame, weight: float, z: float) -> DataFrame:
+    """host, parent, template and now: each branch's purity after merging.
+    Branches of one parent are put into LEVELS bins of smoothed purity, and
+    neighbouring bins whose rates don't differ by z standard errors become one
+    cluster.  A cluster that differs from the parent by as much has an estimate
+    of its own, smoothed towards the parent's; others take the parent's."""
+    def own(k, g):
+        return (F.col(g) + weight * F.col("above")) / (F.col(k) + weight)
+    level = F.floor(own("k", "g") * LEVELS)
+    tree = tree.withColumn("bin", F.when(F.col("k") > 0, level))
+    bins = tree.where("k > 0").groupBy("host", "parent", "bin").agg(
+        F.sum("k").alias("k"), F.sum("g").alias("g"), F.max("above").alias("above"))
+    beside = Window.partitionBy("host", "parent").orderBy("bin")  # LEVELS + 1 rows at most
+    bins = bins.withColumn("k0", F.lag("k").over(beside)).withColumn("g0", F.lag("g").over(beside))
+    both = (F.col("g") + F.col("g0")) / (F.col("k") + F.col("k0"))
+    error = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-4)) * (1 / F.col("k") + 1 / F.col("k0")))
+    apart = F.abs(F.col("g") / F.col("k") - F.col("g0") / F.col("k0")) >= z * error
+    bins = bins.withColumn("cluster", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(beside))
+    pool = bins.groupBy("host", "parent", "cluster").agg(
+        F.sum("k").alias("k"), F.sum("g").alias("g"), F.max("above").alias("above"))
+    gap = F.abs(F.col("g") / F.col("k") - F.col("above")) / F.sqrt(
+        F.greatest(F.col("above") * (1 - F.col("above")), F.lit(1e-4)) / F.col("k"))
+    pool = pool.select("host", "parent", "cluster", F.when(gap < z, F.col("above")).otherwise(own("k", "g")).alias("now"))
+    found = bins.join(pool, ["host", "parent", "cluster"]).select("host", "parent", "bin", "now")
+    return tree.join(found, ["host", "parent", "bin"], "left").select(
+        "host", "parent", "template", F.coalesce("now", "above").alias("now"))
+
+
 def judge(pages: DataFrame, page_labels: DataFrame, rules=RULES, least: float = 0.5, depth: int = 4,
           support: int = 5, weight: float = 10.0, z: float = 2.0) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity.  page_labels: page_id and good (boolean)."""

@@ -59,7 +59,8 @@ def test_templates_by_purity(spark):
     for i, u in enumerate(urls[:1200]):
         assert rows[i].verdict == ("block" if "/spam/" in u else "allow")
         assert rows[i].template == "/" + u.split("/")[3] + "/#.html"
-    assert rows[0].purity == rows[3].purity and abs(rows[0].purity - 0.945) > 0 and rows[2].purity < 0.1
+    # the two good branches are alike and merge, the third stands apart
+    assert rows[0].purity == rows[1].purity and abs(rows[0].purity - 0.94) < 0.02 and rows[2].purity < 0.1
     assert all(rows[1200 + i].template == "/*/*" for i in range(3))
     assert rows[1203].verdict == "allow"  # one bad page of a host is no evidence
 
