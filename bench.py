@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from shoplens.plans import REGISTRY  # noqa: E402
 from shoplens.session import checkpoint_root, local_session  # noqa: E402
-from shoplens.sources.store import load_store  # noqa: E402
+from shoplens.sources.store import materialize  # noqa: E402
 
 
 def _run(df) -> None:
@@ -36,7 +36,7 @@ def main() -> None:
     root = f"{checkpoint_root(spark).rstrip('/')}/bench-{uuid.uuid4().hex[:8]}"
 
     t0 = time.perf_counter()
-    store = load_store(spark, sf_dir, root=root)
+    store = materialize(spark, sf_dir, root=root)
     build = time.perf_counter() - t0
 
     times = {}
@@ -51,12 +51,13 @@ def main() -> None:
 
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({
-        "metric": "sum of median wall seconds over all analyses",
-        "value": round(sum(times.values()), 3),
+        "metric": "wall seconds: store build plus the sum of the analyses' medians",
+        "value": round(build + sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "store_build_sec": round(build, 3),
+        "analyses_sec": round(sum(times.values()), 3),
         "cpus": cpus,
         "repeats": repeats,
         "spark": spark.version,

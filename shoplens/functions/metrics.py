@@ -7,6 +7,8 @@ DECIMAL and returned as DOUBLE.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,9 +53,17 @@ def half_up_avg_1(total, n) -> Column:
     return F.when(n > 0, whole / 10.0)
 
 
+def ts_text(value) -> str:
+    """A time parameter (datetime, date or ISO text) in ISO form; ValueError for anything else."""
+    if isinstance(value, (dt.datetime, dt.date)):
+        return value.isoformat()
+    dt.datetime.fromisoformat(str(value))
+    return str(value)
+
+
 def ts_lit(value) -> Column:
     """A time parameter as a TIMESTAMP_NTZ literal (no session time zone)."""
-    return F.lit(str(value)).cast("timestamp_ntz")
+    return F.lit(ts_text(value)).cast("timestamp_ntz")
 
 
 def in_range(c, after=None, before=None, start=None, end=None) -> Column:
@@ -61,7 +71,7 @@ def in_range(c, after=None, before=None, start=None, end=None) -> Column:
     ``start``/``end`` inclusive ones (``BETWEEN``).  Unset bounds are open."""
     name = _name(c)
     if name:  # one expression with typed literals
-        parts = [f"{name} {op} TIMESTAMP_NTZ '{v}'" for op, v in
+        parts = [f"{name} {op} TIMESTAMP_NTZ '{ts_text(v)}'" for op, v in
                  ((">", after), ("<", before), (">=", start), ("<=", end)) if v is not None]
         return F.expr(" AND ".join(parts) or "TRUE")
     c = _col(c)

@@ -46,20 +46,20 @@ def conversion_by_device_source(sessions: DataFrame, orders: DataFrame, after, b
 def weekly_source_device_pivot(sessions: DataFrame, after, before, campaign: str,
                                sources: Mapping[str, str] | None = None,
                                devices: Sequence[str] = ("desktop", "mobile")) -> DataFrame:
-    """Per year-week: sessions of each (source, device) and, per device, the
-    second source's sessions as a share of the first's.
+    """Per year-week: sessions of each (source, device) and, per device, every
+    further source's sessions as a share of the first's.
 
     ``sources`` maps a column prefix to a utm_source, base source first.
     """
     sources = dict(sources or {"g": "gsearch", "b": "bsearch"})
-    (base, base_src), (other, other_src) = list(sources.items())[:2]
+    base, *others = sources
     src, dev = F.col("utm_source"), F.col("device_type")
     aggs, rates = [], []
     for d in devices:
         for p, s in sources.items():
             aggs.append(count_if((src == s) & (dev == d)).alias(f"{p}_{d}_sessions"))
-        rates.append((f"{other}_percentage_of_{base}_{d}",
-                      ratio(f"{other}_{d}_sessions", f"{base}_{d}_sessions")))
+        rates += [(f"{other}_percentage_of_{base}_{d}",
+                   ratio(f"{other}_{d}_sessions", f"{base}_{d}_sessions")) for other in others]
     out = (cohort(sessions, after=after, before=before, campaign=campaign)
            .groupBy(year_week("created_at").alias("year_week"))
            .agg(F.min(day("created_at")).alias("week_start_date"), *aggs))

@@ -10,9 +10,7 @@ sessions, so no join multiplies rows and no distinct aggregate is needed.
 
 from __future__ import annotations
 
-import weakref
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.metrics import in_range
@@ -79,23 +77,33 @@ def _conf(df: DataFrame, key: str, default: float) -> float:
         return default
 
 
-def hot_keys(big: DataFrame, keys: list[str]) -> DataFrame:
+def hot_keys(big: DataFrame, keys: list[str], by: str) -> DataFrame:
     """Keys of ``big`` estimated to hold more than the per-task row budget,
-    with ``n_split`` ways to split each.  A key qualifies only with
-    ``rows_per_task`` rows, so there are at most rows(big) / rows_per_task of
-    them: small enough to broadcast, by construction."""
+    with ``n_split`` ways to split each.  The sample is chosen by a hash of
+    ``by`` (the primary key), so it is a function of the rows and every scan
+    of them finds the same keys."""
     rows = _conf(big, HOT_ROWS_CONF, HOT_ROWS_DEFAULT)
     frac = min(1.0, _conf(big, HOT_SAMPLE_CONF, HOT_SAMPLE_DEFAULT))
-    sampled = big.select(*keys).sample(fraction=frac, seed=17) if frac < 1 else big.select(*keys)
+    million = 1_000_000
+    picked = F.pmod(F.xxhash64(F.col(by)), F.lit(million)) < max(1, round(frac * million))
+    sampled = big.filter(picked).select(*keys) if frac < 1 else big.select(*keys)
     return (sampled.groupBy(*keys).count()
             .select(*keys, F.ceil(F.col("count") / F.lit(frac * rows)).cast("int").alias("n_split"))
             .filter(F.col("n_split") > 1))
 
 
+def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys that may be NULL (NULL meets NULL); keeps a's keys."""
+    x, y = a.alias("x"), b.alias("y")
+    on = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
+    rest = [F.col(f"y.{c}") for c in b.columns if c not in keys]
+    return x.join(y, on, how).select(*[F.col(f"x.{c}") for c in a.columns], *rest)
+
+
 def split_hot_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: str) -> DataFrame:
     """Inner join of ``big`` (possibly hot keys) with ``small`` (a few rows
     per key) on ``keys``, with hot keys split over several tasks."""
-    hot = F.broadcast(hot_keys(big, keys))
+    hot = hot_keys(big, keys, by=salt_by)
     b = (big.join(hot, keys, "left")
          .withColumn("_salt", F.when(F.col("n_split").isNull(), F.lit(0))
                      .otherwise(F.pmod(F.xxhash64(F.col(salt_by)), F.col("n_split"))).cast("int"))
@@ -106,64 +114,12 @@ def split_hot_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: s
     return b.join(s, keys + ["_salt"], "inner").drop("_salt")
 
 
-# --- URLs inside aggregates -----------------------------------------------------
-# A string in an aggregation buffer (min_by(url, id), min(struct(id, url)))
-# forces Spark into sort-based aggregation, i.e. sorting every pageview.
-# URLs therefore travel through aggregates as a 64-bit code, which keeps hash
-# aggregation.  Equality on codes is exact as long as no two distinct URLs
-# share a code; ``codes_unique`` checks that once per query (a scalar
-# subquery over the distinct URLs) and ``guard_code`` makes the query fail
-# rather than return a wrong row if it ever does not hold.
-
-URL = "pageview_url"
-
-
-def url_code(col: str = URL) -> Column:
-    """64-bit code of a URL; NULL for NULL."""
-    return F.when(F.col(col).isNotNull(), F.xxhash64(F.col(col)))
-
-
-def code_of(page: str) -> Column:
-    return F.xxhash64(F.lit(page))
-
-
-_dictionaries: "weakref.WeakKeyDictionary[DataFrame, DataFrame]" = weakref.WeakKeyDictionary()
-
-
-def url_dictionary(pageviews: DataFrame) -> DataFrame:
-    """Distinct (code, URL) pairs with the number of URLs sharing the code:
-    one row per page of the site (hash aggregation, combined map-side).
-    Computed once per pageviews DataFrame and kept cached, since several
-    analyses of the same table need it; recomputed from lineage if lost."""
-    d = _dictionaries.get(pageviews)
-    if d is None:
-        pairs = pageviews.select(url_code().alias("url_code"), F.col(URL).alias("url")) \
-            .filter(F.col("url").isNotNull()).distinct()
-        d = pairs.withColumn("n_urls", F.count("url").over(Window.partitionBy("url_code"))).cache()
-        _dictionaries[pageviews] = d
-    return d
-
-
-def codes_unique(pageviews: DataFrame) -> Column:
-    """Scalar subquery: TRUE when no two URLs share a code."""
-    return url_dictionary(pageviews).agg(F.coalesce(F.max("n_urls"), F.lit(1)) <= 1).scalar()
-
-
-def guard_code(df: DataFrame, col: str, pageviews: DataFrame) -> DataFrame:
-    """``df`` with URL-code column ``col`` passed through the collision
-    check (one projection, so the check runs once per query); after this,
-    comparing ``col`` with ``code_of(page)`` is exact."""
-    ok = codes_unique(pageviews)
-    return df.withColumn(col, F.when(ok, F.col(col))
-                         .otherwise(F.raise_error(F.lit("pageview_url code collision"))))
-
+# --- lower bounds on ids -------------------------------------------------------------
 
-def decode_url(df: DataFrame, code_col: str, out_col: str, pageviews: DataFrame) -> DataFrame:
-    """Replace a URL code column by the URL.  Meant for small (grouped)
-    results; the dictionary is one row per page of the site."""
-    d = url_dictionary(pageviews).select("url_code", "url")
-    unique = codes_unique(pageviews)
-    j = df.join(d, df[code_col] == d["url_code"], "left")
-    return j.withColumn(out_col, F.when(unique, F.col("url"))
-                        .otherwise(F.raise_error(F.lit("pageview_url code collision")))) \
-        .drop("url_code", "url", *([code_col] if code_col != out_col else []))
+def from_first(pageviews: DataFrame, seen: Column, pv: str = "website_pageview_id") -> DataFrame:
+    """The pageviews whose id is at least the smallest id among those that
+    satisfy ``seen`` (none if none does).  Analyses of what follows a view
+    need no earlier id; the bound is a scalar subquery, so it is pushed to
+    the scan as a filter on the id without a driver round trip."""
+    least = pageviews.filter(seen).agg(F.min(pv)).scalar()
+    return pageviews.filter(F.col(pv) >= least)

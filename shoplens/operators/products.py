@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.metrics import count_if, id_range, in_range, ratio, sum_money, ts_lit
-from shoplens.operators.common import (SID, code_of, cohort, guard_code, n_orders, n_sessions,
-                                       orders_per_session, split_hot_join, url_code, with_orders)
+from shoplens.operators.common import (SID, cohort, from_first, n_orders, n_sessions,
+                                       orders_per_session, split_hot_join, with_orders)
 
 PV = "website_pageview_id"
 URL = "pageview_url"
@@ -76,21 +76,24 @@ def next_page_pathing(pageviews: DataFrame, from_url: str, targets: Mapping[str,
     A session is counted once per period in which it viewed ``from_url``;
     its next page is the first pageview after its first such view.
     """
-    src = (pageviews.filter((F.col(URL) == from_url) & in_range("created_at", after=after, before=before))
+    seen = (F.col(URL) == from_url) & in_range("created_at", after=after, before=before)
+    src = (pageviews.filter(seen)
            .groupBy(_period("created_at", split, labels).alias("time_period"), SID)
            .agg(F.min(PV).alias("from_id")))
-    nxt = (split_hot_join(pageviews.select(SID, F.col(PV).alias("pid"), url_code().alias("code")),
+    # the next page is X iff the smallest later id is the smallest later id of X
+    pid, url = F.col("pid"), F.col(URL)
+    nxt = (split_hot_join(from_first(pageviews, seen).select(SID, F.col(PV).alias("pid"), URL),
                           src, [SID], salt_by="pid")
-           .filter(F.col("pid") > F.col("from_id"))
+           .filter(pid > F.col("from_id"))
            .groupBy("time_period", SID)
-           .agg(F.min_by("code", "pid").alias("next_code")))
+           .agg(F.min("pid").alias("next"), F.min(F.when(url.isNotNull(), pid)).alias("known"),
+                *[F.min(F.when(url == u, pid)).alias(f"next_{lab}") for lab, u in targets.items()]))
     # sessions per period come from the source side; next-page counts from
     # the sessions that have a next page; both are a row per period
     sessions = src.groupBy("time_period").agg(n_sessions().alias("sessions"))
-    nxt_code = F.col("next_code")  # NULL when the next pageview's URL is NULL
-    moved = (guard_code(nxt, "next_code", pageviews).groupBy("time_period")
-             .agg(count_if(nxt_code.isNotNull()).alias("next_page_session"),
-                  *[count_if(nxt_code == code_of(u)).alias(f"to_{lab}") for lab, u in targets.items()]))
+    moved = (nxt.groupBy("time_period")
+             .agg(count_if(F.col("next") == F.col("known")).alias("next_page_session"),
+                  *[count_if(F.col("next") == F.col(f"next_{lab}")).alias(f"to_{lab}") for lab in targets]))
     counts = ["next_page_session"] + [f"to_{lab}" for lab in targets]
     cols = ["time_period", "sessions", "next_page_session",
             ratio("next_page_session", "sessions").alias("next_page_session_percentage")]
@@ -111,7 +114,8 @@ def _product_extremes(pageviews: DataFrame, products: Sequence[str], after, befo
     aggs = [F.min(F.when((url == p) & win, pid)).alias(f"a{i}") for i, p in enumerate(products)]
     aggs += [F.max(F.when(url == s, pid)).alias(f"b{j}") for j, s in enumerate(steps)]
     aggs.append(F.max(pid).alias("last_pv"))
-    return pageviews.filter(F.col(SID).isNotNull()).groupBy(SID).agg(*aggs)
+    return (from_first(pageviews, url.isin(*products) & win)
+            .filter(F.col(SID).isNotNull()).groupBy(SID).agg(*aggs))
 
 
 def pages_after(pageviews: DataFrame, product_urls: Sequence[str], after, before) -> DataFrame:
@@ -120,15 +124,17 @@ def pages_after(pageviews: DataFrame, product_urls: Sequence[str], after, before
     last pageview."""
     url, pid = F.col(URL), F.col(PV)
     prod = url.isin(*product_urls) & in_range("created_at", after=after, before=before)
-    span = (pageviews.filter(F.col(SID).isNotNull()).groupBy(SID)
+    views = from_first(pageviews, prod).filter(F.col(SID).isNotNull())
+    span = (views.groupBy(SID)
             .agg(F.min(F.when(prod, pid)).alias("first_product"),
                  F.max(F.when(prod, pid)).alias("last_product"),
                  F.max(pid).alias("last_pv"))
             .filter(F.col("first_product").isNotNull()))
-    # everything after the first product view covers everything after any
-    later = (split_hot_join(pageviews.select(SID, PV, URL), span.select(SID, "first_product"),
-                            [SID], salt_by=PV)
-             .filter(pid > F.col("first_product"))
+    # everything after the first product view covers everything after any; of
+    # each page only a session's last view matters
+    last = views.groupBy(SID, URL).agg(F.max(PV).alias("last_seen"))
+    later = (last.join(span.select(SID, "first_product"), SID)
+             .filter(F.col("last_seen") > F.col("first_product"))
              .select(URL))
     dangling = (span.filter(F.col("last_product") == F.col("last_pv"))
                 .select(F.lit(None).cast("string").alias(URL)))
@@ -140,16 +146,20 @@ def funnel_page_flags(pageviews: DataFrame, product_urls: Sequence[str],
     """Pageview-grain detail behind ``product_funnel``: for each session and
     product page first viewed in (after, before), one row per later pageview
     of the session with a 0/1 flag per step page (one all-zero row when
-    nothing follows).  Rows follow the product page's *first* view, so a
-    product page viewed twice does not repeat the later pageviews."""
+    nothing follows).  This redefines the surveyed detail, which pairs every
+    product view with every later pageview (2,062 rows at sf0.01, quadratic in
+    a session's views): rows follow the product page's *first* view (1,729
+    rows), so a product page viewed twice does not repeat them."""
     url = F.col(URL)
-    firsts = (pageviews.filter(url.isin(*product_urls) & in_range("created_at", after=after, before=before)
-                               & F.col(SID).isNotNull())
+    seen = (url.isin(*product_urls) & in_range("created_at", after=after, before=before)
+            & F.col(SID).isNotNull())
+    views = from_first(pageviews, seen)
+    firsts = (pageviews.filter(seen)
               .groupBy(SID, url.alias("product_page_seen"))
               .agg(F.min(PV).alias("from_id")))
-    last = pageviews.groupBy(SID).agg(F.max(PV).alias("last_pv"))
+    last = views.groupBy(SID).agg(F.max(PV).alias("last_pv"))
     flags = [(url == u).cast("int").alias(f"{lab}_page") for lab, u in steps.items()]
-    later = (split_hot_join(pageviews.select(SID, PV, URL, F.col("created_at").alias("seen_at")),
+    later = (split_hot_join(views.select(SID, PV, URL, F.col("created_at").alias("seen_at")),
                             firsts, [SID], salt_by=PV)
              .filter(F.col(PV) > F.col("from_id"))
              .select(SID, "product_page_seen", *flags, "seen_at"))
@@ -215,10 +225,12 @@ def cross_sell_pairs(orders: DataFrame, items: DataFrame, id_lo: int | None = No
 
 
 def cross_sell_matrix(orders: DataFrame, items: DataFrame, id_lo: int | None = None,
-                      id_hi: int | None = None, products: Sequence[int] = (1, 2, 3)) -> DataFrame:
+                      id_hi: int | None = None, products: Sequence[int] = (1, 2, 3),
+                      distinct_orders: bool = False) -> DataFrame:
     """Per primary product: order rows joined with their non-primary items
-    (an order with two such items counts twice, as the join gives), items
-    cross-sold per product, and their rate over those rows."""
+    (an order with two such items counts twice, as the join gives; once with
+    ``distinct_orders``), items cross-sold per product, and their rate over
+    those rows."""
     rng = id_range(id_lo, id_hi)
     o = orders.filter(rng).select("order_id", "primary_product_id")
     # non-primary lines per order first, one count per product: a hot order
@@ -231,7 +243,8 @@ def cross_sell_matrix(orders: DataFrame, items: DataFrame, id_lo: int | None = N
               *[count_if(prod == p).alias(f"n{p}") for p in products]))
     agg = (o.join(i, "order_id", "left")
            .groupBy("primary_product_id")
-           .agg(F.sum(F.greatest(F.coalesce(F.col("n"), F.lit(0)), F.lit(1))).cast("long").alias("orders"),
+           .agg((F.count("order_id") if distinct_orders else
+                 F.sum(F.greatest(F.coalesce(F.col("n"), F.lit(0)), F.lit(1)))).cast("long").alias("orders"),
                 *[F.coalesce(F.sum(f"n{p}"), F.lit(0)).cast("long").alias(f"x_sell_product{p}")
                   for p in products]))
     return agg.select("primary_product_id", "orders",
@@ -248,7 +261,7 @@ def _cart_sessions(pageviews: DataFrame, start, end, split, labels, cart_url):
     url, pid = F.col(URL), F.col(PV)
     cart = (url == cart_url) & in_range("created_at", start=start, end=end)
     pre = F.col("created_at") < ts_lit(split)
-    ext = (pageviews.filter(F.col(SID).isNotNull()).groupBy(SID)
+    ext = (from_first(pageviews, cart).filter(F.col(SID).isNotNull()).groupBy(SID)
            .agg(count_if(cart & pre).alias("m0"), F.min(F.when(cart & pre, pid)).alias("f0"),
                 count_if(cart & ~pre).alias("m1"), F.min(F.when(cart & ~pre, pid)).alias("f1"),
                 F.max(pid).alias("last_pv")))
@@ -349,7 +362,7 @@ def refund_lookup(items: DataFrame, refunds: DataFrame,
     none)."""
     i = items
     if order_ids is not None:
-        i = i.filter(F.col("order_id").isin(*order_ids))
+        i = i.filter(F.col("order_id").isin(*order_ids) if order_ids else F.lit(False))
     i = i.select("order_id", "order_item_id",
                  F.col("price_usd").cast("double").alias("price_paid_usd"),
                  F.col("created_at").alias("item_created_at"))

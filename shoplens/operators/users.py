@@ -2,14 +2,14 @@
 
 The "new" session of a user is the one with ``is_repeat_session = 0`` (in
 the data model, the user's first session).  Joins between a user's repeat
-sessions (the large side, possibly one hot user) and their new session(s)
-split hot users over several tasks (``split_hot_join``); the join output
-is linear in the repeat sessions when each user has one new session.
+sessions (the large side, possibly one hot user) and their first new session
+split hot users over several tasks (``split_hot_join``); no join pairs a
+user's new sessions with their repeat sessions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.channels import channel_group
@@ -59,17 +59,31 @@ def repeat_session_histogram(sessions: DataFrame, start, before) -> DataFrame:
     return per_user.groupBy("repeat_sessions").agg(F.count("user_id").alias("users"))
 
 
-def time_to_repeat(sessions: DataFrame, start, before) -> DataFrame:
+#: Session ids per bucket of a user in ``time_to_repeat``: bounds a window's rows.
+ID_BUCKET = 1_000_000
+
+
+def time_to_repeat(sessions: DataFrame, start, before, id_bucket: int = ID_BUCKET) -> DataFrame:
     """Days from a new session to the user's next repeat session (first by
     time among later ids) in [start, before); average, min and max over new
-    sessions that have one.  One row."""
-    new, rep = _new_and_repeat(sessions, start, before)
-    second = (split_hot_join(rep, new, ["user_id"], salt_by="repeat_session_id")
-              .filter(F.col("repeat_session_id") > F.col("new_session_id"))
-              .groupBy("user_id", "new_session_id", "new_at")
-              .agg(F.min("repeat_at").alias("second_at")))
-    days = F.datediff(F.to_date("second_at"), F.to_date("new_at"))
-    return (second.select(days.alias("d"))
+    sessions that have one.  One row.
+
+    The next repeat is a running minimum from a user's largest id down.  It
+    runs over id buckets: inside a bucket over its rows (ids are unique, so
+    at most ``id_bucket``), across buckets over one row per bucket.
+    """
+    bucket = F.floor(F.col(SID) / F.lit(id_bucket)).cast("long")
+    rep_at = F.when(_repeat() == 1, F.col("created_at"))
+    w = (cohort(sessions, start=start, before=before).filter(F.col("user_id").isNotNull())
+         .select("user_id", SID, "created_at", "is_repeat_session", rep_at.alias("rep_at"), bucket.alias("bucket")))
+    later = Window.partitionBy("user_id", "bucket").orderBy(F.desc(SID)).rowsBetween(Window.unboundedPreceding, -1)
+    inside = w.withColumn("next_here", F.min("rep_at").over(later)).filter(_repeat() == 0)
+    beyond = Window.partitionBy("user_id").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (w.groupBy("user_id", "bucket").agg(F.min("rep_at").alias("least"))
+               .withColumn("next_beyond", F.min("least").over(beyond)).drop("least"))
+    second = F.least("next_here", "next_beyond")  # ignores the NULL one
+    days = F.datediff(F.to_date(second), F.to_date("created_at"))
+    return (inside.join(carried, ["user_id", "bucket"]).select(days.alias("d"))
             .agg(ratio(F.sum("d"), F.count("d")).alias("avg_days_first_to_second"),
                  F.min("d").alias("min_days_first_to_second"),
                  F.max("d").alias("max_days_first_to_second")))

@@ -2,11 +2,10 @@
 page tests, conversion funnels, page-version tests.
 
 Pageviews are first reduced to session grain with plain aggregates (first
-pageview as ``min_by(url code, id)``, pageview count, step flags as
-``max``), which Spark hash-aggregates and combines map-side; only then do
-they meet sessions or orders, on the session id they are already
-partitioned by.  The literal "first id, then join back for its URL" becomes
-a single aggregate.
+pageview id, pageview count, step flags as ``max``), which Spark
+hash-aggregates and combines map-side; only then do they meet sessions or
+orders, on the session id they are already partitioned by.  "Is the first page
+X?" compares ids: the smallest id equals the smallest id of page X.
 """
 
 from __future__ import annotations
@@ -18,8 +17,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.calendar import day, year_week
 from shoplens.functions.metrics import count_if, in_range, ratio
-from shoplens.operators.common import (SID, code_of, cohort, decode_url, guard_code,
-                                       n_sessions, orders_per_session, url_code)
+from shoplens.operators.common import SID, cohort, n_sessions, orders_per_session
 
 PV = "website_pageview_id"
 URL = "pageview_url"
@@ -39,24 +37,20 @@ def top_pages(pageviews: DataFrame, before) -> DataFrame:
 
 def entry_pages(pageviews: DataFrame) -> DataFrame:
     """Sessions per landing page (URL of the session's first pageview)."""
-    first = (_sessions_of(pageviews).groupBy(SID)
-             .agg(F.min_by(url_code(), PV).alias("landing_code")))
-    counts = (first.groupBy("landing_code")
-              .agg(F.count(SID).alias("sessions_hitting_this_lander")))
-    return decode_url(counts, "landing_code", "landing_page", pageviews) \
-        .select("landing_page", "sessions_hitting_this_lander")
+    first = _sessions_of(pageviews).groupBy(SID).agg(F.min_by(URL, PV).alias("landing_page"))
+    return first.groupBy("landing_page").agg(F.count(SID).alias("sessions_hitting_this_lander"))
 
 
 def bounce_rate(pageviews: DataFrame, before, landing: str = "/home") -> DataFrame:
     """Sessions whose first pageview before ``before`` is ``landing``, how
     many of them have exactly one pageview (counting all their pageviews),
     and the rate.  One row."""
-    in_window = F.when(in_range("created_at", before=before), F.col(PV))
+    early = in_range("created_at", before=before)
     per = (_sessions_of(pageviews).groupBy(SID)
-           .agg(F.min_by(url_code(), in_window).alias("first_code"),
+           .agg(F.min(F.when(early, F.col(PV))).alias("first"),
+                F.min(F.when(early & (F.col(URL) == landing), F.col(PV))).alias("first_landing"),
                 F.count(PV).alias("n_pv")))
-    return (guard_code(per, "first_code", pageviews)
-            .filter(F.col("first_code") == code_of(landing))
+    return (per.filter(F.col("first") == F.col("first_landing"))
             .agg(n_sessions().alias("total_sessions"),
                  count_if(F.col("n_pv") == 1).alias("bounced_sessions"))
             .withColumn("bounce_rate", ratio("bounced_sessions", "total_sessions")))
@@ -95,67 +89,75 @@ def landing_page_test(pageviews: DataFrame, sessions: DataFrame, before,
     """
     launch = F.lit(launch_id) if launch_id is not None else _launch_id(pageviews, launch_url)
     after_launch = (F.col(PV) >= launch) if launch_inclusive else (F.col(PV) > launch)
+    pages = list(dict.fromkeys(pages))
+    entry = F.when(F.col("after_launch"), F.col(PV))
     per = (_sessions_of(pageviews).withColumn("after_launch", after_launch)
            .groupBy(SID)
-           .agg(F.min_by(url_code(), F.when(F.col("after_launch"), F.col(PV))).alias("landing_code"),
+           .agg(F.min(entry).alias("first"),
+                *[F.min(F.when(F.col(URL) == p, entry)).alias(f"first{i}") for i, p in enumerate(pages)],
                 F.count(PV).alias("n_pv")))
     c = cohort(sessions, before=before, source=source, campaign=campaign).select(SID)
-    res = (per.join(c, SID, "left_semi")
-           .filter(F.col("landing_code").isin(*[code_of(p) for p in pages]))
-           .groupBy("landing_code")
-           .agg(n_sessions().alias("sessions"),
-                count_if(F.col("n_pv") == 1).alias("bounced_sessions")))
-    return (decode_url(res, "landing_code", "landing_page", pageviews)
+    landed = F.lit(None).cast("string")
+    for i, p in enumerate(pages):
+        landed = F.when(F.col("first") == F.col(f"first{i}"), F.lit(p)).otherwise(landed)
+    return (per.join(c, SID, "left_semi")
+            .withColumn("landing_page", landed).filter(F.col("landing_page").isNotNull())
+            .groupBy("landing_page")
+            .agg(n_sessions().alias("sessions"),
+                 count_if(F.col("n_pv") == 1).alias("bounced_sessions"))
             .select("landing_page", "sessions", "bounced_sessions",
                     ratio("bounced_sessions", "sessions").alias("bounce_rate")))
 
 
-def _weekly_landing(per_session: DataFrame, pages: Sequence[str], pageviews: DataFrame) -> DataFrame:
-    first_ts, code = F.col("first_at"), F.col("first_code")
-    home, lander = pages[0], pages[1]
-    return (guard_code(per_session, "first_code", pageviews)
-            .groupBy(year_week(first_ts).alias("year_week"))
+#: Column label and URL of each landing page that is counted.
+LANDING_PAGES = {"home": "/home", "lander": "/lander-1"}
+
+
+def _weekly_landing(per_session: DataFrame, pages: Mapping[str, str]) -> DataFrame:
+    first_ts = F.col("first_at")
+    return (per_session.groupBy(year_week(first_ts).alias("year_week"))
             .agg(F.min(day(first_ts)).alias("week_start_date"),
                  n_sessions().alias("total_sessions"),
                  count_if(F.col("n_pv") == 1).alias("bounce_sessions"),
-                 count_if(code == code_of(home)).alias("home_sessions"),
-                 count_if(code == code_of(lander)).alias("lander_sessions"))
+                 *[count_if(F.col("first") == F.col(f"first_{lab}")).alias(f"{lab}_sessions") for lab in pages])
             .select("year_week", "week_start_date", "total_sessions", "bounce_sessions",
                     ratio("bounce_sessions", "total_sessions").alias("bounce_rate"),
-                    "home_sessions", "lander_sessions"))
+                    *[f"{lab}_sessions" for lab in pages]))
 
 
-def _pageviews_per_session(pageviews: DataFrame) -> DataFrame:
+def _pageviews_per_session(pageviews: DataFrame, pages: Mapping[str, str]) -> DataFrame:
     return (_sessions_of(pageviews).groupBy(SID)
-            .agg(F.min_by(url_code(), PV).alias("first_code"),
-                 F.min_by("created_at", PV).alias("first_at"),
+            .agg(F.min(PV).alias("first"), F.min_by("created_at", PV).alias("first_at"),
+                 *[F.min(F.when(F.col(URL) == u, F.col(PV))).alias(f"first_{lab}") for lab, u in pages.items()],
                  F.count(PV).alias("n_pv")))
 
 
 def weekly_landing_trend(sessions: DataFrame, pageviews: DataFrame, after, before,
                          source: str, campaign: str,
-                         pages: Sequence[str] = ("/home", "/lander-1")) -> DataFrame:
+                         pages: Mapping[str, str] = LANDING_PAGES) -> DataFrame:
     """Per year-week of the session's first pageview: sessions of the
-    channel cohort, bounces, bounce rate, sessions landing on each page."""
+    channel cohort, bounces, bounce rate, and for each label of ``pages`` the
+    sessions landing on its URL."""
     c = cohort(sessions, after=after, before=before, source=source, campaign=campaign).select(SID)
-    per = c.join(_pageviews_per_session(pageviews), SID, "left") \
+    per = c.join(_pageviews_per_session(pageviews, pages), SID, "left") \
         .withColumn("n_pv", F.coalesce("n_pv", F.lit(0)))
-    return _weekly_landing(per, pages, pageviews)
+    return _weekly_landing(per, pages)
 
 
 def weekly_landing_trend_raw(sessions: DataFrame, pageviews: DataFrame, after, before,
                              source: str, campaign: str,
-                             pages: Sequence[str] = ("/home", "/lander-1")) -> DataFrame:
+                             pages: Mapping[str, str] = LANDING_PAGES) -> DataFrame:
     """As ``weekly_landing_trend`` but with the cohort predicate in the ON
     clause of the LEFT JOIN: every session of the table is kept, sessions
     outside the cohort get no pageviews and form a NULL week."""
     in_cohort = (in_range("created_at", after=after, before=before)
                  & (F.col("utm_source") == source) & (F.col("utm_campaign") == campaign))
     s = sessions.select(SID, in_cohort.alias("in_cohort"))
-    per = _pageviews_per_session(pageviews)
+    per = _pageviews_per_session(pageviews, pages)
     j = s.join(per, (s[SID] == per[SID]) & s["in_cohort"], "left").select(
-        s[SID], per["first_code"], per["first_at"], F.coalesce(per["n_pv"], F.lit(0)).alias("n_pv"))
-    return _weekly_landing(j, pages, pageviews)
+        s[SID], *[per[c] for c in per.columns if c not in (SID, "n_pv")],
+        F.coalesce(per["n_pv"], F.lit(0)).alias("n_pv"))
+    return _weekly_landing(j, pages)
 
 
 def _step_flags(pageviews: DataFrame, steps: Mapping[str, str]) -> DataFrame:

@@ -1,10 +1,10 @@
 """Catalog of analyses: operator call, parameters and SQL oracle.
 
 Each entry runs an operator on the store derived from a test-data folder
-with the parameters of FIXTURES.md §3.  The oracle is the analysis written
-literally in SQL (DuckDB dialect) over the feed CTEs: COUNT(DISTINCT ...)
-over fan-out joins, min-id-then-join-back, LEFT JOINs, exactly as the
-analysis is specified, so it checks the operators' re-formulations.
+with the parameters of FIXTURES.md §3.  The oracle states the analysis'
+definition in DuckDB SQL over the feed CTEs by another route than the
+operator: window functions with QUALIFY, LEAD, EXISTS, bool_or and FILTER
+where the operator compares per-session extremes.
 """
 
 from __future__ import annotations

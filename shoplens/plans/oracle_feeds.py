@@ -73,9 +73,8 @@ web_orders AS (
          CAST(CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS items_purchased,
          CAST(value AS DECIMAL(12,2)) AS price_usd,
          CAST(CAST(value AS DECIMAL(12,2)) * 0.40 AS DECIMAL(16,4)) AS cogs_usd
-  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sid ORDER BY event_id) AS prn
-        FROM ev_sess WHERE event_type = 'purchase') p
-  WHERE prn = 1
+  FROM ev_sess
+  WHERE event_type = 'purchase'
 )"""
 
 COMMERCE_FEED = """
@@ -85,7 +84,7 @@ li AS (
   FROM lineitem
 ),
 order_items AS (
-  SELECT l_orderkey * 100 + rn AS order_item_id,
+  SELECT l_orderkey * 1000000 + rn AS order_item_id,
          l_orderkey AS order_id,
          CAST(1 + l_partkey % 4 AS INTEGER) AS product_id,
          CAST(CASE WHEN rn = 1 THEN 1 ELSE 0 END AS INTEGER) AS is_primary_item,
@@ -108,8 +107,8 @@ store_orders AS (
          ON prim.order_id = o.o_orderkey
 ),
 order_item_refunds AS (
-  SELECT (li.l_orderkey * 100 + li.rn) * 10 + j.j AS order_item_refund_id,
-         li.l_orderkey * 100 + li.rn AS order_item_id,
+  SELECT (li.l_orderkey * 1000000 + li.rn) * 10 + j.j AS order_item_refund_id,
+         li.l_orderkey * 1000000 + li.rn AS order_item_id,
          CAST(li.l_extendedprice AS DECIMAL(12,2)) AS refund_amount_usd,
          li.l_shipdate + to_days(CAST(li.l_linenumber AS INTEGER)) AS created_at
   FROM li

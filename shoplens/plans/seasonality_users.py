@@ -7,13 +7,23 @@ WIN = "created_at < TIMESTAMP '{before}' AND created_at >= TIMESTAMP '{start}'"
 SWIN = "s.created_at < TIMESTAMP '{before}' AND s.created_at >= TIMESTAMP '{start}'"
 
 
-def avg1(x: str) -> str:
-    """ROUND(AVG(x), 1), half-up, on integers."""
-    return (f"CASE WHEN COUNT({x}) > 0 THEN "
-            f"CAST((20 * SUM({x}) + COUNT({x})) // (2 * COUNT({x})) AS DOUBLE) / 10.0 END")
+_DAYS = ["mon", "tue", "wed", "thur", "fri", "sat", "sun"]
 
 
-_DAYS = ["mon", "tue", "wed", "thur", "fri", "sat", "sun"]
+def _per_day(cond: str) -> str:
+    """Sessions per day that has any, rounded half-up to one decimal on integers."""
+    n, d = f"COUNT(*) FILTER ({cond})", f"COUNT(DISTINCT created_at::DATE) FILTER ({cond})"
+    return f"CASE WHEN {n} > 0 THEN CAST((20 * {n} + {d}) // (2 * {d}) AS DOUBLE) / 10.0 END"
+
+
+def _grid_sql(p):
+    days = ", ".join(f"{_per_day(f'isodow(created_at) = {i}')} AS {d}" for i, d in enumerate(_DAYS, 1))
+    return f"""
+SELECT CAST(hour(created_at) AS INTEGER) AS hr, {_per_day("TRUE")} AS avg_sessions, {days}
+FROM website_sessions
+WHERE created_at BETWEEN TIMESTAMP '{p["start"]}' AND TIMESTAMP '{p["end"]}'
+GROUP BY 1"""
+
 
 register(
     Analysis(
@@ -45,94 +55,46 @@ GROUP BY 1, 2"""),
         "hour_weekday_grid", "S3",
         lambda st, **p: seasonality.hour_weekday_grid(st.sessions, **p),
         dict(start="2024-01-05", end="2024-01-25"),
-        f"""
-SELECT hr,
-       {avg1("sessions")} AS avg_sessions,
-       {", ".join(f"{avg1(f'CASE WHEN week_day = {i} THEN sessions ELSE NULL END')} AS {d}"
-                  for i, d in enumerate(_DAYS))}
-FROM (
-  SELECT CAST(created_at AS DATE) AS created_date,
-         CAST(isodow(created_at) - 1 AS INTEGER) AS week_day,
-         CAST(hour(created_at) AS INTEGER) AS hr,
-         COUNT(DISTINCT website_session_id) AS sessions
-  FROM website_sessions
-  WHERE created_at BETWEEN TIMESTAMP '{{start}}' AND TIMESTAMP '{{end}}'
-  GROUP BY 1, 2, 3
-) AS cells
-GROUP BY 1"""),
+        _grid_sql),
     Analysis(
         "repeat_session_histogram_sum", "U1",
         lambda st, **p: users.repeat_session_histogram_sum(st.sessions, **p),
         dict(start="2024-01-01", before="2024-01-25"),
         f"""
-per_user AS (
-  SELECT n.user_id, SUM(s.is_repeat_session) AS repeat_sessions
-  FROM (SELECT user_id FROM website_sessions
-        WHERE {WIN} AND is_repeat_session = 0) AS n
-  LEFT JOIN website_sessions s
-         ON s.user_id = n.user_id AND {SWIN}
-  GROUP BY 1
-)
-SELECT CAST(repeat_sessions AS BIGINT) AS repeat_sessions, COUNT(DISTINCT user_id) AS users
-FROM per_user
-GROUP BY 1
+SELECT repeat_sessions, COUNT(*) AS users
+FROM (SELECT CAST(COUNT(*) FILTER (is_repeat_session = 0) * SUM(is_repeat_session) AS BIGINT) AS repeat_sessions
+      FROM website_sessions
+      WHERE {WIN} AND user_id IS NOT NULL
+      GROUP BY user_id
+      HAVING bool_or(is_repeat_session = 0))
+GROUP BY ALL
 ORDER BY 1"""),
     Analysis(
         "repeat_session_histogram", "U2",
         lambda st, **p: users.repeat_session_histogram(st.sessions, **p),
         dict(start="2024-01-01", before="2024-01-25"),
         f"""
-later_repeats AS (
-  SELECT n.user_id,
-         n.website_session_id AS new_id,
-         s.website_session_id AS repeat_id
-  FROM (SELECT user_id, website_session_id FROM website_sessions
-        WHERE {WIN} AND is_repeat_session = 0) AS n
-  LEFT JOIN website_sessions s
-         ON s.user_id = n.user_id
-        AND s.is_repeat_session = 1
-        AND s.website_session_id > n.website_session_id
-        AND {SWIN}
-)
-SELECT repeat_sessions, COUNT(DISTINCT user_id) AS users
-FROM (
-  SELECT user_id, COUNT(DISTINCT repeat_id) AS repeat_sessions
-  FROM later_repeats
-  GROUP BY 1
-) AS per_user
-GROUP BY 1"""),
+SELECT repeat_sessions, COUNT(*) AS users
+FROM (SELECT user_id, COUNT(*) FILTER (is_repeat_session = 1 AND website_session_id > first_new) AS repeat_sessions
+      FROM (SELECT *, MIN(website_session_id) FILTER (is_repeat_session = 0) OVER (PARTITION BY user_id) AS first_new
+            FROM website_sessions WHERE {WIN} AND user_id IS NOT NULL)
+      WHERE first_new IS NOT NULL
+      GROUP BY ALL)
+GROUP BY ALL"""),
     Analysis(
         "time_to_repeat", "U3",
         lambda st, **p: users.time_to_repeat(st.sessions, **p),
         dict(start="2024-01-01", before="2024-01-25"),
         f"""
-pairs AS (
-  SELECT n.user_id,
-         n.website_session_id AS new_id,
-         n.created_at AS new_at,
-         s.website_session_id AS repeat_id,
-         s.created_at AS repeat_at
-  FROM (SELECT user_id, website_session_id, created_at FROM website_sessions
-        WHERE {WIN} AND is_repeat_session = 0) AS n
-  LEFT JOIN website_sessions s
-         ON s.user_id = n.user_id
-        AND s.is_repeat_session = 1
-        AND s.website_session_id > n.website_session_id
-        AND {SWIN}
-),
-gaps AS (
-  SELECT user_id, datediff('day', CAST(new_at AS DATE), CAST(next_at AS DATE)) AS days
-  FROM (
-    SELECT user_id, new_id, new_at, MIN(repeat_at) AS next_at
-    FROM pairs
-    WHERE repeat_id IS NOT NULL
-    GROUP BY 1, 2, 3
-  ) AS nexts
-)
 SELECT AVG(days) AS avg_days_first_to_second,
        CAST(MIN(days) AS INTEGER) AS min_days_first_to_second,
        CAST(MAX(days) AS INTEGER) AS max_days_first_to_second
-FROM gaps"""),
+FROM (SELECT is_repeat_session,
+             MIN(created_at) FILTER (is_repeat_session = 1)
+               OVER (PARTITION BY user_id ORDER BY website_session_id
+                     ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)::DATE - created_at::DATE AS days
+      FROM website_sessions WHERE {WIN} AND user_id IS NOT NULL)
+WHERE is_repeat_session = 0"""),
     Analysis(
         "channel_new_vs_repeat", "U4",
         lambda st, **p: users.channel_new_vs_repeat(st.sessions, **p),

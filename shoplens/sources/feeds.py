@@ -23,7 +23,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.operators.common import hot_keys
+from shoplens.operators.common import hot_keys, null_safe_join
 
 # ---------------------------------------------------------------------------
 # Fixed values of the test feeds (FIXTURES.md §2).  They must stay exactly as
@@ -54,7 +54,7 @@ WEB_COGS_RATE = Decimal("0.40")
 STORE_COGS_RATE = Decimal("0.60")
 RETURNED_FLAG = "R"
 DOUBLE_REFUND_LINE = 7          # lines with this number get two refunds
-ITEM_ID_FACTOR = 100            # order_item_id = order_id * 100 + line rank
+ITEM_ID_FACTOR = 1_000_000      # order_item_id = order_id * 1,000,000 + line rank
 REFUND_ID_FACTOR = 10           # refund id = order_item_id * 10 + j
 
 
@@ -98,7 +98,11 @@ def tag_sessions(events: DataFrame, bucket_hours: int = 1) -> DataFrame:
     Buckets are ``bucket_hours`` wide; a (user, bucket) cell estimated to
     exceed the per-task row budget (``hot_keys``) is cut into one-second
     buckets instead.  Any bucketing that is monotone in time per user gives
-    the same sessions, so this only moves work between tasks.
+    the same sessions, so this only moves work between tasks.  The carry runs
+    in two levels, so that no task holds a user's seconds: over the buckets of
+    a coarse cell, then over a user's coarse cells.
+
+    Events without a user are one group, as a window treats them.
     """
     hour = F.unix_date(F.to_date("ts")).cast("long") * 24 + F.hour("ts")
     ev = events.select(
@@ -107,12 +111,12 @@ def tag_sessions(events: DataFrame, bucket_hours: int = 1) -> DataFrame:
         F.floor(hour / F.lit(bucket_hours)).cast("long").alias("coarse"),
         ((hour % bucket_hours) * 3600 + F.minute("ts") * 60 + F.second("ts")).alias("offset"),
     )
-    hot = F.broadcast(hot_keys(ev, ["user_id", "coarse"]))  # bounded: rows / budget cells
-    ev = (ev.join(hot, ["user_id", "coarse"], "left")
-          .select("event_id", "ts", "user_id", "event_type", "value", "k",
+    hot = hot_keys(ev, ["user_id", "coarse"], by="event_id")
+    ev = (null_safe_join(ev, hot, ["user_id", "coarse"], "left")
+          .select("event_id", "ts", "user_id", "event_type", "value", "k", "coarse",
                   (F.col("coarse") * (bucket_hours * 3600)
                    + F.when(F.col("n_split").isNotNull(), F.col("offset")).otherwise(0)).alias("bucket")))
-    key = ["user_id", "bucket"]
+    cell, key = ["user_id", "coarse"], ["user_id", "coarse", "bucket"]
     gap = F.expr(SESSION_GAP)
     in_bucket = Window.partitionBy(*key).orderBy("ts", "event_id")
     upto_row = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -132,26 +136,47 @@ def tag_sessions(events: DataFrame, bucket_hours: int = 1) -> DataFrame:
         F.max(F.when(first, F.col("event_id"))).alias("first_id"),
         F.max("ts").alias("last_ts"),
         F.max_by("event_id", F.when(F.col("local_start"), F.col("ts"))).alias("last_local_start"))
-    by_bucket = Window.partitionBy("user_id").orderBy("bucket")
+
+    # Level 1: the buckets of a coarse cell; only its first bucket is open.
+    by_bucket = Window.partitionBy(*cell).orderBy("bucket")
+    fine = (summary.withColumn("fine_ts", F.lag("last_ts").over(by_bucket))
+            .withColumn("known_start", F.coalesce("last_local_start", F.when(
+                F.col("first_ts") > F.col("fine_ts") + gap, F.col("first_id")))))
+    opens = F.col("fine_ts").isNull()
+    # Level 2: one row per coarse cell of a user.
+    cells = fine.groupBy(*cell).agg(
+        F.max(F.when(opens, F.col("first_ts"))).alias("cell_ts"),
+        F.max(F.when(opens, F.col("first_id"))).alias("cell_id"),
+        F.max("last_ts").alias("cell_last_ts"),
+        F.max_by("known_start", F.when(F.col("known_start").isNotNull(), F.col("bucket"))).alias("cell_known"))
+    by_cell = Window.partitionBy("user_id").orderBy("coarse")
+    cells = (cells.withColumn("cell_carry_ts", F.lag("cell_last_ts").over(by_cell))
+             .withColumn("cell_starts", F.col("cell_carry_ts").isNull()
+                         | (F.col("cell_ts") > F.col("cell_carry_ts") + gap))
+             .withColumn("cell_start", F.coalesce("cell_known", F.when(F.col("cell_starts"), F.col("cell_id"))))
+             .withColumn("cell_carry_sid", F.last("cell_start", ignorenulls=True).over(
+                 by_cell.rowsBetween(Window.unboundedPreceding, -1)))
+             .select(*cell, "cell_carry_ts", "cell_starts", "cell_carry_sid"))
     before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
-    carry = (summary
-             .withColumn("carry_ts", F.lag("last_ts").over(by_bucket))
-             .withColumn("first_is_start", F.col("carry_ts").isNull()
-                         | (F.col("first_ts") > F.col("carry_ts") + gap))
+    carry = (null_safe_join(fine, cells, cell, "left")
+             .withColumn("carry_ts", F.coalesce("fine_ts", "cell_carry_ts"))
+             .withColumn("first_is_start", F.when(opens, F.col("cell_starts"))
+                         .otherwise(F.col("first_ts") > F.col("fine_ts") + gap))
              .withColumn("bucket_last_start", F.coalesce(
                  "last_local_start", F.when(F.col("first_is_start"), F.col("first_id"))))
-             .withColumn("carry_sid", F.last("bucket_last_start", ignorenulls=True).over(before))
+             .withColumn("carry_sid", F.coalesce(
+                 F.last("bucket_last_start", ignorenulls=True).over(before), "cell_carry_sid"))
              .select(*key, "carry_ts", "first_is_start", "first_id", "carry_sid"))
 
     return (
-        w.join(carry, key, "left")
+        null_safe_join(w, carry, key, "left")
         .withColumn("is_start", F.when(first, F.col("first_is_start"))
                     .otherwise(F.coalesce("local_start", F.lit(False))))
         .withColumn("is_repeat", F.when(first, F.col("carry_ts").isNotNull()).otherwise(True))
         .withColumn("session_id", F.coalesce(
             "in_sid", F.when(F.col("first_is_start"), F.col("first_id")), "carry_sid"))
         .drop("rn", "local_start", "in_sid", "carry_ts", "first_is_start", "first_id",
-              "carry_sid", "bucket")
+              "carry_sid", "bucket", "coarse")
     )
 
 
@@ -159,12 +184,9 @@ def web_feed(events: DataFrame, bucket_hours: int = 1) -> WebFeed:
     return web_tables_from_tagged(tag_sessions(events, bucket_hours))
 
 
-def web_tables_from_tagged(t: DataFrame, first_purchase: Column | None = None) -> WebFeed:
+def web_tables_from_tagged(t: DataFrame) -> WebFeed:
     """Sessions, pageviews and orders from events tagged with their session.
-
-    Orders are the first purchase event of each session: the smallest
-    event_id (an aggregate), or the rows flagged by ``first_purchase`` when
-    the tagging already decided it (the streaming feed)."""
+    Every purchase event is an order, so a session may have several."""
     k = F.col("k")
     sessions = t.filter("is_start").select(
         F.col("event_id").alias("website_session_id"),
@@ -191,17 +213,9 @@ def web_tables_from_tagged(t: DataFrame, first_purchase: Column | None = None) -
         F.col("session_id").alias("website_session_id"),
         url.alias("pageview_url"),
     )
-    if first_purchase is None:
-        # First purchase event (smallest event_id) of each session; a plain
-        # aggregate, so a hot session is combined map-side.
-        first = (t.filter(etype == "purchase")
-                 .groupBy("session_id")
-                 .agg(F.min("event_id").alias("event_id"),
-                      *[F.min_by(c, "event_id").alias(c) for c in ("ts", "k", "value")]))
-    else:
-        first = t.filter(first_purchase).select("session_id", "event_id", "ts", "k", "value")
+    purchases = t.filter(etype == "purchase")
     price = F.col("value").cast("decimal(12,2)")
-    orders = first.select(
+    orders = purchases.select(
         F.col("event_id").alias("order_id"),
         F.col("ts").alias("created_at"),
         F.col("session_id").alias("website_session_id"),
@@ -224,8 +238,8 @@ class CommerceFeed:
 def number_lines(lineitem: DataFrame) -> DataFrame:
     """Line items numbered within their order, in the item table's columns
     plus the two that refunds need."""
-    # The item id scheme (order * 100 + rank) bounds an order at 99 lines, so
-    # the per-order window below is bounded by construction.
+    # The item id scheme bounds an order's lines: a rank beyond it would give
+    # two items one id, so it fails the build.  That bounds the window, too.
     rank = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     li = lineitem.select(
@@ -233,7 +247,9 @@ def number_lines(lineitem: DataFrame) -> DataFrame:
         "l_returnflag", "l_shipdate",
     ).withColumn("rn", F.row_number().over(rank))
     return li.select(
-        (F.col("l_orderkey") * ITEM_ID_FACTOR + F.col("rn")).alias("order_item_id"),
+        (F.col("l_orderkey") * ITEM_ID_FACTOR + F.when(F.col("rn") < ITEM_ID_FACTOR, F.col("rn"))
+         .otherwise(F.raise_error(F.lit("an order has too many lines for the item id scheme")).cast("int"))
+         ).alias("order_item_id"),
         F.col("l_orderkey").alias("order_id"),
         (F.col("l_partkey") % 4 + 1).cast("int").alias("product_id"),
         (F.col("rn") == 1).cast("int").alias("is_primary_item"),

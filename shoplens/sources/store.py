@@ -1,22 +1,27 @@
 """The store: the five logical tables as DataFrames.
 
-``load_store(spark, sf_dir)`` derives the tables from the driver's parquet
-files once, writes them as parquet tables under the shared folder named by
-``spark.checkpoint.dir`` (cutting the sessionization lineage, surviving
-executor loss), and reads them back with explicit schemas so every analysis
-gets column pruning and predicate pushdown into the scan.
-
-The written location is keyed by the source files and the feed code, so a
-changed feed or changed input never reads stale tables.
+``load_store(spark, sf_dir)`` derives a table from the driver's parquet files
+when an analysis first asks for it, writes it as a parquet table under the
+shared folder named by ``spark.checkpoint.dir`` (cutting the sessionization
+lineage, surviving executor loss), and reads it back with an explicit schema
+so every analysis gets column pruning and predicate pushdown into the scan.
+
+The written location is keyed by the path, length and modification time of
+every source file, as Hadoop's FileSystem lists them (so local and remote
+inputs alike), and by the feed code: a changed feed or input never reads
+stale tables.  A table's data go to a folder of their own; the table is
+published by one small manifest that names the folder, renamed into place
+last.  A reader sees no table or a whole one, also on object stores, where
+only single small objects appear at once.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
+import math
 import threading
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,20 +45,32 @@ LAYOUT = {
     "order_item_refunds": ("created_at", "order_item_refund_id"),
 }
 
+#: Source bytes for one file of a written table, and rows it holds at most.
+FILE_BYTES, FILE_ROWS = 256 << 20, 20_000_000
+
 _lock = threading.Lock()
-_memo: dict[tuple[str, str], "Store"] = {}
+_memo: dict[tuple, "Store"] = {}
 
 
 @dataclass
 class Store:
     """Logical tables.  ``web_orders`` belong to web sessions; ``orders`` are
-    the commerce orders that ``order_items`` and refunds hang off."""
-    website_sessions: DataFrame
-    website_pageviews: DataFrame
-    web_orders: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    order_item_refunds: DataFrame
+    the commerce orders that ``order_items`` and refunds hang off.  A table
+    that is not given is made by ``make`` when it is first used."""
+    website_sessions: DataFrame | None = None
+    website_pageviews: DataFrame | None = None
+    web_orders: DataFrame | None = None
+    orders: DataFrame | None = None
+    order_items: DataFrame | None = None
+    order_item_refunds: DataFrame | None = None
+    make: object = field(default=None, repr=False)
+
+    def __getattribute__(self, name):
+        value = object.__getattribute__(self, name)
+        if value is None and name in STORE_TABLES:
+            value = object.__getattribute__(self, "make")(name)
+            object.__setattr__(self, name, value)
+        return value
 
     # short aliases used by the registry
     @property
@@ -84,7 +101,7 @@ class Store:
 
 
 def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def derive(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], list[DataFrame]]:
@@ -103,87 +120,112 @@ def derive(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], list
     }, [web.tagged, shop.lines]
 
 
-def _fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1()
-    h.update(os.path.abspath(sf_dir).encode())
+def _fs(spark: SparkSession, path: str):
+    """(FileSystem, Path) of a path, by Hadoop, whatever its scheme."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def source_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, length, modification time) of every file under ``path``."""
+    fs, root = _fs(spark, path)
+    if not fs.exists(root):
+        raise FileNotFoundError(path)
+    if fs.getFileStatus(root).isFile():
+        st = fs.getFileStatus(root)
+        return [(st.getPath().toString(), st.getLen(), st.getModificationTime())]
+    out, it = [], fs.listFiles(root, True)
+    while it.hasNext():
+        st = it.next()
+        out.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    return sorted(out)
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, int]]:
+    """A key of the source files and the feed code, and the bytes of each source."""
+    h, size = hashlib.sha1(), {}
     for name in SOURCE_TABLES:
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:  # remote paths: key by name only
-            h.update(name.encode())
+        files = source_files(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+        size[name] = sum(n for _, n, _ in files)
+        h.update(repr((name, files)).encode())
     for mod in (feeds, schemas):
         with open(mod.__file__, "rb") as f:
             h.update(f.read())
-    return h.hexdigest()[:16]
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """True if a completed Spark write (``_SUCCESS``) is at ``path``."""
-    marker = path.rstrip("/") + "/_SUCCESS"
-    try:
-        jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(marker)
-        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(fs.exists(hpath))
-    except Exception:
-        return os.path.exists(marker.removeprefix("file:"))
-
-
-def _publish(spark: SparkSession, staging: str, final: str) -> None:
-    """Move a finished write into place.  Renaming a directory is atomic on
-    HDFS and local disks; if another job published first, its copy wins
-    and the staging folder is left for the scratch space's cleanup."""
-    try:
-        jvm = spark.sparkContext._jvm
-        src, dst = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(final)
-        fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(dst):
-            fs.rename(src, dst)
-    except Exception:
-        if not os.path.exists(final.removeprefix("file:")):
-            os.rename(staging.removeprefix("file:"), final.removeprefix("file:"))
-
-
-def _write_once(spark: SparkSession, df: DataFrame, path: str, layout=None) -> None:
-    """Write ``df`` to ``path`` unless a completed copy is already there."""
-    if _exists(spark, path):
-        return
+    return h.hexdigest()[:16], size
+
+
+def _published(spark: SparkSession, manifest: str) -> str | None:
+    """The data folder that a manifest names, if there is one."""
+    fs, path = _fs(spark, manifest)
+    return spark.read.text(manifest).first()[0] if fs.exists(path) else None
+
+
+def _publish(spark: SparkSession, manifest: str, folder: str) -> str:
+    """Name ``folder`` as a table's data; returns the folder that counts (that
+    of another job if it published first).  Fails if neither could."""
+    fs, final = _fs(spark, manifest)
+    temp = _fs(spark, f"{manifest}-{uuid.uuid4().hex}")[1]
+    out = fs.create(temp, False)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    if fs.exists(final) or not fs.rename(temp, final):
+        fs.delete(temp, False)
+        first = _published(spark, manifest)
+        if first is None:
+            raise OSError(f"could not publish {manifest}")
+        return first
+    return folder
+
+
+def _write_once(spark: SparkSession, make, base: str, name: str, source_bytes: int, layout=None) -> str:
+    """The folder of the table's data, written (``make()``) unless published."""
+    manifest = f"{base}/{name}.manifest"
+    done = _published(spark, manifest)
+    if done:
+        return done
+    df = make()
     if layout:
-        ts, pk = layout
-        df = df.repartitionByRange(ts, pk).sortWithinPartitions(ts, pk)
-    staging = f"{path.rstrip('/')}-staging-{uuid.uuid4().hex[:8]}"
-    df.write.mode("error").parquet(staging)
-    _publish(spark, staging, path)
-
-
-def materialize(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
-    """Write the store tables under ``root`` (default: the checkpoint dir).
-
-    The two intermediates every table derives from (sessionized events,
-    numbered order lines) are written first, as tables in the same shared
-    folder.  That cuts the sessionization lineage: a lost executor costs a
-    re-read, not a re-sessionization, and a failed build resumes after the
-    last published table.
-    """
-    root = root or checkpoint_root(spark)
-    base = f"{root.rstrip('/')}/shoplens-store/{_fingerprint(sf_dir)}"
-    if all(_exists(spark, f"{base}/{t}") for t in STORE_TABLES):
-        return base
-    _write_once(spark, feeds.tag_sessions(read_source(spark, sf_dir, "events")),
-                f"{base}/work/tagged_events")
-    _write_once(spark, feeds.number_lines(read_source(spark, sf_dir, "lineitem")),
-                f"{base}/work/order_lines")
-    web = feeds.web_tables_from_tagged(spark.read.parquet(f"{base}/work/tagged_events"))
-    shop = feeds.commerce_tables(read_source(spark, sf_dir, "orders"),
-                                 spark.read.parquet(f"{base}/work/order_lines"))
-    tables = {"website_sessions": web.sessions, "website_pageviews": web.pageviews,
-              "web_orders": web.orders, "orders": shop.orders, "order_items": shop.order_items,
-              "order_item_refunds": shop.refunds}
-    for name in STORE_TABLES:
-        _write_once(spark, tables[name], f"{base}/{name}", LAYOUT[name])
-    return base
+        df = df.repartitionByRange(max(1, math.ceil(source_bytes / FILE_BYTES)), *layout).sortWithinPartitions(*layout)
+    folder = f"{base}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
+    return _publish(spark, manifest, folder)
+
+
+class _Builder:
+    """Makes the tables of one state of the sources, each with what it needs:
+    the sessionized events for the web tables, the numbered lines for items
+    and refunds, both for none.  The intermediates are tables in the same
+    folder, so a lost executor costs a re-read, and a failed build resumes
+    after the last published table."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, base: str, size: dict[str, int]):
+        self.spark, self.sf_dir, self.base, self.size = spark, sf_dir, base, size
+
+    def _work(self, name: str, source: str, derive_from):
+        path = _write_once(self.spark, lambda: derive_from(read_source(self.spark, self.sf_dir, source)),
+                           self.base, name, self.size[source])
+        return self.spark.read.parquet(path)
+
+    def _web(self):
+        return feeds.web_tables_from_tagged(self._work("tagged_events", "events", feeds.tag_sessions))
+
+    def _shop(self):
+        return feeds.commerce_tables(read_source(self.spark, self.sf_dir, "orders"),
+                                     self._work("order_lines", "lineitem", feeds.number_lines))
+
+    def __call__(self, name: str) -> DataFrame:
+        make, source = {
+            "website_sessions": (lambda: self._web().sessions, "events"),
+            "website_pageviews": (lambda: self._web().pageviews, "events"),
+            "web_orders": (lambda: self._web().orders, "events"),
+            "orders": (lambda: self._shop().orders, "orders"),
+            "order_items": (lambda: self._shop().order_items, "lineitem"),
+            "order_item_refunds": (lambda: self._shop().refunds, "lineitem"),
+        }[name]
+        with _lock:
+            path = _write_once(self.spark, make, self.base, name, self.size[source], LAYOUT[name])
+        return self.spark.read.schema(schemas.TABLES[name]).parquet(path)
 
 
 def load_store(spark: SparkSession, sf_dir: str, materialized: bool = True,
@@ -193,15 +235,18 @@ def load_store(spark: SparkSession, sf_dir: str, materialized: bool = True,
     if not materialized:
         tables, _ = derive(spark, sf_dir)
         return Store(**tables)
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # Spark Connect: no SparkContext on the client
-        app = spark.conf.get("spark.app.id", None) or str(id(spark))
-    key = (app, os.path.abspath(sf_dir), root)
+    print_of, size = _fingerprint(spark, sf_dir)
+    base = f"{(root or checkpoint_root(spark)).rstrip('/')}/shoplens-store/{print_of}"
+    key = (spark.sparkContext.applicationId, base)
     with _lock:
         if key not in _memo:
-            base = materialize(spark, sf_dir, root)
-            _memo[key] = Store(**{
-                t: spark.read.schema(schemas.TABLES[t]).parquet(f"{base}/{t}")
-                for t in STORE_TABLES})
+            _memo[key] = Store(make=_Builder(spark, sf_dir, base, size))
         return _memo[key]
+
+
+def materialize(spark: SparkSession, sf_dir: str, root: str | None = None) -> Store:
+    """The store with all its tables written (for benchmarks and reports)."""
+    store = load_store(spark, sf_dir, root=root)
+    for t in STORE_TABLES:
+        getattr(store, t)
+    return store

@@ -1,43 +1,68 @@
-"""Store build: resumes after a partial build, publishes atomically, and a
-second build of the same inputs is a no-op."""
+"""Store build: tables on demand, resume after a partial build, publish by
+manifest, and new rows when an input is replaced."""
 
 import os
+import shutil
 import tempfile
 
+import pytest
+
 from conftest import SF_SMALL
-from shoplens.sources import feeds
-from shoplens.sources.store import (STORE_TABLES, _exists, _fingerprint, _publish, _write_once,
-                                    materialize, read_source)
+from shoplens.plans import REGISTRY
+from shoplens.sources import store as S
+
+
+def manifests(base):
+    return sorted(f.removesuffix(".manifest") for f in os.listdir(base) if f.endswith(".manifest"))
 
 
-def test_build_resumes_from_written_intermediate(spark):
+def test_only_needed_tables_are_built_and_the_build_resumes(spark):
     root = tempfile.mkdtemp(prefix="shoplens-store-")
-    base = f"{root}/shoplens-store/{_fingerprint(SF_SMALL)}"
-    # a previous build got as far as the sessionized events
-    _write_once(spark, feeds.tag_sessions(read_source(spark, SF_SMALL, "events")),
-                f"{base}/work/tagged_events")
-    assert materialize(spark, SF_SMALL, root) == base
-    assert all(_exists(spark, f"{base}/{t}") for t in STORE_TABLES)
-    stamp = os.path.getmtime(f"{base}/website_sessions/_SUCCESS")
-    assert materialize(spark, SF_SMALL, root) == base       # no-op
-    assert os.path.getmtime(f"{base}/website_sessions/_SUCCESS") == stamp
-
-
-def test_publish_keeps_the_first_copy(spark):
+    base = f"{root}/shoplens-store/{S._fingerprint(spark, SF_SMALL)[0]}"
+    REGISTRY["top_pages"](S.load_store(spark, SF_SMALL, root=root)).collect()
+    assert manifests(base) == ["tagged_events", "website_pageviews"]
+    S.materialize(spark, SF_SMALL, root)
+    assert set(manifests(base)) == {*S.STORE_TABLES, "tagged_events", "order_lines"}
+    folders = sorted(os.listdir(base))
+    S._memo.clear()
+    S.materialize(spark, SF_SMALL, root)  # all are there: nothing is written
+    assert sorted(os.listdir(base)) == folders
+
+
+def test_publish_keeps_the_first_copy_and_reports_failure(spark, monkeypatch):
     root = tempfile.mkdtemp(prefix="shoplens-publish-")
-    spark.range(3).write.parquet(f"{root}/first")
-    spark.range(5).write.parquet(f"{root}/second")
-    _publish(spark, f"{root}/first", f"{root}/table")
-    _publish(spark, f"{root}/second", f"{root}/table")      # lost the race
-    assert spark.read.parquet(f"{root}/table").count() == 3
+    assert S._publish(spark, f"{root}/t.manifest", f"{root}/first") == f"{root}/first"
+    assert S._publish(spark, f"{root}/t.manifest", f"{root}/second") == f"{root}/first"
+    assert os.listdir(root).count("t.manifest") == 1
+    fs, path = S._fs(spark, f"{root}/u.manifest")
+
+    class NoRename:
+        def __getattr__(self, name):
+            return getattr(fs, name)
+
+        def rename(self, *a):
+            return False
+    real = S._fs
+    monkeypatch.setattr(S, "_fs", lambda sp, p: (NoRename(), real(sp, p)[1]))
+    with pytest.raises(OSError):
+        S._publish(spark, f"{root}/u.manifest", f"{root}/third")
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_a_replaced_input_shows_its_new_rows(spark, scheme):
+    folder = tempfile.mkdtemp(prefix="shoplens-input-")
+    root = tempfile.mkdtemp(prefix="shoplens-store-")
+    for sf, rows in (("sf0.001", 1000), ("sf0.01", 10_000)):
+        for t in S.SOURCE_TABLES:
+            shutil.copyfile(f"/root/testdata/{sf}/{t}.parquet", f"{folder}/{t}.parquet")
+        store = S.load_store(spark, scheme + folder, root=root)
+        assert store.pageviews.count() == rows
 
 
 def test_write_reports(spark):
     from shoplens.plans.report import write_reports
-    from shoplens.sources.store import load_store
     out = tempfile.mkdtemp(prefix="shoplens-reports-")
-    store = load_store(spark, SF_SMALL)
+    store = S.load_store(spark, SF_SMALL)
     names = write_reports(store, out, ["conversion_by_device", "monthly_refund_summary"])
     for n in names:
-        from shoplens.plans import REGISTRY
         assert spark.read.parquet(f"{out}/{n}").count() == REGISTRY[n](store).count()
