@@ -49,12 +49,13 @@ def random_tables(seed: int, n_sessions: int = 60, empty: bool = False) -> dict[
     rng = random.Random(seed)
     if empty:
         return {t: [] for t in schemas.TABLES}
-    lo, hi = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 30)
+    # half in the month the parameters point at, half over two year ends
+    spans = [(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 30)), (dt.datetime(2022, 12, 18), dt.datetime(2024, 2, 10))]
     sessions, pageviews, web_orders = [], [], []
     sids = rng.sample(range(1, 10 * n_sessions), n_sessions)
     pv_id, o_id = 1, 10_000
     for sid in sids:
-        at = _ts(rng, lo, hi, WEB_BOUNDS)
+        at = _ts(rng, *rng.choice(spans), WEB_BOUNDS)
         src, camp, ref = rng.choice(CHANNELS)
         sessions.append((sid, at, rng.randrange(1, 15), int(rng.random() < 0.55), src, camp, ref,
                          rng.choice(["mobile", "desktop"])))

@@ -71,3 +71,51 @@ def test_hot_cells_split_into_seconds(spark):
     finally:
         spark.conf.unset("spark.shoplens.hotKeyRows")
         spark.conf.unset("spark.shoplens.hotKeySample")
+
+
+def test_every_purchase_is_an_order(spark):
+    tables, _ = derive(spark, SF_SMALL)
+    bought = read_source(spark, SF_SMALL, "events").filter("event_type = 'purchase'")
+    total = "CAST(SUM(CAST({} AS DECIMAL(12,2))) AS STRING)"
+    assert tables["web_orders"].count() == bought.count()
+    assert (tables["web_orders"].selectExpr(total.format("price_usd")).first()[0]
+            == bought.selectExpr(total.format("value")).first()[0])
+    per = tables["web_orders"].groupBy("website_session_id").count()
+    assert per.agg({"count": "max"}).first()[0] > 1
+
+
+def test_null_users_have_sessions(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(hours=h), None, "click", 1.0, '{"k": 5}') for i, h in enumerate([0, 5, 30])]
+    ev = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, "
+                                     "value double, props string")
+    for hours in (1, 24):
+        got = {r.event_id: (r.session_id, r.is_start, r.is_repeat) for r in feeds.tag_sessions(ev, hours).collect()}
+        assert got == {0: (0, True, False), 1: (0, False, True), 2: (2, True, True)}
+
+
+def test_item_ids_of_long_orders_do_not_collide(spark):
+    at = dt.datetime(1999, 1, 1)
+    rows = [(o, n, 1, i + 1, 10.0, "R", at) for o, lines in ((4, 120), (5, 5)) for i, n in enumerate(range(lines))]
+    li = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                                     "l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz")
+    items = feeds.number_lines(li)
+    assert items.select("order_item_id").distinct().count() == 125
+    assert items.filter("is_primary_item = 1").count() == 2
+
+
+def test_carry_in_two_levels_holds_few_rows(spark):
+    """A third of all events belong to one user; with cells cut to seconds no
+    window over that user alone holds more than one row per coarse cell."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(seconds=i), 1 if i % 3 == 0 else i, "click", 1.0, '{"k": 5}') for i in range(9000)]
+    ev = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, "
+                                     "value double, props string")
+    base = sorted(feeds.tag_sessions(ev, 1).select("event_id", "session_id").collect())
+    spark.conf.set("spark.shoplens.hotKeyRows", "100")
+    spark.conf.set("spark.shoplens.hotKeySample", "1.0")
+    try:
+        assert sorted(feeds.tag_sessions(ev, 1).select("event_id", "session_id").collect()) == base
+    finally:
+        spark.conf.unset("spark.shoplens.hotKeyRows")
+        spark.conf.unset("spark.shoplens.hotKeySample")

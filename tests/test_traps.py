@@ -129,3 +129,40 @@ def test_weekly_landing_null_week(spark, raw):
     assert (None in weeks) == raw
     if raw:
         assert (weeks[None].total_sessions, weeks[None].bounce_sessions) == (1, 0)
+
+
+def test_time_to_repeat_makes_no_pairs(spark):
+    """A thousand new and a thousand repeat sessions of one user: no operator
+    puts out more rows than there are sessions."""
+    import random
+    rng = random.Random(1)
+    t0 = T("2024-01-01")
+    rows = [(i, t0 + dt.timedelta(minutes=rng.randrange(30_000)), 1, i % 2, *GN, "desktop") for i in range(2000)]
+    st = store(spark, website_sessions=rows)
+    days = []
+    for i, at, _, rep, *_ in rows:
+        later = [r[1] for r in rows if r[0] > i and r[3] == 1 and r[1] < T("2024-01-25")]
+        if rep == 0 and at < T("2024-01-25") and later:
+            days.append((min(later).date() - at.date()).days)
+    for bucket in (users.ID_BUCKET, 7, 500):
+        df = users.time_to_repeat(st.sessions, "2024-01-01", "2024-01-25", id_bucket=bucket)
+        got = df.first()
+        assert (got.min_days_first_to_second, got.max_days_first_to_second) == (min(days), max(days))
+        assert abs(got.avg_days_first_to_second - sum(days) / len(days)) < 1e-9
+        joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+        assert all("bucket" in x for x in joins)  # a row per bucket on one side
+
+
+def test_three_sources_have_two_ratios(spark):
+    st = store(spark, website_sessions=[
+        sess(1, "2024-01-10"), sess(2, "2024-01-10", channel=("bsearch", "nonbrand", None)),
+        sess(3, "2024-01-10", channel=("socialbook", "nonbrand", None)), sess(4, "2024-01-10")])
+    r = channel.weekly_source_device_pivot(st.sessions, "2024-01-03", "2024-01-28", "nonbrand",
+                                           {"g": "gsearch", "b": "bsearch", "s": "socialbook"}).first()
+    assert (r.b_percentage_of_g_desktop, r.s_percentage_of_g_desktop) == (0.5, 0.5)
+
+
+def test_time_parameters_must_be_times(spark):
+    from shoplens.functions.metrics import in_range
+    with pytest.raises(ValueError):
+        in_range("created_at", before="2024-01-01' OR TRUE --")
