@@ -76,9 +76,9 @@ def _spans(text: str, kind: str) -> Column:
     return F.expr(f"case when {needs} and {text} rlike '[0-9]|@' then {found} else {_EMPTY} end")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and key, which equal rows share."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text and key, which equal rows share, and more."""
+    rows = docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c")))
 
@@ -158,24 +158,24 @@ def redact(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, min_confidence: fl
     text stays null."""
     base = written(base_spans(docs), "base")
     terms = disclosing_terms(docs, base, min_contexts, min_confidence, min_bits)
-    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    # the row as it came stays whole beside the columns worked on
+    rows = _keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     for kind in KINDS:
-        rows = rows.withColumn(f"_{kind}", _spans("_text", kind))
-    spans = F.concat(*[f"_{k}" for k in KINDS])
+        rows = rows.withColumn(kind, _spans("text", kind))
+    spans = F.concat(*KINDS)
     if not terms.isEmpty():
-        more = _term_spans(docs, terms).withColumnRenamed("key", "_key")
-        rows = rows.withColumn("_k", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("_text").alias("h"),
-                                              F.crc32(F.col("_text").cast("binary")).alias("c")))
-        rows = rows.join(more, F.col("_k").eqNullSafe(F.col("_key")), "left")
+        more = _term_spans(docs, terms).withColumnRenamed("key", "term_key")
+        rows = rows.join(more, F.col("key").eqNullSafe(F.col("term_key")), "left")
         spans = F.when(F.col("term_spans").isNull(), spans).otherwise(F.concat(spans, "term_spans"))
-    rows = rows.withColumn("_spans", F.array_sort(spans, _by_start))
+    rows = rows.withColumn("spans", F.array_sort(spans, _by_start))
     # clear text, the kind, clear text, ... : the clear part before a span begins where all spans before it have ended
-    merged = ("aggregate(_spans, named_struct('at', 0L, 'out', cast(array() as array<string>)), (a, s) -> "
+    merged = ("aggregate(spans, named_struct('at', 0L, 'out', cast(array() as array<string>)), (a, s) -> "
               "case when s.stop <= a.at then a when s.start < a.at then named_struct('at', s.stop, 'out', a.out) "
-              "else named_struct('at', s.stop, 'out', concat(a.out, array(substring(_text, int(a.at) + 1, int(s.start - a.at)), "
-              "concat('<', s.kind, '>')))) end, a -> concat(array_join(a.out, ''), substring(_text, int(a.at) + 1)))")
-    clean = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.expr(merged))
-    return rows.withColumn("text", clean.cast(docs.schema["text"].dataType)).select(*docs.columns)
+              "else named_struct('at', s.stop, 'out', concat(a.out, array(substring(text, int(a.at) + 1, int(s.start - a.at)), "
+              "concat('<', s.kind, '>')))) end, a -> concat(array_join(a.out, ''), substring(text, int(a.at) + 1)))")
+    clean = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(F.expr(merged))
+    return rows.select(*[clean.cast(docs.schema["text"].dataType).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c)
+                         for c in docs.columns])
 
 
 def _by_start(a: Column, b: Column) -> Column:

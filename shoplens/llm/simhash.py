@@ -195,13 +195,13 @@ def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3, hot_segment
     def mark(batches):
         for b in batches:
             fps = np.array([simhash(t, shingle) for t in text_bytes(b, "text")], np.uint64).view(np.int64)
-            yield b.append_column("_mark", pa.array(fps))
-    marked = docs.mapInArrow(mark, _with(docs.schema))
-    kept = marked.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_fp")), "left_semi")
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(fps)], ["row", "doc_id", "fp"])
+    # the row as it came stays whole beside the columns worked on
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = rows.mapInArrow(mark, T.StructType([T.StructField("row", docs.schema), T.StructField("doc_id", T.LongType()),
+                                                 T.StructField("fp", T.LongType())]))
+    kept = marked.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi")
     if not again.isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_mark"])
-    return kept.select(*docs.columns)
-
-
-def _with(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("_mark", T.LongType())])
+        kept = kept.dropDuplicates(["doc_id", "fp"])
+    return kept.select("row.*")

@@ -61,3 +61,12 @@ def test_stages_keep_columns_and_clean_documents(spark):
         assert 0.5 * docs.count() < out.count() <= docs.count()
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert re.fullmatch("[0-9a-f]{64}", corpus_pipeline.STAGES[-1][1](spark, docs, sf).first().ids_sha256)
+
+
+def test_clashing_columns_come_through(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "row", "fp", "key", "spans", "email", "label", "gram"]
+    docs = spark.createDataFrame([(i, f"call +1 (222) 333-444{i} now {i}") + ("x",) * 2 + (9,) + ("y",) * 7 for i in range(3)], names)
+    for stage in ("quality", "near_dedup", "decontaminate", "sanitise"):
+        out = getattr(corpus_pipeline, stage)(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == names
+        assert all(tuple(r)[5:] == ("y",) * 7 for r in out.collect())
