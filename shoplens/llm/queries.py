@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, langid, pii, quality_cotrain, quality_rules, simhash, substring_dedup, toxicity, url_filter
+from . import bpe, decontam, langid, pii, quality_cotrain, quality_rules, simhash, substring_dedup, toxicity, url_filter, url_filter_sql
 from .common import table
 
 
@@ -84,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                              op9_quality_classifier, op10_url_filter)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": url_filter_sql.oracle()}

@@ -65,6 +65,34 @@ def test_templates_by_purity(spark):
     assert rows[1203].verdict == "allow"  # one bad page of a host is no evidence
 
 
+def test_like_the_sql(spark, tmp_path):
+    """Made pages of hosts with good, bad and mixed branches, and the given tables, against the SQL."""
+    import duckdb
+    from shoplens.llm.queries import op10_url_filter
+    from shoplens.llm.url_filter_sql import oracle
+    rng = random.Random(7)
+    hosts = ["a.org", "B.org", "x.net", "y.example.com", "z.test", "w.test"]
+    quality = {(h, s): rng.choice([0.02, 0.3, 0.5, 0.95]) for h in hosts for s in range(6)}
+    urls, labels = [None, "x", "http://", "http://z.test"], []
+    for d in range(3000):
+        h, s = rng.choice(hosts), rng.randrange(6)
+        urls.append(f"http://{h}/" + rng.choice(["", "k/"]) + f"s{'abcdef'[s]}/" + rng.choice([f"{d}", f"{d}.html", f"v{d}/?q=1"]))
+        if rng.random() < 0.6:
+            labels.append((d, int(rng.random() < quality[h, s]), rng.choice([0, 0, None])))
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    blocked = {}
+    for folder, glob in ((str(tmp_path), "/*.parquet"), ("/root/testdata/sf0.1", "")):
+        con = duckdb.connect()
+        for t in ("pages", "labels"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{glob}')")
+        got = [tuple(r) for r in op10_url_filter(spark, folder).select("page_id", "host", "path", "rule", "verdict").collect()]
+        want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({oracle()})").fetchall()
+        assert sorted(got, key=str) == sorted(want, key=str)
+        blocked[glob] = sum(r[4] == "block" and r[3] is None for r in want)
+    assert blocked["/*.parquet"] > 100
+
+
 def test_labels_by_url(spark):
     pages = spark.createDataFrame([(1, "http://a/en/7.html?x=9"), (2, "http://a/en/8/"), (3, "http://a/x"), (4, None), (5, "http://a/9#8")],
                                   "page_id long, url string")
