@@ -37,7 +37,7 @@ def local_session(cpus: int | str = 8, app: str = "shoplens",
     parts = shuffle_partitions or (int(cpus) if str(cpus).isdigit() else 8)
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
          .config("spark.ui.enabled", "false")
-         .config("spark.driver.memory", os.environ.get("SHOPLENS_DRIVER_MEMORY", "16g"))
+         .config("spark.driver.memory", os.environ.get("SHOPLENS_DRIVER_MEMORY", "8g"))
          .config("spark.sql.shuffle.partitions", str(parts)))
     for k, v in {**SCALE_CONF, **(extra or {})}.items():
         b = b.config(k, v)
