@@ -113,6 +113,11 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, min_contexts: int = MIN_C
     inner = "regexp_replace(regexp_replace(around, '^[\\\\p{L}\\\\p{N}]+', ''), '[\\\\p{L}\\\\p{N}]+$', '')"
     pairs = context.select("kind", "value", F.explode(F.expr(_terms(inner))).alias("term")).groupBy(
         "kind", "value", "term").agg(F.count("*").alias("joint")).where(F.col("joint") >= min_contexts)
+    # a term is in at least the documents where it stands beside any entity;
+    # with too many of them it can't reach the confidence, whatever its spread
+    beside = seen.select("key", F.explode(F.expr(_terms(inner))).alias("term")).distinct().groupBy("term").agg(
+        F.count("*").alias("beside"))
+    pairs = pairs.join(beside, "term").where(F.col("joint") >= min_confidence * F.col("beside")).drop("beside")
     pairs = written(pairs.join(entity, ["kind", "value"]), "pairs")
     if pairs.isEmpty():
         return pairs.select("term", "kind", "value", "joint", F.lit(0).cast("long").alias("spread"),
