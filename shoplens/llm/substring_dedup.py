@@ -155,17 +155,17 @@ def own_starts(stretch: bytes, side: int, low: int, high: int) -> tuple[int, int
 
 def _blocks(batches):
     """Rows sorted by gram and stretch; yields blocks of whole grams as lists of
-    (stretch, low, high, [(row, place), ...]), equal stretches collapsed."""
+    (stretch, low, high, [(row, its places), ...]), equal stretches collapsed."""
     block, gram, last = [], None, None
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("gram", "stretch", "low", "high", "id", "crc", "place")]
+        cols = [b.column(c).to_pylist() for c in ("gram", "stretch", "low", "high", "id", "crc", "places")]
         for g, s, lo, hi, i, c, p in zip(*cols):
             if g != gram and len(block) >= BLOCK:
                 yield block
                 block = []
             if g != gram or (s, lo, hi) != last:
                 block.append((s, lo, hi, []))
-            block[-1][3].append((i, c, p))
+            block[-1][3].append((i, c, np.frombuffer(p, np.int64)))
             gram, last = g, (s, lo, hi)
     if block:
         yield block
@@ -204,57 +204,82 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
         for b in batches:
             for i, c, t in zip(b.column("id").to_pylist(), b.column("crc").to_pylist(), text_bytes(b, "text")):
                 at, h = _doc_anchors(t, length)
-                if len(at):
+                if len(at):  # a gram once per document, with its first place
+                    gram, first, times = np.unique(h, return_index=True, return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(np.full(len(at), i)), pa.array(np.full(len(at), c)),
-                         pa.array(at.astype(np.int64))], ["gram", "id", "crc", "place"])
-    found = rows.mapInArrow(_joined(grams), "gram long, id long, crc long, place long")
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    # the places of repeated grams, together for each document
+                        [pa.array(gram.view(np.int64)), pa.array(np.full(len(gram), i)), pa.array(np.full(len(gram), c)),
+                         pa.array(at[first].astype(np.int64)), pa.array(times.astype(np.int64))],
+                        ["gram", "id", "crc", "place", "times"])
+    found = rows.mapInArrow(_joined(grams), "gram long, id long, crc long, place long, times long")
+    # written, so that the join below may split a hot gram's rows
+    often = written(found.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1"), "often")
+    # the repeated grams, together for each document
     places = written(found.join(often, "gram").groupBy(*_KEY).agg(
-        F.collect_set(F.struct("place", "gram", "n")).alias("places")), "places")
+        F.collect_set(F.struct("place", "times", "gram", "n")).alias("places")), "places")
 
     def stretches(some):
-        """A row per gram's place: the bytes around it, and its valid starts."""
+        """A row per document, gram and stretch: the bytes around the gram, the
+        valid starts, and all the gram's places in the document with just these."""
         def run(batches):
             for b in batches:
                 out = []
                 for i, c, t, p in zip(*(b.column(k).to_pylist() for k in ("id", "crc", "text", "places"))):
                     t = t.encode()
-                    size, edge = len(t), b"\x00" * side
-                    t = edge + t + edge
+                    size, edge, again = len(t), b"\x00" * side, None
+                    wide = edge + t + edge
                     for x in p:
-                        at = x["place"]
-                        out.append((x["gram"], i, c, at, t[at:at + 2 * side + GRAM], max(0, side - at),
-                                    min(side, side + size - length - at) + 1))
+                        ats = [x["place"]]
+                        if x["times"] > 1:
+                            if again is None:
+                                at, h = _doc_anchors(t, length)
+                                order = np.argsort(h, kind="stable")
+                                again = at[order], h[order].view(np.int64)
+                                low, high = (np.searchsorted(h[order], np.array([y["gram"] for y in p], np.int64).view(np.uint64), s)
+                                             for s in ("left", "right"))
+                                range_of = {y["gram"]: (a, e) for y, a, e in zip(p, low.tolist(), high.tolist())}
+                            a, e = range_of[x["gram"]]
+                            ats = again[0][a:e].tolist()
+                        alike: dict = {}
+                        for at in ats:
+                            alike.setdefault((wide[at:at + 2 * side + GRAM], max(0, side - at),
+                                              min(side, side + size - length - at) + 1), []).append(at)
+                        for (s, lo, hi), where in alike.items():
+                            out.append((x["gram"], i, c, np.array(where, np.int64).tobytes(), s, lo, hi))
                         if len(out) >= 2_000:
                             yield _table(out, names, types)
                             out = []
                 if out:
                     yield _table(out, names, types)
-        names = ["gram", "id", "crc", "place", "stretch", "low", "high"]
-        types = [pa.int64()] * 4 + [pa.binary()] + [pa.int32()] * 2
+        names = ["gram", "id", "crc", "places", "stretch", "low", "high"]
+        types = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int32()] * 2
         return rows.join(some, _KEY).select(*_KEY, "text", "places").mapInArrow(
-            run, "gram long, id long, crc long, place long, stretch binary, low int, high int")
+            run, "gram long, id long, crc long, places binary, stretch binary, low int, high int")
 
     def ranked(batches):
         for block in _blocks(batches):
             x = np.frombuffer(b"".join(r[0] for r in block), np.uint8).reshape(len(block), 2 * side + GRAM)
             low, high, count = (np.fromiter(v, np.int64, len(block)) for v in (
-                (r[1] for r in block), (r[2] for r in block), (len(r[3]) for r in block)))
+                (r[1] for r in block), (r[2] for r in block), (sum(len(p) for _, _, p in r[3]) for r in block)))
             out = []
             for (_, _, _, who), f in zip(block, repeated(x, count, low, high, length)):
                 first, end = _runs(f)
-                spans = list(zip(first.tolist(), end.tolist()))
-                out += [(i, c, at - side + a, at - side + e - 1 + length) for i, c, at in who for a, e in spans]
+                for a, e in zip(first.tolist(), end.tolist()):
+                    for i, c, at in who:
+                        at = at if len(at) == 1 else np.sort(at)
+                        # runs of equal length that touch are one
+                        new = np.flatnonzero(np.diff(at, prepend=at[0] - 4 * length) > e - 1 - a + length)
+                        last = np.append(new[1:], len(at)) - 1
+                        out += [(i, c, x - side + a, y - side + e - 1 + length) for x, y in zip(at[new].tolist(), at[last].tolist())]
             yield _table(out, [*_KEY, "first", "stop"], [pa.int64()] * 4)
 
     def named(batches):
         for b in batches:
-            for i, c, at, s, lo, hi in zip(*(b.column(k).to_pylist() for k in (*_KEY, "place", "stretch", "low", "high"))):
+            for i, c, ats, s, lo, hi in zip(*(b.column(k).to_pylist() for k in (*_KEY, "places", "stretch", "low", "high"))):
                 lo, hi = own_starts(s, side, lo, hi)
-                yield _table([(hashlib.blake2b(s[o:o + length], digest_size=16).digest(), i, c, at - side + o) for o in range(lo, hi)],
-                             ["name", *_KEY, "first"], [pa.binary()] + [pa.int64()] * 3)
+                named = [(hashlib.blake2b(s[o:o + length], digest_size=16).digest(), o) for o in range(lo, hi)]
+                for at in np.frombuffer(ats, np.int64).tolist():
+                    yield _table([(d, i, c, at - side + o) for d, o in named],
+                                 ["name", *_KEY, "first"], [pa.binary()] + [pa.int64()] * 3)
 
     cold = places.select(*_KEY, F.filter("places", lambda x: x["n"] <= hot).alias("places")).where(F.size("places") > 0)
     runs = stretches(cold).repartition("gram").sortWithinPartitions("gram", "stretch", "low", "high").mapInArrow(
