@@ -5,9 +5,14 @@ repeated lines to lines, repeated words to words).  One KLL sketch per measure
 is built for each language and source; the sketches of a language's sources
 are merged for the language, and these for the whole table.  A group of
 enough documents takes its thresholds from its own sketch, a smaller one from
-its language's, a small language from the table's.  A threshold lies `fence`
-interquartile ranges above the third quartile, and never below the measure's
-floor, so that a clean group loses nothing.
+its language's, a small language from the table's.  All values come from the
+sketches.  A threshold lies `fence` interquartile ranges above the third
+quartile, or, if that is more, `fence` times the way from the third quartile to
+the ninth decile above that decile; of the latter at most the table's, so that
+a group with much junk doesn't raise its own.  Where nine tenths of a group
+have one value, it says nothing of a spread, and the next larger group's
+threshold holds; where nine tenths of the table have, a quarter of the way from
+there to the 99th percentile.
 
 Defined results: a null text has no words and fails the base rules, as does an
 empty one; null languages and sources are groups like any other; repeated rows
@@ -25,11 +30,12 @@ from .common import spread_join, text_bytes, written
 
 #: The symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
-#: Each measure and the least value its threshold takes.
-FLOORS = {"symbols": 0.03, "capitals": 0.25, "dup_lines": 0.3, "repeats": 0.3}
+MEASURES = ("symbols", "capitals", "dup_lines", "repeats")
 #: Documents from which a group has thresholds of its own.
 MIN_GROUP = 200
 FENCE = 3.0
+#: Part of the way from the ninth decile to the 99th percentile, for a table without a spread below.
+TAIL_PART = 0.25
 
 _NOT_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS))
 _CAPITALS = bytes(range(65, 91))
@@ -82,7 +88,7 @@ def _with_ratios(stats: DataFrame) -> DataFrame:
 
 def thresholds(ratios: DataFrame, min_group: int = MIN_GROUP, fence: float = FENCE) -> DataFrame:
     """lang, source and a threshold top_<measure> for each of their groups."""
-    names = list(FLOORS)
+    names = list(MEASURES)
     own = ratios.groupBy("lang", "source").agg(
         F.count("*").alias("n"), *[F.kll_sketch_agg_double(m).alias(m) for m in names])
     own = written(own, "sketches")  # a row per language and source
@@ -92,20 +98,25 @@ def thresholds(ratios: DataFrame, min_group: int = MIN_GROUP, fence: float = FEN
             F.expr(f"reduce(collect_list({m}), cast(null as binary), (a, x) -> if(a is null, x, kll_sketch_merge_double(a, x)))").alias(m)
             for m in names])
 
-    def cuts(of):
-        def top(m):
-            q3, q1 = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in (0.75, 0.25))
-            return F.greatest(F.lit(FLOORS[m]), q3 + fence * (q3 - q1)).alias(f"top_{m}")
-        return [top(m) for m in names]
     by_lang = written(merged(own, "lang"), "by_lang")  # a language's sources are few
-    whole = merged(by_lang).select(*cuts(None)).first()
-    lang = by_lang.select("lang", "n", *cuts(None))
-    pick = [F.when(F.col("n") >= min_group, F.col(f"top_{m}")).otherwise(F.lit(whole[f"top_{m}"])).alias(f"lang_{m}")
-            for m in names]
-    lang = lang.select(F.col("lang").alias("of"), *pick)
-    return own.select("lang", "source", "n", *cuts(None)).join(lang, F.col("lang").eqNullSafe(F.col("of")), "left").select(
-        "lang", "source", *[F.when(F.col("n") >= min_group, F.col(f"top_{m}")).otherwise(F.col(f"lang_{m}")).alias(f"top_{m}")
-                            for m in names])
+    at = (0.25, 0.75, 0.9, 0.99)
+    table = merged(by_lang).select(*[F.array(*[F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in at]).alias(m)
+                                     for m in names]).first()
+    tail, whole = {}, {}
+    for m in names:
+        q1, q3, d9, c99 = (x or 0.0 for x in table[m])  # nulls of an empty table
+        tail[m] = d9 + fence * (d9 - q3) if d9 > q3 else d9 + TAIL_PART * (c99 - d9)
+        whole[m] = max(q3 + fence * (q3 - q1), tail[m])
+
+    def top(m):
+        """A group's own threshold, null without a spread."""
+        q1, q3, d9 = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in at[:3])
+        upper = F.least(F.lit(tail[m]), d9 + fence * (d9 - q3))
+        return F.when((F.col("n") >= min_group) & (d9 > q1), F.greatest(q3 + fence * (q3 - q1), upper))
+    lang = by_lang.select(F.col("lang").alias("of"), *[F.coalesce(top(m), F.lit(whole[m])).alias(f"lang_{m}") for m in names])
+    return own.select("lang", "source", *[top(m).alias(f"own_{m}") for m in names]).join(
+        lang, F.col("lang").eqNullSafe(F.col("of")), "left").select(
+        "lang", "source", *[F.coalesce(f"own_{m}", f"lang_{m}").alias(f"top_{m}") for m in names])
 
 
 def judge(docs: DataFrame, min_group: int = MIN_GROUP, fence: float = FENCE) -> DataFrame:
@@ -114,7 +125,7 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP, fence: float = FENCE) ->
     top = thresholds(stats, min_group, fence)
     rows = spread_join(stats, top, ["lang", "source"], "doc_id")
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    above = [F.col(m) > F.col(f"top_{m}") for m in FLOORS]
+    above = [F.col(m) > F.col(f"top_{m}") for m in MEASURES]
     ok = ~(above[0] | above[1] | above[2] | above[3])
     return rows.select("doc_id", *_FIELDS[:5], failed.alias("base_failed"), (~failed & ok).alias("kept"),
-                       *FLOORS, *[f"top_{m}" for m in FLOORS])
+                       *MEASURES, *[f"top_{m}" for m in MEASURES])

@@ -61,3 +61,25 @@ def test_junk_goes_and_clean_stays(docs_of):
     kept = {r.doc_id: r.kept for r in Q.judge(docs_of(list(enumerate(clean + junk)))).collect()}
     assert all(kept[i] for i in range(300)) and not any(kept[300 + i] for i in range(20))
     assert Q.judge(docs_of([])).count() == 0
+
+
+def test_the_sketches_decide(docs_of):
+    """Documents far above their group's values go, whatever a fixed cutoff would say."""
+    rng = random.Random(4)
+    vocab = [f"word{i}" for i in range(500)]
+
+    def text(capitals):
+        words = [rng.choice(vocab) for _ in range(100)]
+        return " ".join(w.capitalize() if i < capitals else w for i, w in enumerate(words))
+    clean = [text(rng.randint(4, 8)) for _ in range(400)]
+    shouting = [text(60) for _ in range(8)]  # a tenth of the characters, far below a fixed 0.25
+    rows = {r.doc_id: r for r in Q.judge(docs_of(list(enumerate(clean + shouting)))).collect()}
+    assert all(rows[i].kept for i in range(400)) and not any(rows[400 + i].kept for i in range(8))
+    assert rows[0].top_capitals < rows[400].capitals < 0.25
+
+
+def test_a_group_with_much_junk_does_not_raise_its_own(spark):
+    rows = [(i, "en", "clean", 0.3 if i < 20 else 0.0) for i in range(2000)] + [(i, "en", "junk", 0.3 if i < 60 else 0.0) for i in range(300)]
+    df = spark.createDataFrame([(i, l, s, v, v, v, v) for i, l, s, v in rows],
+                               "doc_id long, lang string, source string, symbols double, capitals double, dup_lines double, repeats double")
+    assert all(0 < r.top_symbols < 0.3 for r in Q.thresholds(df).collect())
