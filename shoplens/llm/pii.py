@@ -4,10 +4,10 @@ Base: four patterns find e-mail addresses, IP addresses, card and phone
 numbers with their places.  Each valid value is a protected entity.  Then the
 words around the entities are counted: `joint` is the number of different
 contexts in which a term stands beside an entity (copies of a passage are one
-context), `spread` the number of documents that have the term.  The term's
+context), `spread` the number of different texts that have the term.  The term's
 occurrence tells about the entity with confidence joint / spread and with
-log2(confidence / P(entity)) bits, P(entity) being the share of documents with
-the entity.  A term over both thresholds discloses the entity: its occurrences
+log2(confidence / P(entity)) bits, P(entity) being the share of different texts
+with the entity.  Copies of a text thus change no verdict.  A term over both thresholds discloses the entity: its occurrences
 are further spans, of kind `term`, and `redact` generalises all spans to their
 kinds.
 
@@ -103,30 +103,31 @@ def _terms(text: str) -> str:
 def disclosing_terms(docs: DataFrame, base: DataFrame, min_contexts: int = MIN_CONTEXTS,
                      min_confidence: float = MIN_CONFIDENCE, min_bits: float = MIN_BITS) -> DataFrame:
     """term, kind, value, joint, spread, confidence and bits of each disclosing pair."""
-    seen = base.select("key", F.explode(F.arrays_zip("spans", "around")).alias("x")).select(
-        "key", F.col("x.spans.kind").alias("kind"), F.col("x.spans.value").alias("value"), F.col("x.around").alias("around"))
-    entity = seen.groupBy("kind", "value").agg(F.count_distinct("key").alias("docs_with")).where(
-        F.col("docs_with") >= 2)
+    one = F.struct("key.h", "key.c").alias("one")  # what equal texts share
+    seen = base.select(one, F.explode(F.arrays_zip("spans", "around")).alias("x")).select(
+        "one", F.col("x.spans.kind").alias("kind"), F.col("x.spans.value").alias("value"), F.col("x.around").alias("around"))
+    entity = seen.groupBy("kind", "value").agg(F.count_distinct("one").alias("texts_with")).where(
+        F.col("texts_with") >= 2)
     # a context is what stands there, wherever it is copied
     context = seen.select("kind", "value", "around").distinct()
     # words cut off at the context's ends are left out
     inner = "regexp_replace(regexp_replace(around, '^[\\\\p{L}\\\\p{N}]+', ''), '[\\\\p{L}\\\\p{N}]+$', '')"
     pairs = context.select("kind", "value", F.explode(F.expr(_terms(inner))).alias("term")).groupBy(
         "kind", "value", "term").agg(F.count("*").alias("joint")).where(F.col("joint") >= min_contexts)
-    # a term is in at least the documents where it stands beside any entity;
+    # a term is in at least the texts where it stands beside any entity;
     # with too many of them it can't reach the confidence, whatever its spread
-    beside = seen.select("key", F.explode(F.expr(_terms(inner))).alias("term")).distinct().groupBy("term").agg(
+    beside = seen.select("one", F.explode(F.expr(_terms(inner))).alias("term")).distinct().groupBy("term").agg(
         F.count("*").alias("beside"))
     pairs = pairs.join(beside, "term").where(F.col("joint") >= min_confidence * F.col("beside")).drop("beside")
     pairs = written(pairs.join(entity, ["kind", "value"]), "pairs")
     if pairs.isEmpty():
         return pairs.select("term", "kind", "value", "joint", F.lit(0).cast("long").alias("spread"),
                             F.lit(0.0).alias("confidence"), F.lit(0.0).alias("bits"))
-    total = base.count()
-    spread = docs.select(F.explode(F.expr(_terms("coalesce(cast(text as string), '')"))).alias("term")).join(
-        pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("spread"))
+    total = base.select(one).distinct().count()
+    spread = _keyed(docs).select(one, F.explode(F.expr(_terms("text"))).alias("term")).join(
+        pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("spread"))
     out = pairs.join(spread, "term").withColumn("confidence", F.least(F.lit(1.0), F.col("joint") / F.col("spread"))).withColumn(
-        "bits", F.log2(F.col("confidence") * total / F.col("docs_with")))
+        "bits", F.log2(F.col("confidence") * total / F.col("texts_with")))
     return written(out.where((F.col("confidence") >= min_confidence) & (F.col("bits") >= min_bits)).select(
         "term", "kind", "value", "joint", "spread", "confidence", "bits"), "disclosing")
 

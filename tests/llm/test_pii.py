@@ -58,6 +58,22 @@ def test_terms_and_redaction(docs_of):
     assert text[400] == "we met <term>." and "<email>" in text[0] and text[100] == dict(rows)[100]
 
 
+def test_copies_change_no_verdict(docs_of):
+    fill = "lorem ipsum dolor sit amet consetetur sadipscing elitr".split()
+    rng = random.Random(2)
+    rows = [(i, f"{fill[i]} zorblatt {fill[i + 3]} {i}x writes boss@corp.example often {fill[i + 1]}") for i in range(3)]
+    rows += [(100 + i, " ".join(rng.choice(fill) for _ in range(12))) for i in range(200)]
+    copies = [(1000 + i, rows[0][1]) for i in range(300)] + [(2000 + i, rows[150][1]) for i in range(300)]
+
+    def terms(of):
+        docs = docs_of(of)
+        return sorted(tuple(r) for r in pii.disclosing_terms(docs, pii.base_spans(docs)).collect())
+    alone = terms(rows)
+    assert any(t[0] == "zorblatt" and t[3:5] == (3, 3) for t in alone) and terms(rows + copies) == alone
+    found = {r.doc_id: [s.value for s in r.spans if s.kind == "term"] for r in pii.find(docs_of(rows + copies)).collect()}
+    assert all("zorblatt" in found[i] for i in (0, 2, 1000, 1299)) and found[2000] == []
+
+
 def test_redaction_of_overlaps_and_empty(docs_of):
     rows = [(1, "x +1 2.3.4.5 6789 y"), (2, None), (2, None), (3, "no")]
     text = sorted(((r.doc_id, r.text) for r in pii.redact(docs_of(rows)).collect()), key=str)
