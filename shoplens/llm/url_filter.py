@@ -9,7 +9,9 @@ parent's.  Pages of a template whose
 purity is below `least` are blocked.  Explicit rules come first.
 
 Pages are aggregated to templates before anything is joined, so the tree has a
-row per template.  Segments below `depth` belong to the last level's branch.
+row per template.  The first `depth` levels are estimated for all pages; below
+them a branch is divided as long as it has `support` pages, a label and paths
+that differ, however deep they are.
 
 Defined results: a null url or one without `://` has an empty host and path
 and is judged like the other pages without a host; without labels every page
@@ -74,7 +76,35 @@ def template_purity(shapes: DataFrame, depth: int, support: int, weight: float,
         now = _merged(written(tree, f"tree{level}"), weight, z)
         rows = spread_join(rows, now, ["host", "parent", "template"], "shape").withColumn("purity", F.col("now"))
         rows = written(rows.drop("now", "parent"), f"level{level}")
-    return rows.select("host", "shape", "template", "purity")
+    out = ["host", "shape", "template", "purity"]
+    ended = rows.where(F.size("parts") <= depth).select(*out)
+    left = rows.where(F.size("parts") > depth).withColumn("rest", F.expr(f"slice(parts, {depth + 1}, size(parts))")).drop("parts")
+    while not left.isEmpty():
+        level += 1
+        kin = left.groupBy("host", "template").agg(F.sum("n").alias("here"), F.sum("labelled").alias("known"),
+                                                   F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        left = written(spread_join(left, kin, ["host", "template"], "shape"), f"kin{level}")
+        parted = (F.col("here") >= support) & (F.col("known") > 0) & (F.col("lo") != F.col("hi"))
+        ended = ended.unionByName(left.where(~parted).select(*out))
+        # all paths of the branch begin as the least and the greatest do: that way has no estimates of its own
+        left = left.where(parted).withColumn("common", F.expr(
+            "int(array_position(zip_with(lo, hi, (a, b) -> coalesce(a = b, false)), false)) - 1"))
+        left = left.withColumn("parent", F.expr("concat(template, array_join(transform(slice(rest, 1, common), x -> concat('/', x)), ''))"))
+        left = left.withColumn("rest", F.expr("slice(rest, common + 1, size(rest))")).withColumn(
+            "part", F.expr("get(rest, 0)")).drop("here", "known", "lo", "hi", "common", "template")
+        seen = left.groupBy("host", "parent", "part").agg(F.sum("n").alias("here"))
+        left = spread_join(left, seen, ["host", "parent", "part"], "shape").withColumn("template", F.when(
+            F.col("part").isNull(), F.col("parent")).otherwise(F.concat("parent", F.lit("/"), F.when(
+                F.col("here") < support, F.lit("*")).otherwise(F.col("part")))))
+        left = left.withColumn("rest", F.expr("slice(rest, 2, size(rest))")).drop("part", "here")
+        tree = left.groupBy("host", "parent", "template").agg(
+            F.sum("labelled").alias("k"), F.sum("good").alias("g"), F.max("purity").alias("above"))
+        now = _merged(written(tree, f"tree{level}"), weight, z)
+        left = spread_join(left, now, ["host", "parent", "template"], "shape").withColumn("purity", F.col("now"))
+        left = written(left.drop("now", "parent"), f"level{level}")
+        ended = ended.unionByName(left.where(F.size("rest") == 0).select(*out))
+        left = left.where(F.size("rest") > 0)
+    return ended
 
 
 def _merged(tree: DataFrame, weight: float, z: float) -> DataFrame:

@@ -65,6 +65,24 @@ def test_templates_by_purity(spark):
     assert rows[1203].verdict == "allow"  # one bad page of a host is no evidence
 
 
+def test_branches_at_any_depth(spark):
+    urls, good = [], []
+    deep = "http://h.test/" + "a/" * 40
+    for i in range(300):
+        for path, bad in (("http://h.test/2024/05/12/news/good", 0.05), ("http://h.test/2024/05/12/news/spam", 0.95),
+                          (deep + "fine", 0.05), (deep + "junk", 0.95)):
+            urls.append(f"{path}/{i}.html")
+            good.append(i / 300 >= bad)
+    urls += ["http://h.test/2024/05/12/news", deep + "rare/x", deep + "fine/1/" + "b/" * 20_000, deep + "junk/1.html/"]
+    good += [None] * 4
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {r.page_id: r for r in U.judge(pages, spark.createDataFrame(list(enumerate(good)), "page_id long, good boolean")).collect()}
+    assert len(rows) == len(urls)
+    for i, u in enumerate(urls[:1200]):
+        assert rows[i].verdict == ("block" if "/spam/" in u or "/junk/" in u else "allow"), u
+    assert rows[0].template.startswith("/#/#/#/news/good") and rows[1202].verdict == "allow" and rows[1203].verdict == "block"
+
+
 def test_like_the_sql(spark, tmp_path):
     """Made pages of hosts with good, bad and mixed branches, and the given tables, against the SQL."""
     import duckdb
