@@ -77,15 +77,17 @@ def _conf(df: DataFrame, key: str, default: float) -> float:
         return default
 
 
-def hot_keys(big: DataFrame, keys: list[str], by: str) -> DataFrame:
+def hot_keys(big: DataFrame, keys: list[str], by: str | None) -> DataFrame:
     """Keys of ``big`` estimated to hold more than the per-task row budget,
     with ``n_split`` ways to split each.  The sample is chosen by a hash of
     ``by`` (the primary key), so it is a function of the rows and every scan
-    of them finds the same keys."""
+    of them finds the same keys; without a primary key (None) it is random,
+    for callers that write the result."""
     rows = _conf(big, HOT_ROWS_CONF, HOT_ROWS_DEFAULT)
     frac = min(1.0, _conf(big, HOT_SAMPLE_CONF, HOT_SAMPLE_DEFAULT))
     million = 1_000_000
-    picked = F.pmod(F.xxhash64(F.col(by)), F.lit(million)) < max(1, round(frac * million))
+    chance = F.xxhash64(F.col(by)) if by else F.floor(F.rand() * million)
+    picked = F.pmod(chance, F.lit(million)) < max(1, round(frac * million))
     sampled = big.filter(picked).select(*keys) if frac < 1 else big.select(*keys)
     return (sampled.groupBy(*keys).count()
             .select(*keys, F.ceil(F.col("count") / F.lit(frac * rows)).cast("int").alias("n_split"))

@@ -5,7 +5,7 @@ import datetime as dt
 
 import pytest
 
-from conftest import SF_SMALL
+from samples import SF_SMALL
 from shoplens.plans.oracle_feeds import with_feeds
 from shoplens.plans.verify import compare, duck
 from shoplens.sources import feeds

@@ -3,7 +3,7 @@ derived from the driver's sf0.001 tables."""
 
 import pytest
 
-from conftest import SF_SMALL
+from samples import SF_SMALL
 from shoplens.plans import REGISTRY
 from shoplens.plans.verify import compare, duck
 from shoplens.sources.store import load_store

@@ -7,7 +7,7 @@ import tempfile
 
 import pytest
 
-from conftest import SF_SMALL
+from samples import SF_SMALL
 from shoplens.plans import REGISTRY
 from shoplens.sources import store as S
 
