@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, langid, pii, quality_cotrain, quality_rules, simhash, substring_dedup, toxicity, url_filter, url_filter_sql
+from . import bpe, decontam, langid, pii, quality_cotrain, quality_rules, simhash, substring_dedup, token_files, toxicity, url_filter, url_filter_sql
 from .common import table
 
 
@@ -73,6 +73,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, known).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write(table(spark, sf_dir, "documents"), tokenizer_path(), token_files.scratch_folder(spark))
+    return token_files.read(spark, folder).select(
+        "doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -81,7 +87,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality_rules, op4_bpe_encode_decode,
                              op5_substring_dedup, op6_pii, op7_language_id, op8_benchmark_decontamination,
-                             op9_quality_classifier, op10_url_filter)
+                             op9_quality_classifier, op10_url_filter, op13_token_files)
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_url_filter": url_filter_sql.oracle()}
