@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,17 @@ TEXTS = [None, "", " \n", "Hello  wörld's IT'S 'll <|endoftext|>x <|ENDOFTEXT|>
          "<|startoftext|><|endoftext|>The<|endoftext|>"]
 
 
-def ids_of(text):
+@lru_cache
+def library():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenizer_path())
     t.no_truncation()
     t.no_padding()
-    return t.encode(text or "", add_special_tokens=False).ids + [2]
+    return t
+
+
+def ids_of(text):
+    return library().encode(text or "", add_special_tokens=False).ids + [2]
 
 
 @pytest.mark.parametrize("block", [1 << 22, 50])
