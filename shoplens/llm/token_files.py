@@ -40,17 +40,27 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from shoplens.session import checkpoint_root
 
 from .common import byte_slices, written
-from .words import distinct_runs, texts_of
+from .words import distinct_runs, runs_between, texts_of
 
 # Fixed values of the file format.
 MAGIC_BLOCK, MAGIC_RANKS = 0x314B4C42_4E4B4F54, 0x31534B4E_41524B54
 _HEAD = struct.Struct("<4Q")
-#: Bytes of text encoded at a time; words whose ids a worker remembers; ids decoded at a time.
-SLICE_BYTES, KNOWN_WORDS, SLICE_IDS = 4 << 20, 300_000, 1 << 20
-
-#: White space that no token crosses.
-_WORD = np.ones(256, bool)
-_WORD[[9, 10, 11, 12, 13, 32]] = False
+#: Bytes of text encoded at a time; pieces in each half of those a worker remembers; ids decoded at a time.
+SLICE_BYTES, KNOWN_PIECES, SLICE_IDS = 4 << 20, 400_000, 1 << 20
+
+# Classes of bytes: white space that no token crosses, letters, digits and signs,
+# between which the tokenizer divides, and bytes that leave this to the tokenizer.
+_SPACE, _LETTERS, _DIGIT, _SIGN, _ODD = range(5)
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[33:127] = _SIGN
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTERS
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_CLASS[[ord("'"), ord("<")]] = _ODD  # contractions, special tokens
+#: Second bytes of the letters from U+00C0 to U+00FF in UTF-8; their first byte is 0xC3.
+_LATIN_NEXT = np.zeros(256, bool)
+_LATIN_NEXT[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+_LOWER = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)), np.uint8)
 
 #: Of a control byte: the lengths of its four values.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -66,38 +76,84 @@ def _tokenizer(path: str):
 
 
 @lru_cache(maxsize=2)
-def _known(path: str) -> dict[bytes, bytes]:
-    """Ids of words this worker has met; emptied when it is full."""
-    return {}
+def _known(path: str) -> list[dict[bytes, bytes]]:
+    """Ids of pieces this worker has met: the younger and the older half."""
+    return [{}, {}]
 
 
-def _ids_of_words(words: list[bytes], path: str) -> list[bytes]:
-    """Each word's ids, as 32-bit integers."""
-    known, tok = _known(path), _tokenizer(path)
-    if len(known) + len(words) > KNOWN_WORDS:
-        known.clear()
-    new = [w for w in words if w not in known]
-    for i in range(0, len(new), 10_000):
-        part = new[i:i + 10_000]
-        for w, e in zip(part, tok.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [known[w] for w in words]
+@lru_cache(maxsize=2)
+def _byte_letters(path: str) -> dict[int, str]:
+    """The letters from U+00C0 to U+00FF as the tokenizer's byte-level step writes them."""
+    from tokenizers.pre_tokenizers import ByteLevel
+    step = ByteLevel(add_prefix_space=False, use_regex=False)
+    return {c: step.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+
+
+def _encoded(pieces: list[bytes], path: str):
+    """Each piece's ids.  A run of plain letters is one word to the tokenizer,
+    so it goes to its merges at once; other pieces take all its steps."""
+    tok, table = _tokenizer(path), _byte_letters(path)
+    merge = tok.model.tokenize
+    for w in pieces:
+        if w.isalpha():  # ASCII
+            yield [t.id for t in merge(w.decode("ascii"))]
+            continue
+        text = w.decode("utf-8")
+        if text.isalpha() and max(text) <= "\u00ff" and not any(c in "\u00aa\u00b5\u00ba" for c in text):
+            yield [t.id for t in merge(text.lower().translate(table))]
+        else:
+            yield tok.encode(text, add_special_tokens=False).ids
+
+
+def _ids_of_pieces(pieces: list[bytes], path: str) -> list[bytes]:
+    """Each piece's ids, as 32-bit integers."""
+    halves = _known(path)
+    if len(halves[0]) + len(pieces) > KNOWN_PIECES:
+        halves[:] = {}, halves[0]
+    young, old = halves
+    new = []
+    for w in pieces:
+        if w not in young:
+            if w in old:
+                young[w] = old[w]
+            else:
+                new.append(w)
+    for w, ids in zip(new, _encoded(new, path)):
+        young[w] = struct.pack(f"<{len(ids)}I", *ids)
+    return [young[w] for w in pieces]
+
+
+def pieces_of(raw: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes, plain capitals lowered, and their classes: a token lies in a
+    run of one class, of digits in one byte."""
+    kind = _CLASS[raw]
+    latin = np.zeros(len(raw), bool)
+    two = np.flatnonzero((raw[:-1] == 0xC3) & _LATIN_NEXT[raw[1:]])
+    latin[two], latin[two + 1] = True, True
+    kind[latin] = _LETTERS
+    if (kind == _ODD).any():  # what stands with an odd byte, up to white space, stays together
+        starts, ends = runs_between(kind != _SPACE, borders)
+        together = np.add.reduceat(kind == _ODD, starts)[:len(starts)] > 0
+        for i, j in zip(starts[together], ends[together]):
+            kind[i:j + 1] = _ODD
+    return np.where(kind == _LETTERS, _LOWER[raw], raw), kind
 
 
 def encode(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in a row, and how many each text has, the end id included."""
     raw, borders = texts_of(column)
-    place, words, first = distinct_runs(raw, borders, _WORD)
-    coded = _ids_of_words(words.to_pylist(), path)
-    per_word = np.array([len(x) >> 2 for x in coded], np.int64)
+    raw, kind = pieces_of(raw, borders)
+    place, pieces, first = distinct_runs(raw, borders, kind, single=_DIGIT)
+    coded = _ids_of_pieces(pieces.to_pylist(), path) + [struct.pack("<I", end_id)]
+    place = np.insert(place, first[1:], len(coded) - 1)  # each text's end is a piece, too
+    per_piece = np.array([len(x) >> 2 for x in coded], np.int32)
     flat = np.frombuffer(b"".join(coded), "<u4")
-    n = per_word[place]
+    n = per_piece[place]
     upto = np.zeros(len(n) + 1, np.int64)
     np.cumsum(n, out=upto[1:])
-    start = np.cumsum(per_word) - per_word
+    start = np.cumsum(per_piece) - per_piece
     ids = flat[np.repeat(start[place] - upto[:-1], n) + np.arange(upto[-1])]
-    ends = upto[first[1:]]
-    return np.insert(ids, ends, end_id), np.diff(upto[first]) + 1
+    return ids, np.diff(upto[first + np.arange(len(first))])
 
 
 def _blocks(batches, path: str, end_id: int, limit: int):

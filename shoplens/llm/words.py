@@ -16,19 +16,28 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[borders[0]:borders[-1]], borders - borders[0]
 
 
-def distinct_runs(raw: np.ndarray, borders: np.ndarray, inside: np.ndarray):
-    """The maximal runs of bytes with inside[byte], none across a border: each
-    occurrence's number among the distinct runs, the distinct runs (an Arrow
-    binary array), and for each text the occurrences before it."""
-    m = inside[raw]
-    before, after = np.zeros(len(m), bool), np.zeros(len(m), bool)
-    before[1:], after[:-1] = m[:-1], m[1:]
-    cut = borders[(borders > 0) & (borders < len(m))]
-    before[cut], after[cut - 1] = False, False
-    starts, ends = np.flatnonzero(m & ~before), np.flatnonzero(m & ~after)
+def runs_between(kind: np.ndarray, borders: np.ndarray, single: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the maximal runs of one kind other than 0, none
+    across a border; those of kind `single` are cut into runs of one."""
+    new = np.ones(len(kind), bool)
+    new[1:] = kind[1:] != kind[:-1]
+    if single is not None:
+        new |= kind == single
+    new[borders[borders < len(kind)]] = True
+    last = np.ones(len(kind), bool)
+    last[:-1] = new[1:]
+    there = kind != 0
+    return np.flatnonzero(new & there), np.flatnonzero(last & there)
+
+
+def distinct_runs(raw: np.ndarray, borders: np.ndarray, kind: np.ndarray, single: int | None = None):
+    """The runs (see above) of the bytes `raw`: each occurrence's number among
+    the distinct runs, the distinct runs (an Arrow binary array), and for each
+    border the occurrences before it."""
+    starts, ends = runs_between(kind, borders, single)
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts + 1, out=offsets[1:])
     runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
-        None, pa.py_buffer(offsets), pa.py_buffer(raw[m])]).dictionary_encode()
+        None, pa.py_buffer(offsets), pa.py_buffer(raw[kind != 0])]).dictionary_encode()
     return (runs.indices.to_numpy(zero_copy_only=False).astype(np.int64), runs.dictionary,
             np.searchsorted(starts, borders))

@@ -85,8 +85,16 @@ def test_frequent_ids_have_small_ranks(spark, docs_of):
     assert ranked == [a, *sorted([b, 2]), c]
 
 
+@pytest.mark.parametrize("letters", ["aAzZ", "aZ09", "éÉßÀÿ×÷", "'stlS", "<|endoftx>", ".,-!", "\u0301\u0308\u00a0\u3000\u2014日ªµº\x00\x1c\x7f"])
+def test_pieces_divide_as_the_tokenizer_does(letters):
+    rng = random.Random(len(letters))
+    texts = ["".join(rng.choice(letters + "bÉ1. \n" + letters) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    ids, n = T.encode(pa.array(texts), tokenizer_path(), 2)
+    assert ids.tolist() == sum((ids_of(t) for t in texts), [])
+
+
 def test_a_worker_forgets_words(monkeypatch):
-    monkeypatch.setattr(T, "KNOWN_WORDS", 3)
+    monkeypatch.setattr(T, "KNOWN_PIECES", 3)
     col = pa.array(["a b c d e", "e d c b a", None])
     ids, n = T.encode(col, tokenizer_path(), 2)
     assert ids.tolist() == sum((ids_of(t) for t in col.to_pylist()), []) and n.tolist() == [6, 6, 1]
