@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, langid, pii, quality_cotrain, quality_rules, simhash, spelling, substring_dedup, token_files, toxicity, url_filter, url_filter_sql
+from . import bpe, conversation_trie, decontam, langid, pii, quality_cotrain, quality_rules, simhash, spelling, substring_dedup, token_files, toxicity, url_filter, url_filter_sql
 from .common import table
 
 
@@ -77,6 +77,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), min_letters=5, min_count=3, modulus=97, ratio=2)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"), every=5, modulus=9)
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write(table(spark, sf_dir, "documents"), tokenizer_path(), token_files.scratch_folder(spark))
     return token_files.read(spark, folder).select(
@@ -91,7 +95,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_quality_rules, op4_bpe_encode_decode,
                              op5_substring_dedup, op6_pii, op7_language_id, op8_benchmark_decontamination,
-                             op9_quality_classifier, op10_url_filter, op11_spelling_variants, op13_token_files)
+                             op9_quality_classifier, op10_url_filter, op11_spelling_variants, op12_conversation_trie, op13_token_files)
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_url_filter": url_filter_sql.oracle()}
