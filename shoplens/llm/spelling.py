@@ -41,8 +41,8 @@ from .words import distinct_runs, texts_of
 
 #: Letter groups of a vector; levels at most that are keys; words of a branch in one task; words of a leaf.
 GROUPS, MAX_LEVELS, BRANCH_WORDS, LEAF_WORDS = 32, 8, 20_000, 24
-#: Words up to this length are verified many at a time.
-SHORT = 64
+#: Words up to this length are verified many at a time; words that search a trie together.
+SHORT, TOGETHER = 64, 50_000
 #: Bytes of text counted at a time; distinct words a task gathers before it sends them on.
 SLICE_BYTES, GATHERED = 4 << 20, 300_000
 
@@ -123,30 +123,48 @@ def vectors(words: list[bytes]) -> np.ndarray:
     size = np.array([len(w) for w in words], np.int64)
     letters = np.frombuffer(b"".join(words), np.uint8) % GROUPS
     at = np.repeat(np.arange(len(words)), size) * GROUPS + letters
-    return np.bincount(at, minlength=len(words) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+    counts = np.bincount(at, minlength=len(words) * GROUPS).reshape(-1, GROUPS)
+    return counts.astype(np.int16 if size.max(initial=0) < 1 << 14 else np.int32)
 
 
-def one_edit(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Whether a[i] and b[i] differ by exactly one inserted, deleted or replaced letter."""
-    out = np.zeros(len(a), bool)
-    size_a, size_b = (np.array([len(w) for w in x], np.int64) for x in (a, b))
+class Letters:
+    """Words by their letters, the short ones as rows of a matrix."""
+
+    def __init__(self, words: list[bytes]):
+        self.words, self.size = words, np.array([len(w) for w in words], np.int64)
+        wide = int(self.size[self.size <= SHORT].max(initial=0)) + 1
+        self.rows = np.array([w if len(w) <= SHORT else b"" for w in words], f"S{wide}").view(np.uint8).reshape(len(words), wide)
+
+    def of(self, at: np.ndarray, wide: int) -> np.ndarray:
+        got = self.rows[at, :wide]
+        return got if got.shape[1] == wide else np.pad(got, ((0, 0), (0, wide - got.shape[1])))
+
+
+def one_edit(a: Letters, i: np.ndarray, b: Letters, j: np.ndarray) -> np.ndarray:
+    """Whether a's word i[k] and b's word j[k] differ by exactly one inserted,
+    deleted or replaced letter."""
+    out = np.zeros(len(i), bool)
+    size_a, size_b = a.size[i], b.size[j]
     short = (size_a <= SHORT) & (size_b <= SHORT)
-    for i in np.flatnonzero(~short & (abs(size_a - size_b) <= 1)):
-        out[i] = _one_edit_long(a[i], b[i])
-    for step in (0, 1):
-        for x, y, which in ((a, b, size_a - size_b == step), (b, a, size_b - size_a == step))[:1 + step]:
-            rows = np.flatnonzero(short & which)
+    for k in np.flatnonzero(~short & (abs(size_a - size_b) <= 1)):
+        out[k] = _one_edit_long(a.words[i[k]], b.words[j[k]])
+    for longer in (0, 1, -1):
+        which = np.flatnonzero(short & (size_a - size_b == longer))
+        for rows in np.array_split(which, len(which) // 200_000 + 1):
             if not len(rows):
                 continue
-            wide = max(len(x[i]) for i in rows) + 1
-            p, q = (np.array([w[i] for i in rows], f"S{wide}").view(np.uint8).reshape(len(rows), wide) for w in (x, y))
-            if step == 0:
+            wide = int(max(size_a[rows].max(), size_b[rows].max())) + 1
+            p, q = a.of(i[rows], wide), b.of(j[rows], wide)
+            if longer == 0:
                 out[rows] = (p != q).sum(axis=1) == 1
-            else:  # equal up to some place, and from there on with one letter skipped
-                upto = np.argmax(np.c_[p != q, np.ones(len(rows), bool)], axis=1)
-                skipped = p[:, 1:] != q[:, :-1]
-                last = wide - 1 - np.argmax(np.c_[skipped[:, ::-1], np.ones(len(rows), bool)], axis=1)
-                out[rows] = last <= upto
+                continue
+            if longer < 0:
+                p, q = q, p
+            # equal up to some place, and from there on with one letter skipped
+            upto = np.argmax(p != q, axis=1)
+            skipped = p[:, 1:] != q[:, :-1]
+            last = np.where(skipped.any(axis=1), wide - 1 - np.argmax(skipped[:, ::-1], axis=1), 0)
+            out[rows] = last <= upto
     return out
 
 
@@ -163,43 +181,44 @@ class Trie:
     def __init__(self, words: list[bytes], ranks: np.ndarray, order: np.ndarray):
         counts = vectors(words)[:, order]
         by = np.lexsort(counts.T[::-1])
-        self.counts, self.ranks, self.words = counts[by], ranks[by], [words[i] for i in by]
+        self.counts, self.ranks, self.letters = counts[by], ranks[by], Letters([words[i] for i in by])
+        self.size = self.letters.size
 
     def near(self, words: list[bytes], ranks: np.ndarray, order: np.ndarray):
         """(index of the searching word, index of a word of the trie) of all near pairs."""
-        counts = vectors(words)[:, order]
+        counts, letters = vectors(words)[:, order], Letters(words)
         found_q, found_w = [], []
         # node: level, words from, to; the words that search there, their surplus and deficit left
-        todo = [(0, 0, len(self.words), np.arange(len(words)), np.ones(len(words), np.int8), np.ones(len(words), np.int8))]
+        todo = [(0, 0, len(self.size), np.arange(len(words)), np.ones(len(words), np.int8), np.ones(len(words), np.int8))]
         while todo:
             level, lo, hi, q, surplus, deficit = todo.pop()
             if hi - lo <= LEAF_WORDS or level == GROUPS:
                 for some in np.array_split(q, len(q) * (hi - lo) // 1_000_000 + 1):
-                    i, j = self._leaf(counts[some], lo, hi)
+                    i, j = self._leaf(counts[some], letters.size[some], lo, hi)
                     i = some[i]
-                    other = ranks[i] != self.ranks[j]
-                    found_q.append(i[other])
-                    found_w.append(j[other])
+                    near = np.flatnonzero(ranks[i] != self.ranks[j])
+                    near = near[one_edit(letters, i[near], self.letters, j[near])]
+                    found_q.append(i[near])
+                    found_w.append(j[near])
                 continue
             column, mine = self.counts[lo:hi, level], counts[q, level]
             starts = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
             for s, e in zip(starts, np.r_[starts[1:], hi - lo]):
                 more = column[s] - mine  # of the trie's words than of the searching
-                stay = (more == 0) | (more == 1) & (surplus > 0) | (more == -1) & (deficit > 0)
-                if stay.any():
+                stay = np.flatnonzero((more == 0) | (more == 1) & (surplus > 0) | (more == -1) & (deficit > 0))
+                if len(stay):
                     up = more[stay]
                     todo.append((level + 1, lo + s, lo + e, q[stay], surplus[stay] - (up == 1), deficit[stay] - (up == -1)))
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_q, found_w))
-        near = one_edit([words[k] for k in i], [self.words[k] for k in j])
-        return i[near], j[near]
+        return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_q, found_w))
 
-    def _leaf(self, counts: np.ndarray, lo: int, hi: int):
-        """Pairs of a leaf whose whole vectors are within the budget."""
+    def _leaf(self, counts: np.ndarray, size: np.ndarray, lo: int, hi: int):
+        """Pairs of a leaf whose whole vectors are within the budget: lengths
+        differ by one at most, counts by two in all."""
         if hi - lo > LEAF_WORDS:  # all levels are used up: these vectors are equal
             return (x.ravel() for x in np.meshgrid(np.arange(len(counts)), np.arange(lo, hi), indexing="ij"))
-        more = self.counts[None, lo:hi] - counts[:, None]
-        i, j = np.nonzero((np.maximum(more, 0).sum(axis=2) <= 1) & (np.maximum(-more, 0).sum(axis=2) <= 1))
-        return i, j + lo
+        i, j = np.nonzero(abs(self.size[None, lo:hi] - size[:, None]) <= 1)
+        within = np.flatnonzero(abs(self.counts[j + lo] - counts[i]).sum(axis=1) <= 2)
+        return i[within], j[within] + lo
 
 
 def targets(counts: np.ndarray):
@@ -219,7 +238,7 @@ def targets(counts: np.ndarray):
 
 def _deficit_first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the first difference from a to b is a deficit."""
-    more = np.c_[b - a, np.zeros(len(a), np.int32)]
+    more = np.c_[b.astype(np.int64) - a, np.zeros(len(a), np.int64)]
     first = np.argmax(more != 0, axis=1)
     return more[np.arange(len(a)), first] < 0
 
@@ -271,43 +290,47 @@ def _dealt(batches, order: np.ndarray, levels: int, parts: dict[int, int]):
 
 def _searched(batches, order: np.ndarray, levels: int):
     """Near pairs of the branches' members and the words that arrive there."""
-    at, members, ranks, trie = None, [], [], None
+    at, trie = None, None
+    members, arriving = ([], []), ([], [])  # words and ranks
 
-    def pairs(words, their, own):
-        i, j = trie.near(words, their, order)
+    def pairs(own, words, ranks):
+        i, j = trie.near(words, ranks, order)
         if own:
-            good = their[i] < trie.ranks[j]
+            good = ranks[i] < trie.ranks[j]
         else:  # of two branches' words, the one that spends a deficit first searches
-            a, b = vectors([words[k] for k in i])[:, order[:levels]], trie.counts[j][:, :levels]
+            a, b = vectors(words)[:, order[:levels]][i], trie.counts[j][:, :levels]
             good = _deficit_first(a, b) | (_key(a) == _key(b))
-        a, b = their[i[good]], trie.ranks[j[good]]
+        a, b = ranks[i[good]], trie.ranks[j[good]]
         return pa.RecordBatch.from_arrays([pa.array(np.r_[a, b]), pa.array(np.r_[b, a])], ["rank", "near"])
 
+    def taken(gathered):
+        words, ranks = [w for x in gathered[0] for w in x], np.concatenate(gathered[1])
+        gathered[0].clear(), gathered[1].clear()
+        return words, ranks
+
     def closed():
-        nonlocal trie, members, ranks
-        if trie is None and members:
-            words, all_ranks = [w for x in members for w in x], np.concatenate(ranks)
-            trie = Trie(words, all_ranks, order)
-            members, ranks = [], []
-            for k in range(0, len(words), 5_000):
-                yield pairs(words[k:k + 5_000], all_ranks[k:k + 5_000], True)
+        """What has been gathered searches: the members each other, or the arriving words the members."""
+        nonlocal trie
+        if members[0]:
+            words, ranks = taken(members)
+            trie = Trie(words, ranks, order)
+            yield pairs(True, words, ranks)
+        if arriving[0]:
+            words, ranks = taken(arriving)
+            if trie is not None:
+                yield pairs(False, words, ranks)
     for b in batches:
         key = np.c_[tuple(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("branch", "part", "arriving"))]
         cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else []
         for lo, hi in zip(cuts, np.r_[cuts[1:], len(key)] if len(cuts) else []):
             if at != tuple(key[lo, :2]):
                 yield from closed()
-                at, trie, members, ranks = tuple(key[lo, :2]), None, [], []
-            words = b.column("word").slice(lo, hi - lo).to_pylist()
-            their = b.column("rank").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-            if not key[lo, 2]:
-                members.append(words)
-                ranks.append(their)
-                continue
-            yield from closed()
-            if trie is not None:
-                for k in range(0, len(words), 5_000):
-                    yield pairs(words[k:k + 5_000], their[k:k + 5_000], False)
+                at, trie = tuple(key[lo, :2]), None
+            to = arriving if key[lo, 2] else members
+            to[0].append(b.column("word").slice(lo, hi - lo).to_pylist())
+            to[1].append(b.column("rank").slice(lo, hi - lo).to_numpy(zero_copy_only=False))
+            if key[lo, 2] and sum(map(len, arriving[0])) >= TOGETHER:
+                yield from closed()
     yield from closed()
 
 

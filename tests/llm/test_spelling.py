@@ -126,7 +126,8 @@ def test_every_kind_of_edit_and_no_other():
             v[k:k + rng.randrange(2)] = rng.choice(["", "a", "b"])
         a.append("".join(w).encode())
         b.append("".join(v).encode())
-    assert S.one_edit(a, b).tolist() == [one_edit(x, y) for x, y in zip(a, b)]
+    at = np.arange(len(a))
+    assert S.one_edit(S.Letters(a), at, S.Letters(b), at).tolist() == [one_edit(x, y) for x, y in zip(a, b)]
 
 
 def test_checksums_of_long_runs():
