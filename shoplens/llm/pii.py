@@ -57,14 +57,48 @@ def _valid(kind: str, v: str) -> str:
 _EMPTY = "cast(array() as array<struct<kind: string, start: bigint, stop: bigint, value: string>>)"
 
 
+#: Elements of a piece of an array, characters of a block of a text.
+_PIECE, _BLOCK = 256, 1024
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body, in which name stands for value."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _before(values: str, merged: str) -> str:
+    """SQL: for each element of an array of bigint, what `merged` (SQL over
+    {a} and {x}) makes of all elements before it, from 0 on.  Arrays are scanned in
+    pieces, since each step of a fold copies what it has gathered."""
+    def scan(array: str, start: str) -> str:
+        return (f"aggregate({array}, named_struct('a', {start}, 'out', cast(array() as array<bigint>)), (s, x) -> "
+                f"named_struct('a', {merged.format(a='s.a', x='x')}, 'out', concat(s.out, array(s.a))), s -> s.out)")
+    pieces = f"transform(sequence(0, int((size(v) - 1) / {_PIECE})), i -> slice(v, i * {_PIECE} + 1, {_PIECE}))"
+    totals = f"transform(p, k -> aggregate(k, 0L, (a, x) -> {merged.format(a='a', x='x')}))"
+    return _let("v", values, _let("p", pieces, f"flatten(zip_with(p, {scan(totals, '0L')}, (k, base) -> {scan('k', 'base')}))"))
+
+
+def _blocks_of(text: str) -> str:
+    """SQL: the text in blocks of characters, for `_part`."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{_BLOCK}}}', 0)"
+
+
+def _part(blocks: str, start: str, stop: str) -> str:
+    """SQL: the characters from start (from 0) up to stop.  Substring walks the
+    text from its beginning; this, from the beginning of a block."""
+    first, last = f"({start} div {_BLOCK})", f"(greatest({start}, {stop} - 1) div {_BLOCK})"
+    return (f"substring(array_join(slice({blocks}, int({first}) + 1, int({last} - {first}) + 1), ''), "
+            f"int({start} % {_BLOCK}) + 1, int(greatest({stop} - {start}, 0L)))")
+
+
 def _placed(text: str, pattern: str, kind: str) -> str:
     """SQL: the matches of a pattern (SQL too) in order, as structs kind, start,
     stop, value.  The pieces between the matches give their places."""
     hits, gaps = f"regexp_extract_all({text}, {pattern}, 0)", f"split({text}, {pattern}, -1)"
-    pairs = f"zip_with({hits}, slice({gaps}, 1, greatest(size({gaps}) - 1, 0)), (h, g) -> named_struct('h', h, 'g', g))"
-    return (f"aggregate({pairs}, named_struct('at', 0L, 'out', {_EMPTY}), (a, x) -> named_struct("
-            f"'at', a.at + length(x.g) + length(x.h), 'out', concat(a.out, array(named_struct("
-            f"'kind', '{kind}', 'start', a.at + length(x.g), 'stop', a.at + length(x.g) + length(x.h), 'value', x.h)))), a -> a.out)")
+    pairs = f"zip_with({hits}, slice({gaps}, 1, greatest(size({gaps}) - 1, 0)), (h, g) -> named_struct('h', h, 'g', bigint(length(g))))"
+    sums = _before("transform(m, x -> x.g + length(x.h))", "{a} + {x}")
+    return _let("m", pairs, f"zip_with(m, {sums}, (x, b) -> named_struct('kind', '{kind}', 'start', b + x.g, "
+                            f"'stop', b + x.g + length(x.h), 'value', x.h))")
 
 
 def _spans(text: str, kind: str) -> Column:
@@ -83,16 +117,19 @@ def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     return rows.withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c")))
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, key, spans (of the four kinds in turn) and around (of each span,
-    the text beside it)."""
-    rows = _keyed(docs)
+def base_spans(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, key, spans (of the four kinds in turn), around (of each span,
+    the text beside it) and more."""
+    rows = _keyed(docs, *more)
     for kind in KINDS:
         rows = rows.withColumn(kind, _spans("text", kind))
     rows = rows.withColumn("spans", F.concat(*KINDS))
-    around = F.expr(f"transform(spans, s -> concat(substring(text, int(greatest(s.start - {CONTEXT}, 0L)) + 1, "
-                    f"int(least(s.start, {CONTEXT}L))), ' \\u0001 ', substring(text, int(s.stop) + 1, {CONTEXT})))")
-    return rows.select("doc_id", "key", "spans", around.alias("around"))
+    left, right = _part("w", "greatest(s.start - {0}, 0L)".format(CONTEXT), "s.start"), _part(
+        "w", "least(s.stop, n)", "least(s.stop + {0}, n)".format(CONTEXT))
+    around = _let("w", _blocks_of("text"), _let("n", "bigint(length(text))", f"transform(spans, s -> concat({left}, ' \\u0001 ', {right}))"))
+    rest = [c for c in rows.columns if c not in ("doc_id", "text", "key", "spans", *KINDS)]
+    return rows.select("doc_id", "key", "spans", F.expr(
+        f"case when size(spans) > 0 then {around} else cast(array() as array<string>) end").alias("around"), *rest)
 
 
 def _terms(text: str) -> str:
@@ -162,26 +199,24 @@ def redact(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, min_confidence: fl
     """The rows of docs, with all their columns, each span in their texts replaced
     by its kind in angle brackets (overlapping spans by the first one's).  A null
     text stays null."""
-    base = written(base_spans(docs), "base")
-    terms = disclosing_terms(docs, base, min_contexts, min_confidence, min_bits)
-    # the row as it came stays whole beside the columns worked on
-    rows = _keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    for kind in KINDS:
-        rows = rows.withColumn(kind, _spans("text", kind))
-    spans = F.concat(*KINDS)
+    # the row as it came is written beside its spans, so that no text is searched or shuffled again
+    base = written(base_spans(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "base")
+    texts = base.select("doc_id", F.col("row.text").alias("text"))
+    terms = disclosing_terms(texts, base, min_contexts, min_confidence, min_bits)
+    rows = base.select("row", "key", "spans")
     if not terms.isEmpty():
-        more = _term_spans(docs, terms).withColumnRenamed("key", "term_key")
-        rows = rows.join(more, F.col("key").eqNullSafe(F.col("term_key")), "left")
-        spans = F.when(F.col("term_spans").isNull(), spans).otherwise(F.concat(spans, "term_spans"))
-    rows = rows.withColumn("spans", F.array_sort(spans, _by_start))
-    # clear text, the kind, clear text, ... : the clear part before a span begins where all spans before it have ended
-    merged = ("aggregate(spans, named_struct('at', 0L, 'out', cast(array() as array<string>)), (a, s) -> "
-              "case when s.stop <= a.at then a when s.start < a.at then named_struct('at', s.stop, 'out', a.out) "
-              "else named_struct('at', s.stop, 'out', concat(a.out, array(substring(text, int(a.at) + 1, int(s.start - a.at)), "
-              "concat('<', s.kind, '>')))) end, a -> concat(array_join(a.out, ''), substring(text, int(a.at) + 1)))")
-    clean = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(F.expr(merged))
-    return rows.select(*[clean.cast(docs.schema["text"].dataType).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c)
-                         for c in docs.columns])
+        more = written(_term_spans(texts, terms), "term_spans").withColumnRenamed("key", "term_key")
+        rows = rows.join(more, F.col("key").eqNullSafe(F.col("term_key")), "left").select("row", F.expr(
+            "if(term_spans is null, spans, concat(spans, term_spans))").alias("spans"))
+    in_order = rows.select("row", F.array_sort("spans", _by_start).alias("spans"))
+    # a span that begins before all earlier ones have ended adds nothing but its length
+    ended = _before("transform(spans, s -> s.stop)", "greatest({a}, {x})")
+    pieces = f"zip_with(spans, {ended}, (s, e) -> if(s.start < e, '', concat({_part('w', 'e', 's.start')}, '<', s.kind, '>')))"
+    last = _let("e", "array_max(transform(spans, s -> s.stop))", _part("w", "least(e, n)", "n"))
+    whole = _let("w", _blocks_of("row.text"), _let("n", "bigint(length(row.text))", f"concat(array_join({pieces}, ''), {last})"))
+    clean = F.expr(f"case when size(spans) = 0 then row.text else {whole} end")
+    return in_order.select(*[clean.cast(docs.schema["text"].dataType).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c)
+                             for c in docs.columns])
 
 
 def _by_start(a: Column, b: Column) -> Column:

@@ -79,3 +79,32 @@ def test_redaction_of_overlaps_and_empty(docs_of):
     text = sorted(((r.doc_id, r.text) for r in pii.redact(docs_of(rows)).collect()), key=str)
     assert text == [(1, "x <phone> y"), (2, None), (2, None), (3, "no")]
     assert pii.find(docs_of([])).count() == 0 and pii.redact(docs_of([])).count() == 0
+
+
+def test_many_matches_in_one_text_are_linear_work(docs_of):
+    """100,000 matches; ten times the matches take little more than ten times as long."""
+    import time
+    took = {}
+    for n in (10_000, 100_000):
+        text = " ".join(f"é{i} a{i}@b.org" for i in range(n))
+        began = time.time()
+        (row,) = pii.find(docs_of([(1, text)])).collect()
+        assert len(row.spans) == n and all(text[s.start:s.stop] == s.value == f"a{i}@b.org" for i, s in enumerate(row.spans))
+        (clean,) = pii.redact(docs_of([(1, text)])).collect()
+        took[n] = time.time() - began
+        assert clean.text == " ".join(f"é{i} <email>" for i in range(n))
+    assert took[100_000] < 30 + 12 * took[10_000]
+
+
+def test_parts_and_sums_across_pieces(spark):
+    """Around the borders of pieces and blocks."""
+    n = 2 * pii._PIECE + 3
+    text = "aé😀" * 1100
+    got = spark.range(1).selectExpr(
+        pii._before(f"transform(sequence(1, {n}), i -> bigint(i))", "{a} + {x}") + " as sums",
+        pii._before("array(3L, 1L, 5L, 2L)", "greatest({a}, {x})") + " as tops", pii._before("cast(array() as array<bigint>)", "{a} + {x}") + " as none",
+        *[f"transform(array(0L, 5L, 1020L, 1024L, 2047L, 3299L, 3300L), i -> {pii._part(pii._blocks_of(repr(text)), 'i', f'least(i + {k}L, 3300L)')}) as p{k}"
+          for k in (0, 1, 7, 1500)]).first()
+    assert got.sums == [i * (i + 1) // 2 for i in range(n)] and got.tops == [0, 3, 3, 5] and got.none == []
+    for k in (0, 1, 7, 1500):
+        assert got[f"p{k}"] == [text[i:min(i + k, 3300)] for i in (0, 5, 1020, 1024, 2047, 3299, 3300)]
