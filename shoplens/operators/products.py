@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.metrics import count_if, id_range, in_range, ratio, sum_money, ts_lit
@@ -141,6 +141,10 @@ def pages_after(pageviews: DataFrame, product_urls: Sequence[str], after, before
     return later.unionByName(dangling).distinct()
 
 
+#: Pageviews of a session whose ids agree but for these low bits are a bucket.
+ID_BUCKET_BITS = 20
+
+
 def funnel_page_flags(pageviews: DataFrame, product_urls: Sequence[str],
                       steps: Mapping[str, str], after, before, ordered: bool = True) -> DataFrame:
     """Pageview-grain detail behind ``product_funnel``: for each session and
@@ -174,6 +178,50 @@ def funnel_page_flags(pageviews: DataFrame, product_urls: Sequence[str],
     return out.drop("seen_at")
 
 
+def funnel_page_pairs(pageviews: DataFrame, product_urls: Sequence[str],
+                      steps: Mapping[str, str], after, before) -> DataFrame:
+    """The surveyed detail behind ``product_funnel`` with its multiplicities:
+    every view of a product page in (after, before) is paired with every later
+    pageview of its session (with nothing, if there is none).  The pairs of one
+    product page and one later pageview differ in nothing, so they are one row
+    with their number, ``n_pairs``: rows grow with the pageviews, while the
+    pairs grow with their square.
+
+    ``n_pairs`` is the number of the page's views before the later pageview: a
+    running count, taken inside buckets of a million ids and over a session's
+    buckets, so that no task holds a session's pageviews."""
+    url, pid = F.col(URL), F.col(PV)
+    seen = url.isin(*product_urls) & in_range("created_at", after=after, before=before)
+    n = range(len(product_urls))
+    views = (from_first(pageviews, seen & F.col(SID).isNotNull()).filter(F.col(SID).isNotNull())
+             .select(SID, PV, URL, F.shiftright(pid, ID_BUCKET_BITS).alias("bucket"),
+                     *[F.coalesce(seen & (url == p), F.lit(False)).cast("long").alias(f"s{i}")
+                       for i, p in enumerate(product_urls)]))
+    cell = [SID, "bucket"]
+    earlier = Window.partitionBy(*cell).orderBy(PV).rowsBetween(Window.unboundedPreceding, -1)
+    counted = views.select(SID, PV, URL, "bucket", *[f"s{i}" for i in n],
+                           *[F.coalesce(F.sum(f"s{i}").over(earlier), F.lit(0)).alias(f"n{i}") for i in n])
+    buckets = Window.partitionBy(SID).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (views.groupBy(*cell).agg(F.max(PV).alias("last"), *[F.sum(f"s{i}").alias(f"t{i}") for i in n])
+               .select(*cell, F.max("last").over(Window.partitionBy(SID)).alias("last_pv"),
+                       *[F.coalesce(F.sum(f"t{i}").over(buckets), F.lit(0)).alias(f"c{i}") for i in n]))
+    # beside the pairs with this pageview, the last one's own view has nothing after it
+    def of(i, count, paired):
+        return F.struct(F.lit(product_urls[i]).alias("product_page_seen"), count.alias("n_pairs"), F.lit(paired).alias("paired"))
+    rows = F.array(*[of(i, F.col(f"n{i}") + F.col(f"c{i}"), True) for i in n],
+                   *[of(i, F.when(pid == F.col("last_pv"), F.col(f"s{i}")).otherwise(0), False) for i in n])
+    pairs = (counted.join(carried, cell)
+             .select(SID, PV, URL, F.explode(F.filter(rows, lambda r: r["n_pairs"] > 0)).alias("r"))
+             .select(SID, "r.*", F.when(F.col("r.paired"), pid).alias(PV), F.when(F.col("r.paired"), url).alias(URL)))
+    # views without a session: nothing follows them
+    lost = (pageviews.filter(seen & F.col(SID).isNull()).groupBy(SID, url.alias("product_page_seen"))
+            .agg(F.count(F.lit(1)).alias("n_pairs"))
+            .select(SID, "product_page_seen", "n_pairs", F.lit(False).alias("paired"),
+                    F.lit(None).cast("long").alias(PV), F.lit(None).cast("string").alias(URL)))
+    flags = [F.coalesce(url == u, F.lit(False)).cast("int").alias(f"{lab}_page") for lab, u in steps.items()]
+    return pairs.unionByName(lost).select(SID, "product_page_seen", PV, *flags, "n_pairs")
+
+
 def product_funnel(pageviews: DataFrame, products: Mapping[str, str], steps: Mapping[str, str],
                    after, before, entry_label: str = "product_page") -> DataFrame:
     """Per product page viewed in (after, before): sessions, sessions that

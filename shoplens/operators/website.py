@@ -36,9 +36,13 @@ def top_pages(pageviews: DataFrame, before) -> DataFrame:
 
 
 def entry_pages(pageviews: DataFrame) -> DataFrame:
-    """Sessions per landing page (URL of the session's first pageview)."""
-    first = _sessions_of(pageviews).groupBy(SID).agg(F.min_by(URL, PV).alias("landing_page"))
-    return first.groupBy("landing_page").agg(F.count(SID).alias("sessions_hitting_this_lander"))
+    """Sessions per landing page (URL of the session's first pageview).
+
+    The smallest id of each session is a hash aggregate of two numbers; its
+    pageview, and with it the URL, is looked up by that id."""
+    first = _sessions_of(pageviews).groupBy(SID).agg(F.min(PV).alias(PV)).select(PV)
+    return (pageviews.join(first, PV, "left_semi").groupBy(F.col(URL).alias("landing_page"))
+            .agg(F.count(F.lit(1)).alias("sessions_hitting_this_lander")))
 
 
 def bounce_rate(pageviews: DataFrame, before, landing: str = "/home") -> DataFrame:

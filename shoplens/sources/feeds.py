@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.operators.common import hot_keys, null_safe_join
+from shoplens.operators.ranking import kept, number_rows, rank_in_key
 
 # ---------------------------------------------------------------------------
 # Fixed values of the test feeds (FIXTURES.md §2).  They must stay exactly as
@@ -55,7 +56,7 @@ STORE_COGS_RATE = Decimal("0.60")
 RETURNED_FLAG = "R"
 DOUBLE_REFUND_LINE = 7          # lines with this number get two refunds
 ITEM_ID_FACTOR = 1_000_000      # order_item_id = order_id * 1,000,000 + line rank
-REFUND_ID_FACTOR = 10           # refund id = order_item_id * 10 + j
+REFUND_ID_FACTOR = 10           # refund id = order_item_id * 10 + j (- j below 0)
 
 
 def _pick(index: Column, values: list[str]) -> Column:
@@ -235,21 +236,37 @@ class CommerceFeed:
     lines: DataFrame  # numbered line items the three tables derive from (for reuse)
 
 
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate"]
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+#: Order keys up to this have item and refund ids by the formula.
+LAST_PLAIN_ORDER = (2**63 - 1) // (ITEM_ID_FACTOR * REFUND_ID_FACTOR) - 1
+
+
 def number_lines(lineitem: DataFrame) -> DataFrame:
     """Line items numbered within their order, in the item table's columns
-    plus the two that refunds need."""
-    # The item id scheme bounds an order's lines: a rank beyond it would give
-    # two items one id, so it fails the build.  That bounds the window, too.
-    rank = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    li = lineitem.select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
-        "l_returnflag", "l_shipdate",
-    ).withColumn("rn", F.row_number().over(rank))
+    plus the two that refunds need.
+
+    An order of any length will do: lines of an order beyond a task's row
+    budget are ranked by range (``rank_in_key``).  Item ids come from the order
+    key and the rank; lines that the formula has no room for (ranks from
+    ITEM_ID_FACTOR on, order keys below 0 or beyond LAST_PLAIN_ORDER, none at
+    all) are numbered -1, -2, ... in the order of their keys and ranks."""
+    plain_key = F.col("l_orderkey").between(0, LAST_PLAIN_ORDER)
+    # a row per order meets one task as three numbers
+    odd = (lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
+           .where(~F.coalesce(plain_key, F.lit(False)) | (F.col("lines") >= ITEM_ID_FACTOR)))
+    li = rank_in_key(lineitem.select(*LINE_COLUMNS), ["l_orderkey"], LINE_ORDER, "rn")
+    by_formula = F.col("l_orderkey") * ITEM_ID_FACTOR + F.col("rn")
+    if odd.isEmpty():
+        li = li.withColumn("order_item_id", by_formula)
+    else:
+        li = kept(li, "ranked-lines")
+        plain = F.coalesce(plain_key & (F.col("rn") < ITEM_ID_FACTOR), F.lit(False))
+        others = number_rows(li.where(~plain), ["l_orderkey", "rn"], "number")
+        li = (li.where(plain).withColumn("order_item_id", by_formula)
+              .unionByName(others.withColumn("order_item_id", -F.col("number")).drop("number")))
     return li.select(
-        (F.col("l_orderkey") * ITEM_ID_FACTOR + F.when(F.col("rn") < ITEM_ID_FACTOR, F.col("rn"))
-         .otherwise(F.raise_error(F.lit("an order has too many lines for the item id scheme")).cast("int"))
-         ).alias("order_item_id"),
+        "order_item_id",
         F.col("l_orderkey").alias("order_id"),
         (F.col("l_partkey") % 4 + 1).cast("int").alias("product_id"),
         (F.col("rn") == 1).cast("int").alias("is_primary_item"),
@@ -292,7 +309,8 @@ def commerce_tables(orders: DataFrame, items_x: DataFrame) -> CommerceFeed:
         items_x.filter(F.col("l_returnflag") == RETURNED_FLAG)
         .select("*", F.explode(copies).alias("j"))
         .select(
-            (F.col("order_item_id") * REFUND_ID_FACTOR + F.col("j")).alias("order_item_refund_id"),
+            (F.col("order_item_id") * REFUND_ID_FACTOR + F.when(F.col("order_item_id") < 0, -F.col("j"))
+             .otherwise(F.col("j"))).alias("order_item_refund_id"),
             "order_item_id",
             F.col("price_usd").alias("refund_amount_usd"),
             F.timestamp_add("DAY", F.col("l_linenumber"), F.col("created_at")).alias("created_at"),

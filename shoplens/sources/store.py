@@ -10,21 +10,26 @@ The written location is keyed by the path, length and modification time of
 every source file, as Hadoop's FileSystem lists them (so local and remote
 inputs alike), and by the feed code: a changed feed or input never reads
 stale tables.  A table's data go to a folder of their own; the table is
-published by one small manifest that names the folder, renamed into place
-last.  A reader sees no table or a whole one, also on object stores, where
-only single small objects appear at once.
+published by one small manifest that names the folder, created last and only
+if there is none.  A reader sees no table or a whole one, and of two jobs that
+build a table at once both read the first one's folder.  Before that the
+table's key is checked: a doubled id fails the build.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import os
 import threading
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shoplens.operators import ranking
 from shoplens.session import checkpoint_root
 from shoplens.sources import feeds, schemas
 
@@ -45,6 +50,10 @@ LAYOUT = {
     "order_item_refunds": ("created_at", "order_item_refund_id"),
 }
 
+PRIMARY_KEY = {name: columns[-1] for name, columns in LAYOUT.items()}
+#: Whether a table's key is checked when it is built.
+CHECK_KEYS_CONF = "spark.shoplens.checkKeys"
+
 #: Source bytes for one file of a written table, and rows it holds at most.
 FILE_BYTES, FILE_ROWS = 256 << 20, 20_000_000
 
@@ -149,7 +158,7 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, int]]
         files = source_files(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
         size[name] = sum(n for _, n, _ in files)
         h.update(repr((name, files)).encode())
-    for mod in (feeds, schemas):
+    for mod in (feeds, schemas, ranking):
         with open(mod.__file__, "rb") as f:
             h.update(f.read())
     return h.hexdigest()[:16], size
@@ -161,25 +170,80 @@ def _published(spark: SparkSession, manifest: str) -> str | None:
     return spark.read.text(manifest).first()[0] if fs.exists(path) else None
 
 
+#: File systems whose objects appear at once, whole, when they are closed; a
+#: rename there copies.
+OBJECT_STORES = ("s3", "s3a", "s3n", "gs", "abfs", "abfss", "wasb", "wasbs", "oss", "cosn")
+
+
+def _create_if_absent(spark: SparkSession, path: str, content: str) -> bool:
+    """Makes a small file with its whole content, unless there is one; returns
+    whether it did.  Of several writers at once one does, by what the file
+    system does in one step: a link, a rename that replaces nothing, or the
+    conditional creation of an object."""
+    fs, final = _fs(spark, path)
+    scheme = fs.getUri().getScheme()
+
+    def written(target):
+        out = fs.createFile(target).overwrite(False).recursive().build()
+        out.write(bytearray(content.encode()))
+        out.close()
+    if scheme in OBJECT_STORES:
+        try:
+            written(final)
+        except Py4JJavaError:
+            if fs.exists(final):
+                return False
+            raise
+        return True
+    temp = _fs(spark, f"{path}-{uuid.uuid4().hex}")[1]
+    written(temp)
+    try:
+        if scheme == "file":
+            os.link(temp.toUri().getPath(), final.toUri().getPath())
+        else:
+            hadoop, jvm = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+            replace_nothing = jvm.new_array(getattr(hadoop, "Options$Rename"), 0)
+            hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(
+                temp, final, replace_nothing)
+    except (FileExistsError, Py4JJavaError):
+        if fs.exists(final):
+            return False
+        raise
+    finally:
+        if fs.exists(temp):
+            fs.delete(temp, False)
+    return True
+
+
 def _publish(spark: SparkSession, manifest: str, folder: str) -> str:
     """Name ``folder`` as a table's data; returns the folder that counts (that
     of another job if it published first).  Fails if neither could."""
-    fs, final = _fs(spark, manifest)
-    temp = _fs(spark, f"{manifest}-{uuid.uuid4().hex}")[1]
-    out = fs.create(temp, False)
-    out.write(bytearray(folder.encode()))
-    out.close()
-    if fs.exists(final) or not fs.rename(temp, final):
-        fs.delete(temp, False)
-        first = _published(spark, manifest)
-        if first is None:
-            raise OSError(f"could not publish {manifest}")
-        return first
-    return folder
+    if _create_if_absent(spark, manifest, folder):
+        return folder
+    return _published(spark, manifest)
+
+
+class DuplicateKeys(ValueError):
+    """A table's primary key is not one."""
+
+
+def check_keys(table: DataFrame, name: str) -> None:
+    """Fails if two rows of the table share the key, or one has none.
+
+    The analyses count ids where the literal queries count distinct ids, which
+    is right only for primary keys.  Keys are counted per hash bucket by Spark;
+    what reaches the driver is a few offenders."""
+    key = PRIMARY_KEY[name]
+    bad = (table.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+           .where((F.col("rows") > 1) | F.col(key).isNull()).take(3))
+    if bad:
+        shown = ", ".join(f"{r[key]} ({r['rows']} rows)" for r in bad)
+        raise DuplicateKeys(f"{key} is not a primary key of {name}: {shown}")
 
 
 def _write_once(spark: SparkSession, make, base: str, name: str, source_bytes: int, layout=None) -> str:
-    """The folder of the table's data, written (``make()``) unless published."""
+    """The folder of the table's data, written (``make()``) unless published.
+    A logical table whose key is not unique is not published."""
     manifest = f"{base}/{name}.manifest"
     done = _published(spark, manifest)
     if done:
@@ -189,6 +253,8 @@ def _write_once(spark: SparkSession, make, base: str, name: str, source_bytes: i
         df = df.repartitionByRange(max(1, math.ceil(source_bytes / FILE_BYTES)), *layout).sortWithinPartitions(*layout)
     folder = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
+    if name in PRIMARY_KEY and spark.conf.get(CHECK_KEYS_CONF, "true") != "false":
+        check_keys(spark.read.parquet(folder), name)
     return _publish(spark, manifest, folder)
 
 

@@ -4,10 +4,12 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from samples import SF_SMALL
 from shoplens.plans.oracle_feeds import with_feeds
 from shoplens.plans.verify import compare, duck
+from shoplens.operators import ranking
 from shoplens.sources import feeds
 from shoplens.sources.store import derive, read_source
 
@@ -104,6 +106,45 @@ def test_item_ids_of_long_orders_do_not_collide(spark):
     assert items.filter("is_primary_item = 1").count() == 2
 
 
+LINES = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, "
+         "l_returnflag string, l_shipdate timestamp_ntz")
+
+
+def test_an_order_of_any_length(spark):
+    """1.2 million lines in one order, a budget of 100,000 rows a task."""
+    line = "{0} l_orderkey, id l_partkey, 1L l_suppkey, int(id) l_linenumber, 10D l_extendedprice, " \
+           "case when id % 1000 = 0 then 'R' else 'N' end l_returnflag, timestamp_ntz'1999-01-01' l_shipdate"
+    long_order = spark.range(1_200_000).selectExpr(*line.format("4L").split(", "))
+    li = long_order.unionByName(spark.range(9).selectExpr(*line.format("5L").split(", "))).repartition(8)
+    spark.conf.set("spark.shoplens.hotKeyRows", "100000")
+    spark.conf.set("spark.shoplens.hotKeySample", "0.01")
+    try:
+        lines = ranking.kept(feeds.number_lines(li), "test-lines")
+    finally:
+        spark.conf.unset("spark.shoplens.hotKeyRows")
+        spark.conf.unset("spark.shoplens.hotKeySample")
+    got = lines.groupBy("order_id").agg(
+        F.count("*"), F.count_distinct("order_item_id"), F.sum("is_primary_item"), F.min("order_item_id"), F.max("order_item_id"))
+    assert sorted(map(tuple, got.collect())) == [(4, 1_200_000, 1_200_000, 1, -200_001, 4_999_999), (5, 9, 9, 1, 5_000_001, 5_000_009)]
+    # ranks follow the order's own order, by the formula and beyond it
+    assert lines.where("order_item_id = 4000001 and is_primary_item = 1 and l_linenumber = 0").count() == 1
+    assert lines.where("order_id = 4 and order_item_id > 0 and order_item_id <> 4000001 + l_linenumber").count() == 0
+    assert lines.where("order_item_id < 0 and order_item_id <> 999998 - l_linenumber").count() == 0
+    refunds = feeds.commerce_tables(spark.createDataFrame([], "o_orderkey long, o_orderdate timestamp_ntz, o_totalprice double"), lines).refunds
+    assert refunds.agg(F.count("*"), F.count_distinct("order_item_refund_id")).first() == (1201, 1201)
+
+
+def test_order_keys_of_any_size(spark):
+    at = dt.datetime(1999, 1, 1)
+    keys = [feeds.LAST_PLAIN_ORDER, feeds.LAST_PLAIN_ORDER + 1, 2**63 - 1, -1, -(2**63), None, 0]
+    li = spark.createDataFrame([(k, 1, 1, n, 1.0, "R", at) for k in keys for n in (7, 8)], LINES)
+    feed = feeds.commerce_feed(spark.createDataFrame([], "o_orderkey long, o_orderdate timestamp_ntz, o_totalprice double"), li)
+    items = {(r.order_id, r.is_primary_item): r.order_item_id for r in feed.order_items.collect()}
+    assert items[0, 1] == 1 and items[feeds.LAST_PLAIN_ORDER, 0] == feeds.LAST_PLAIN_ORDER * 10**6 + 2
+    assert sorted(i for i in items.values() if i < 0) == list(range(-10, 0)) and len(set(items.values())) == 14
+    assert feed.refunds.select("order_item_refund_id").distinct().count() == 21  # line 7 has two
+
+
 def test_carry_in_two_levels_holds_few_rows(spark):
     """A third of all events belong to one user; with cells cut to seconds no
     window over that user alone holds more than one row per coarse cell."""

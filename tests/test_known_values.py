@@ -52,3 +52,10 @@ def test_one_new_session_per_user_so_u1_equals_u2(store):
     a = sorted(map(tuple, REGISTRY["repeat_session_histogram_sum"](store).collect()))
     b = sorted(map(tuple, REGISTRY["repeat_session_histogram"](store).collect()))
     assert a == b
+
+
+def test_funnel_pairs_sum_to_the_surveyed_rows(store):
+    """Every view of a product page with every later pageview: 2,062 pairs, in fewer rows."""
+    pairs = REGISTRY["funnel_page_pairs"](store)
+    assert pairs.agg({"n_pairs": "sum"}).first()[0] == 2062
+    assert pairs.groupBy("website_session_id", "product_page_seen", "website_pageview_id").count().where("count > 1").isEmpty()

@@ -4,7 +4,10 @@ manifest, and new rows when an input is replaced."""
 import os
 import shutil
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from samples import SF_SMALL
@@ -34,18 +37,62 @@ def test_publish_keeps_the_first_copy_and_reports_failure(spark, monkeypatch):
     assert S._publish(spark, f"{root}/t.manifest", f"{root}/first") == f"{root}/first"
     assert S._publish(spark, f"{root}/t.manifest", f"{root}/second") == f"{root}/first"
     assert os.listdir(root).count("t.manifest") == 1
-    fs, path = S._fs(spark, f"{root}/u.manifest")
-
-    class NoRename:
-        def __getattr__(self, name):
-            return getattr(fs, name)
-
-        def rename(self, *a):
-            return False
-    real = S._fs
-    monkeypatch.setattr(S, "_fs", lambda sp, p: (NoRename(), real(sp, p)[1]))
+    def refused(*_):
+        raise PermissionError("no")
+    monkeypatch.setattr(S.os, "link", refused)
     with pytest.raises(OSError):
         S._publish(spark, f"{root}/u.manifest", f"{root}/third")
+    assert os.listdir(root) == ["t.manifest"]
+
+
+def test_of_many_writers_at_once_one_publishes(spark):
+    root = tempfile.mkdtemp(prefix="shoplens-race-")
+    for n in range(10):
+        with ThreadPoolExecutor(8) as pool:
+            got = list(pool.map(lambda i: S._publish(spark, f"{root}/{n}.manifest", f"{root}/folder-{i}"), range(8)))
+        assert len(set(got)) == 1 and S._published(spark, f"{root}/{n}.manifest") == got[0]
+    assert sorted(f for f in os.listdir(root) if not f.startswith(".")) == sorted(f"{n}.manifest" for n in range(10))
+
+
+def test_two_builds_at_once_read_the_same_folder(spark):
+    root = tempfile.mkdtemp(prefix="shoplens-builds-")
+    base = f"{root}/shoplens-store/{S._fingerprint(spark, SF_SMALL)[0]}"
+    size = S._fingerprint(spark, SF_SMALL)[1]
+
+    def build(_):
+        made = S._Builder(spark, SF_SMALL, base, size)
+        return S._write_once(spark, lambda: made._web().sessions, base, "website_sessions", size["events"],
+                             S.LAYOUT["website_sessions"])
+    with ThreadPoolExecutor(2) as pool:
+        first, second = pool.map(build, range(2))
+    assert first == second and manifests(base) == ["tagged_events", "website_sessions"]
+
+
+def test_renaming_file_systems_replace_nothing(spark):
+    """The way of HDFS, on the file system that is here."""
+    root = tempfile.mkdtemp(prefix="shoplens-rename-")
+    with open(f"{root}/there", "w") as f:
+        f.write("first")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shop.link./t", f"file://{root}")
+    assert S._create_if_absent(spark, "viewfs://shop/t/there", "second") is False
+    assert S._create_if_absent(spark, "viewfs://shop/t/new", "third") is True
+    assert open(f"{root}/there").read() == "first" and open(f"{root}/new").read() == "third"
+
+
+@pytest.mark.parametrize("table, column", [("events", "event_id"), ("orders", "o_orderkey")])
+def test_a_doubled_or_missing_key_is_reported(spark, table, column):
+    folder, root = tempfile.mkdtemp(prefix="shoplens-doubled-"), tempfile.mkdtemp(prefix="shoplens-store-")
+    for t in S.SOURCE_TABLES:
+        shutil.copyfile(f"{SF_SMALL}/{t}.parquet", f"{folder}/{t}.parquet")
+    rows = pq.read_table(f"{folder}/{table}.parquet")
+    at = rows.column_names.index(column)
+    for bad in (rows.column(at)[7].as_py(), None):
+        again = rows.slice(5, 1).set_column(at, column, pa.array([bad], rows.schema.field(at).type))
+        pq.write_table(pa.concat_tables([rows, again.cast(rows.schema)]), f"{folder}/{table}.parquet")
+        store = S.load_store(spark, folder, root=root)
+        with pytest.raises(S.DuplicateKeys, match=str(bad)):
+            (store.pageviews if table == "events" else store.orders).count()
+    S.load_store(spark, SF_SMALL, root=root).orders.count()
 
 
 @pytest.mark.parametrize("scheme", ["", "file://"])
