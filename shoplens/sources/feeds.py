@@ -84,9 +84,12 @@ class WebFeed:
     tagged: DataFrame  # one row per event with its session id (for reuse)
 
 
-def tag_sessions(events: DataFrame, bucket_hours: int = 1) -> DataFrame:
+def tag_sessions(events: DataFrame, bucket_hours: int = 1, state: DataFrame | None = None) -> DataFrame:
     """Events with ``session_id``, ``is_start`` and ``is_repeat``.
 
+    With the ``state`` that earlier events left (``user_state``), events after
+    them go on from there, as if all had been tagged together.
+
     ``session_id`` is the event_id of the session's first event;
     ``is_repeat`` marks a session start that has an earlier event of the same
     user (so the user's session ordinal is > 1).
@@ -151,12 +154,17 @@ def tag_sessions(events: DataFrame, bucket_hours: int = 1) -> DataFrame:
         F.max("last_ts").alias("cell_last_ts"),
         F.max_by("known_start", F.when(F.col("known_start").isNotNull(), F.col("bucket"))).alias("cell_known"))
     by_cell = Window.partitionBy("user_id").orderBy("coarse")
-    cells = (cells.withColumn("cell_carry_ts", F.lag("cell_last_ts").over(by_cell))
-             .withColumn("cell_starts", F.col("cell_carry_ts").isNull()
+    cells = cells.withColumn("cell_carry_ts", F.lag("cell_last_ts").over(by_cell))
+    if state is None:
+        cells = cells.withColumn("last_session", F.lit(None).cast("long"))
+    else:  # what a user's first cell carries over
+        cells = null_safe_join(cells, state, ["user_id"], "left").withColumn(
+            "cell_carry_ts", F.coalesce("cell_carry_ts", "last_ts"))
+    cells = (cells.withColumn("cell_starts", F.col("cell_carry_ts").isNull()
                          | (F.col("cell_ts") > F.col("cell_carry_ts") + gap))
              .withColumn("cell_start", F.coalesce("cell_known", F.when(F.col("cell_starts"), F.col("cell_id"))))
-             .withColumn("cell_carry_sid", F.last("cell_start", ignorenulls=True).over(
-                 by_cell.rowsBetween(Window.unboundedPreceding, -1)))
+             .withColumn("cell_carry_sid", F.coalesce(F.last("cell_start", ignorenulls=True).over(
+                 by_cell.rowsBetween(Window.unboundedPreceding, -1)), "last_session"))
              .select(*cell, "cell_carry_ts", "cell_starts", "cell_carry_sid"))
     before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
     carry = (null_safe_join(fine, cells, cell, "left")
@@ -181,6 +189,22 @@ def tag_sessions(events: DataFrame, bucket_hours: int = 1) -> DataFrame:
     )
 
 
+def user_state(tagged: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """What later events need of the tagged ones: per user the last time and the
+    session of the events then (events of one time are in one session);
+    ``before`` is the state that the tagging began with."""
+    new = tagged.select("user_id", F.col("ts").alias("last_ts"), F.col("session_id").alias("last_session"))
+    rows = new if before is None else new.unionByName(before)
+    return rows.groupBy("user_id").agg(F.max("last_ts").alias("latest"), F.max_by("last_session", "last_ts").alias("last_session")) \
+        .select("user_id", F.col("latest").alias("last_ts"), "last_session")
+
+
+def goes_on(events: DataFrame, state: DataFrame) -> bool:
+    """Whether each event is later than all its user's events before."""
+    late = null_safe_join(events.groupBy("user_id").agg(F.min("ts").alias("first_ts")), state, ["user_id"], "inner")
+    return late.where(F.col("first_ts") <= F.col("last_ts")).isEmpty()
+
+
 def web_feed(events: DataFrame, bucket_hours: int = 1) -> WebFeed:
     return web_tables_from_tagged(tag_sessions(events, bucket_hours))
 

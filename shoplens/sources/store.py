@@ -6,10 +6,11 @@ shared folder named by ``spark.checkpoint.dir`` (cutting the sessionization
 lineage, surviving executor loss), and reads it back with an explicit schema
 so every analysis gets column pruning and predicate pushdown into the scan.
 
-The written location is keyed by the path, length and modification time of
-every source file, as Hadoop's FileSystem lists them (so local and remote
-inputs alike), and by the feed code: a changed feed or input never reads
-stale tables.  A table's data go to a folder of their own; the table is
+The written location of a table is keyed by the path, length and modification
+time of every file of its sources, as Hadoop's FileSystem lists them (so local
+and remote inputs alike), and by the feed code: a changed feed or input never
+reads stale tables.  Events that are appended as further files extend the web
+tables.  A table's data go to a folder of their own; the table is
 published by one small manifest that names the folder, created last and only
 if there is none.  A reader sees no table or a whole one, and of two jobs that
 build a table at once both read the first one's folder.  Before that the
@@ -19,6 +20,7 @@ table's key is checked: a doubled id fails the build.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import os
 import threading
@@ -151,23 +153,35 @@ def source_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     return sorted(out)
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, int]]:
-    """A key of the source files and the feed code, and the bytes of each source."""
-    h, size = hashlib.sha1(), {}
-    for name in SOURCE_TABLES:
-        files = source_files(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
-        size[name] = sum(n for _, n, _ in files)
-        h.update(repr((name, files)).encode())
+def _code() -> str:
+    h = hashlib.sha1()
     for mod in (feeds, schemas, ranking):
         with open(mod.__file__, "rb") as f:
             h.update(f.read())
-    return h.hexdigest()[:16], size
+    return h.hexdigest()
 
 
-def _published(spark: SparkSession, manifest: str) -> str | None:
-    """The data folder that a manifest names, if there is one."""
+#: What each table is derived from: a changed source leaves the others' tables.
+GROUPS = {"web": ("events",), "lines": ("lineitem",), "orders": ("orders", "lineitem")}
+GROUP_OF = {"website_sessions": "web", "website_pageviews": "web", "web_orders": "web", "tagged_events": "web", "user_state": "web",
+            "order_items": "lines", "order_item_refunds": "lines", "order_lines": "lines", "orders": "orders"}
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> dict[str, list[tuple[str, int, int]]]:
+    return {name: source_files(spark, f"{sf_dir.rstrip('/')}/{name}.parquet") for name in SOURCE_TABLES}
+
+
+def folders_of(spark: SparkSession, sf_dir: str, root: str, sources=None) -> dict[str, str]:
+    """The folder of each group of tables: a key of its source files and the feed code."""
+    sources = sources or _sources(spark, sf_dir)
+    return {g: f"{root.rstrip('/')}/shoplens-store/{g}-" + hashlib.sha1(
+        repr(([(n, sources[n]) for n in names], _code())).encode()).hexdigest()[:16] for g, names in GROUPS.items()}
+
+
+def _published(spark: SparkSession, manifest: str) -> list[str] | None:
+    """The data folders that a manifest names, if there is one."""
     fs, path = _fs(spark, manifest)
-    return spark.read.text(manifest).first()[0] if fs.exists(path) else None
+    return [r[0] for r in spark.read.text(manifest).collect()] if fs.exists(path) else None
 
 
 #: File systems whose objects appear at once, whole, when they are closed; a
@@ -215,11 +229,11 @@ def _create_if_absent(spark: SparkSession, path: str, content: str) -> bool:
     return True
 
 
-def _publish(spark: SparkSession, manifest: str, folder: str) -> str:
-    """Name ``folder`` as a table's data; returns the folder that counts (that
+def _publish(spark: SparkSession, manifest: str, folders: list[str]) -> list[str]:
+    """Name ``folders`` as a table's data; returns the folders that count (those
     of another job if it published first).  Fails if neither could."""
-    if _create_if_absent(spark, manifest, folder):
-        return folder
+    if _create_if_absent(spark, manifest, "\n".join(folders)):
+        return folders
     return _published(spark, manifest)
 
 
@@ -241,9 +255,11 @@ def check_keys(table: DataFrame, name: str) -> None:
         raise DuplicateKeys(f"{key} is not a primary key of {name}: {shown}")
 
 
-def _write_once(spark: SparkSession, make, base: str, name: str, source_bytes: int, layout=None) -> str:
-    """The folder of the table's data, written (``make()``) unless published.
-    A logical table whose key is not unique is not published."""
+def _write_once(spark: SparkSession, make, base: str, name: str, source_bytes: int, layout=None,
+                before: list[str] | None = None) -> list[str]:
+    """The folders of the table's data, written (``make()``) unless published;
+    ``before`` are folders whose rows it has, too.  A logical table whose key
+    is not unique is not published."""
     manifest = f"{base}/{name}.manifest"
     done = _published(spark, manifest)
     if done:
@@ -255,32 +271,96 @@ def _write_once(spark: SparkSession, make, base: str, name: str, source_bytes: i
     df.write.mode("error").option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
     if name in PRIMARY_KEY and spark.conf.get(CHECK_KEYS_CONF, "true") != "false":
         check_keys(spark.read.parquet(folder), name)
-    return _publish(spark, manifest, folder)
+        if before:
+            check_keys_beside(spark.read.parquet(*before), spark.read.parquet(folder), name)
+    return _publish(spark, manifest, [*(before or []), folder])
+
+
+def check_keys_beside(old: DataFrame, new: DataFrame, name: str) -> None:
+    """Fails if new rows have a key of old ones (each side's own are checked).
+    Ids that go on above the old ones, as the file statistics tell, need no join."""
+    key = PRIMARY_KEY[name]
+    first = new.agg(F.min(key)).first()[0]
+    if first is not None:
+        again = old.where(F.col(key) >= first).select(key).join(new.select(key), key, "left_semi").take(3)
+        if again:
+            raise DuplicateKeys(f"{key} is not a primary key of {name}: {', '.join(str(r[key]) for r in again)} came again")
 
 
 class _Builder:
     """Makes the tables of one state of the sources, each with what it needs:
     the sessionized events for the web tables, the numbered lines for items
     and refunds, both for none.  The intermediates are tables in the same
-    folder, so a lost executor costs a re-read, and a failed build resumes
-    after the last published table."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str, base: str, size: dict[str, int]):
-        self.spark, self.sf_dir, self.base, self.size = spark, sf_dir, base, size
-
-    def _work(self, name: str, source: str, derive_from):
-        path = _write_once(self.spark, lambda: derive_from(read_source(self.spark, self.sf_dir, source)),
-                           self.base, name, self.size[source])
-        return self.spark.read.parquet(path)
+    folders, so a lost executor costs a re-read, and a failed build resumes
+    after the last published table.
+
+    The web tables grow with their source: if all files of an earlier build
+    are still there, only the further files are read.  Their events go on from
+    the state that build left for each user, and their rows are further folders
+    of its tables.  Events that are not later than their user's, and changed or
+    missing files, make it a new build."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str):
+        self.spark, self.sf_dir, self.root = spark, sf_dir.rstrip("/"), root
+        self.sources = _sources(spark, sf_dir)
+        self.base = folders_of(spark, sf_dir, root, self.sources)
+        self.size = {name: sum(n for _, n, _ in files) for name, files in self.sources.items()}
+        self.earlier: _Earlier | None | bool = False  # not looked for yet
+
+    def _event_files(self) -> list[str]:
+        return [json.dumps(f) for f in self.sources["events"]]
+
+    def _extends(self) -> "_Earlier | None":
+        """The largest earlier build that this one can go on from."""
+        if self.earlier is False:
+            record = f"{self.base['web']}/build.manifest"
+            known = _published(self.spark, record)
+            if known is None:
+                known = _publish(self.spark, record, [self._find_earlier(), _code(), *self._event_files()])
+            self.earlier = _Earlier(self, known[0]) if known[0] != "new" else None
+        return self.earlier
+
+    def _find_earlier(self) -> str:
+        fs, top = _fs(self.spark, f"{self.root.rstrip('/')}/shoplens-store")
+        mine, best = set(self._event_files()), ("new", 0)
+        for st in fs.listStatus(top) if fs.exists(top) else []:
+            folder = f"{self.root.rstrip('/')}/shoplens-store/{st.getPath().getName()}"
+            record = _published(self.spark, f"{folder}/build.manifest") if "/web-" in folder else None
+            if (record and record[1] == _code() and set(record[2:]) < mine and len(record) > best[1]
+                    and _published(self.spark, f"{folder}/user_state.manifest")):
+                best = (folder, len(record))
+        if best[0] == "new" or not feeds.goes_on(_Earlier(self, best[0]).new_events(), _Earlier(self, best[0]).table("user_state")):
+            return "new"
+        return best[0]
+
+    def _table(self, name: str, source: str, make, layout=None) -> DataFrame:
+        before = None
+        if GROUP_OF[name] == "web" and name != "user_state" and self._extends():
+            before = self._extends().folders(name)
+        paths = _write_once(self.spark, make, self.base[GROUP_OF[name]], name, self.size[source], layout, before)
+        own = paths[len(before):] if before and not layout else paths  # an intermediate: only the new rows
+        return self.spark.read.parquet(*own)
+
+    def _events(self) -> DataFrame:
+        return self._extends().new_events() if self._extends() else read_source(self.spark, self.sf_dir, "events")
+
+    def _state(self) -> DataFrame | None:
+        return self._extends().table("user_state") if self._extends() else None
+
+    def _tagged(self) -> DataFrame:
+        tagged = self._table("tagged_events", "events", lambda: feeds.tag_sessions(self._events(), state=self._state()))
+        self._table("user_state", "events", lambda: feeds.user_state(tagged, self._state()))
+        return tagged
 
     def _web(self):
-        return feeds.web_tables_from_tagged(self._work("tagged_events", "events", feeds.tag_sessions))
+        return feeds.web_tables_from_tagged(self._tagged())
 
     def _shop(self):
-        return feeds.commerce_tables(read_source(self.spark, self.sf_dir, "orders"),
-                                     self._work("order_lines", "lineitem", feeds.number_lines))
+        lines = self._table("order_lines", "lineitem",
+                            lambda: feeds.number_lines(read_source(self.spark, self.sf_dir, "lineitem")))
+        return feeds.commerce_tables(read_source(self.spark, self.sf_dir, "orders"), lines)
 
-    def __call__(self, name: str) -> DataFrame:
+    def paths(self, name: str) -> list[str]:
         make, source = {
             "website_sessions": (lambda: self._web().sessions, "events"),
             "website_pageviews": (lambda: self._web().pageviews, "events"),
@@ -290,8 +370,38 @@ class _Builder:
             "order_item_refunds": (lambda: self._shop().refunds, "lineitem"),
         }[name]
         with _lock:
-            path = _write_once(self.spark, make, self.base, name, self.size[source], LAYOUT[name])
-        return self.spark.read.schema(schemas.TABLES[name]).parquet(path)
+            self._table(name, source, make, LAYOUT[name])
+        return _published(self.spark, f"{self.base[GROUP_OF[name]]}/{name}.manifest")
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.schema(schemas.TABLES[name]).parquet(*self.paths(name))
+
+
+class _Earlier:
+    """An earlier build of the web tables, whose source files are all there."""
+
+    def __init__(self, later: _Builder, folder: str):
+        self.later, self.folder = later, folder
+        self.files = _published(later.spark, f"{folder}/build.manifest")[2:]
+
+    def new_events(self) -> DataFrame:
+        known = set(self.files)
+        new = [f[0] for f, text in zip(self.later.sources["events"], self.later._event_files()) if text not in known]
+        return self.later.spark.read.parquet(*new)
+
+    def table(self, name: str) -> DataFrame:
+        return self.later.spark.read.parquet(*_published(self.later.spark, f"{self.folder}/{name}.manifest"))
+
+    def folders(self, name: str) -> list[str]:
+        """The table's folders, made now from its tagged events if nobody asked for it."""
+        manifest = f"{self.folder}/{name}.manifest"
+        done = _published(self.later.spark, manifest)
+        if done:
+            return done
+        tagged = self.table("tagged_events")
+        made = feeds.web_tables_from_tagged(tagged)
+        df = {"website_sessions": made.sessions, "website_pageviews": made.pageviews, "web_orders": made.orders}[name]
+        return _write_once(self.later.spark, lambda: df, self.folder, name, self.later.size["events"], LAYOUT[name])
 
 
 def load_store(spark: SparkSession, sf_dir: str, materialized: bool = True,
@@ -301,12 +411,12 @@ def load_store(spark: SparkSession, sf_dir: str, materialized: bool = True,
     if not materialized:
         tables, _ = derive(spark, sf_dir)
         return Store(**tables)
-    print_of, size = _fingerprint(spark, sf_dir)
-    base = f"{(root or checkpoint_root(spark)).rstrip('/')}/shoplens-store/{print_of}"
-    key = (spark.sparkContext.applicationId, base)
+    root = root or checkpoint_root(spark)
+    made = _Builder(spark, sf_dir, root)
+    key = (spark.sparkContext.applicationId, *made.base.values())
     with _lock:
         if key not in _memo:
-            _memo[key] = Store(make=_Builder(spark, sf_dir, base, size))
+            _memo[key] = Store(make=made)
         return _memo[key]
 
 

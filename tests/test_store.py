@@ -1,17 +1,20 @@
 """Store build: tables on demand, resume after a partial build, publish by
 manifest, and new rows when an input is replaced."""
 
+import datetime as dt
 import os
 import shutil
 import tempfile
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 
 from samples import SF_SMALL
 from shoplens.plans import REGISTRY
+from shoplens.sources import feeds
 from shoplens.sources import store as S
 
 
@@ -19,29 +22,117 @@ def manifests(base):
     return sorted(f.removesuffix(".manifest") for f in os.listdir(base) if f.endswith(".manifest"))
 
 
+def everything(root):
+    return sorted(os.path.join(d, f) for d, _, files in os.walk(root) for f in files)
+
+
 def test_only_needed_tables_are_built_and_the_build_resumes(spark):
     root = tempfile.mkdtemp(prefix="shoplens-store-")
-    base = f"{root}/shoplens-store/{S._fingerprint(spark, SF_SMALL)[0]}"
+    base = S.folders_of(spark, SF_SMALL, root)
     REGISTRY["top_pages"](S.load_store(spark, SF_SMALL, root=root)).collect()
-    assert manifests(base) == ["tagged_events", "website_pageviews"]
+    assert manifests(base["web"]) == ["build", "tagged_events", "user_state", "website_pageviews"]
+    assert not os.path.exists(base["lines"]) and not os.path.exists(base["orders"])
     S.materialize(spark, SF_SMALL, root)
-    assert set(manifests(base)) == {*S.STORE_TABLES, "tagged_events", "order_lines"}
-    folders = sorted(os.listdir(base))
+    assert {t for b in base.values() for t in manifests(b)} == {*S.STORE_TABLES, "tagged_events", "order_lines", "user_state", "build"}
+    files = everything(root)
     S._memo.clear()
     S.materialize(spark, SF_SMALL, root)  # all are there: nothing is written
-    assert sorted(os.listdir(base)) == folders
+    assert everything(root) == files
+
+
+def event_files(folder):
+    """events.parquet as a folder, with the events up to the first days of the table."""
+    for t in ("orders", "lineitem"):
+        shutil.copyfile(f"{SF_SMALL}/{t}.parquet", f"{folder}/{t}.parquet")
+    os.mkdir(f"{folder}/events.parquet")
+    rows = pq.read_table(f"{SF_SMALL}/events.parquet")
+    return rows, sorted(rows.column("ts").to_pylist())
+
+
+def add(folder, rows, name, after, upto):
+    ts = rows.column("ts")
+    which = pc.and_(pc.greater(ts, pa.scalar(after, ts.type)), pc.less_equal(ts, pa.scalar(upto, ts.type)))
+    pq.write_table(rows.filter(which), f"{folder}/events.parquet/{name}.parquet")
+    return pc.sum(which).as_py()
+
+
+def same(spark, store, folder):
+    S._memo.clear()
+    whole = S.load_store(spark, folder, root=tempfile.mkdtemp(prefix="shoplens-whole-"))
+    for t in ("website_sessions", "website_pageviews", "web_orders"):
+        a, b = getattr(store, t), getattr(whole, t)
+        assert a.count() == b.count() and a.exceptAll(b).isEmpty(), t
+
+
+def test_appended_events_extend_the_tables(spark):
+    """Day after day equals a rebuild; each build reads its own day alone."""
+    folder, root = tempfile.mkdtemp(prefix="shoplens-days-"), tempfile.mkdtemp(prefix="shoplens-store-")
+    rows, ts = event_files(folder)
+    cuts = [ts[0] - dt.timedelta(days=1), ts[400], ts[650], ts[655], ts[-1]]
+    for n, (after, upto) in enumerate(zip(cuts, cuts[1:])):
+        new = add(folder, rows, f"day-{n}", after, upto)
+        store = S.load_store(spark, folder, root=root)
+        if n != 1:  # a build of which a table is never asked for is gone on from all the same
+            same(spark, store, folder)
+        else:
+            store.web_orders.count()
+        base = S.folders_of(spark, folder, root)["web"]
+        tagged = S._published(spark, f"{base}/tagged_events.manifest")
+        assert len(tagged) == n + 1 and spark.read.parquet(tagged[-1]).count() == new
+        assert store.pageviews.count() == sum(x <= upto for x in ts)
+
+
+def test_late_events_and_changed_files_make_a_new_build(spark):
+    folder, root = tempfile.mkdtemp(prefix="shoplens-late-"), tempfile.mkdtemp(prefix="shoplens-store-")
+    rows, ts = event_files(folder)
+    before = ts[0] - dt.timedelta(days=1)
+
+    def generations():
+        store = S.load_store(spark, folder, root=root)
+        same(spark, store, folder)
+        base = S.folders_of(spark, folder, root)["web"]
+        return len(S._published(spark, f"{base}/website_sessions.manifest"))
+    add(folder, rows, "b", ts[300], ts[600])
+    assert generations() == 1
+    add(folder, rows, "a", before, ts[300])  # earlier than what is there
+    assert generations() == 1
+    add(folder, rows, "c", ts[600], ts[800])
+    assert generations() == 2
+    add(folder, rows, "c", ts[600], ts[900])  # changed: goes on from a and b
+    assert generations() == 2
+
+
+def test_a_changed_source_leaves_the_other_tables(spark):
+    folder, root = tempfile.mkdtemp(prefix="shoplens-part-"), tempfile.mkdtemp(prefix="shoplens-store-")
+    for t in S.SOURCE_TABLES:
+        shutil.copyfile(f"{SF_SMALL}/{t}.parquet", f"{folder}/{t}.parquet")
+    old = S.folders_of(spark, folder, root)
+    shutil.copyfile("/root/testdata/sf0.01/lineitem.parquet", f"{folder}/lineitem.parquet")
+    new = S.folders_of(spark, folder, root)
+    assert old["web"] == new["web"] and old["lines"] != new["lines"] and old["orders"] != new["orders"]
+
+
+def test_a_key_that_comes_again_in_appended_events_is_reported(spark):
+    folder, root = tempfile.mkdtemp(prefix="shoplens-again-"), tempfile.mkdtemp(prefix="shoplens-store-")
+    rows, ts = event_files(folder)
+    add(folder, rows, "a", ts[0] - dt.timedelta(days=1), ts[500])
+    S.load_store(spark, folder, root=root).pageviews.count()
+    again = rows.slice(3, 1).set_column(rows.column_names.index("ts"), "ts", pa.array([ts[-1]], rows.schema.field("ts").type))
+    pq.write_table(again, f"{folder}/events.parquet/b.parquet")
+    with pytest.raises(S.DuplicateKeys, match="came again"):
+        S.load_store(spark, folder, root=root).pageviews.count()
 
 
 def test_publish_keeps_the_first_copy_and_reports_failure(spark, monkeypatch):
     root = tempfile.mkdtemp(prefix="shoplens-publish-")
-    assert S._publish(spark, f"{root}/t.manifest", f"{root}/first") == f"{root}/first"
-    assert S._publish(spark, f"{root}/t.manifest", f"{root}/second") == f"{root}/first"
+    assert S._publish(spark, f"{root}/t.manifest", [f"{root}/first"]) == [f"{root}/first"]
+    assert S._publish(spark, f"{root}/t.manifest", [f"{root}/second"]) == [f"{root}/first"]
     assert os.listdir(root).count("t.manifest") == 1
     def refused(*_):
         raise PermissionError("no")
     monkeypatch.setattr(S.os, "link", refused)
     with pytest.raises(OSError):
-        S._publish(spark, f"{root}/u.manifest", f"{root}/third")
+        S._publish(spark, f"{root}/u.manifest", [f"{root}/third"])
     assert os.listdir(root) == ["t.manifest"]
 
 
@@ -49,23 +140,18 @@ def test_of_many_writers_at_once_one_publishes(spark):
     root = tempfile.mkdtemp(prefix="shoplens-race-")
     for n in range(10):
         with ThreadPoolExecutor(8) as pool:
-            got = list(pool.map(lambda i: S._publish(spark, f"{root}/{n}.manifest", f"{root}/folder-{i}"), range(8)))
-        assert len(set(got)) == 1 and S._published(spark, f"{root}/{n}.manifest") == got[0]
+            got = list(pool.map(lambda i: S._publish(spark, f"{root}/{n}.manifest", [f"{root}/folder-{i}"])[0], range(8)))
+        assert len(set(got)) == 1 and S._published(spark, f"{root}/{n}.manifest") == [got[0]]
     assert sorted(f for f in os.listdir(root) if not f.startswith(".")) == sorted(f"{n}.manifest" for n in range(10))
 
 
 def test_two_builds_at_once_read_the_same_folder(spark):
     root = tempfile.mkdtemp(prefix="shoplens-builds-")
-    base = f"{root}/shoplens-store/{S._fingerprint(spark, SF_SMALL)[0]}"
-    size = S._fingerprint(spark, SF_SMALL)[1]
-
-    def build(_):
-        made = S._Builder(spark, SF_SMALL, base, size)
-        return S._write_once(spark, lambda: made._web().sessions, base, "website_sessions", size["events"],
-                             S.LAYOUT["website_sessions"])
+    base = S.folders_of(spark, SF_SMALL, root)["web"]
     with ThreadPoolExecutor(2) as pool:
-        first, second = pool.map(build, range(2))
-    assert first == second and manifests(base) == ["tagged_events", "website_sessions"]
+        first, second = pool.map(lambda _: S._Builder(spark, SF_SMALL, root)._table(
+            "tagged_events", "events", lambda: feeds.tag_sessions(S.read_source(spark, SF_SMALL, "events"))).inputFiles(), range(2))
+    assert first == second and manifests(base) == ["build", "tagged_events"]
 
 
 def test_renaming_file_systems_replace_nothing(spark):
