@@ -3,19 +3,27 @@
 The text view sees only the text's shape (character classes, repetition, line
 and word statistics); the metadata view only source, language and declared
 length.  Both are logistic models, fitted on labelled rows.  In each round
-either view labels the rows of an unlabelled pool of which it is surest, for
-the other to learn from.  Then each view is calibrated on labelled rows held
-back from it, the calibrated log odds are combined by a third logistic model
-on the same rows, and all documents are scored.
-
-At most `max_labelled` labelled and `max_pool` unlabelled documents are learned
-from, those with the smallest hash of their id; every document is scored, over
-its whole text.
-
-Defined results: a null text has the features of an empty one, null metadata
-is a value of its own; without labels of both kinds every document has the
-score 1.0 or, if all labels are 0, 0.0; repeated rows and null ids keep their
-rows; an empty table gives an empty result.
+either view labels those of all unlabelled rows of which it is surest, for the
+other to learn from.  Then each view is calibrated on labelled rows held back
+from it, the calibrated log odds are combined by a third logistic model on the
+same rows, and all documents are scored.
+
+At most `max_labelled` labelled documents are learned from, those with the
+smallest hash of their id.  Every unlabelled row is a candidate in every round:
+how sure a view must be follows from counts of its log odds over all of them,
+and the views are fitted again by Newton steps whose gradients and curvatures
+are summed in Spark.  The features are computed once and written; which rows
+have been labelled follows from the models and bounds of the rounds before, so
+no table of states is kept.  Every document is scored, over its whole text.
+
+Defined results: a null text has the features of an empty one, of any length
+all of it is read; null metadata is a value of its own; a document without an
+id is unlabelled; of rows with one labelled id the one with the largest
+features is learned from; unlabelled rows that repeat count as often; rows that
+are equally sure are taken together; without labels of both kinds every
+document has the score 1.0 or, if all labels are 0, 0.0; repeated rows and null
+ids keep their rows; an empty table gives an empty result; other columns,
+whatever their names, are ignored by `score` and kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -28,13 +36,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_bytes
+from .common import text_bytes, written
 
 MAX_LABELLED = 20_000
-MAX_POOL = 20_000
 ROUNDS = 3
-#: Share of the pool that a view labels in a round, and how sure it must be.
-SHARE, SURE = 0.1, 0.95
+#: Newton steps over all rows in a round, from the round before.
+STEPS = 3
+#: Share of the unlabelled rows that a view labels in a round, how sure it must be, and what such a label weighs.
+SHARE, SURE, WEIGHT = 0.1, 0.95, 0.5
+#: Log odds are counted in steps of a hundredth; sums are kept as multiples of 2^-16, so their order has no effect.
+_STEP, _UNIT = 100, 65536.0
+_WIDTHS = (16, 64)  # features of a view
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _LETTER = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -76,24 +88,76 @@ class Logistic:
         z = np.clip((x - self.mean) / self.std, -6, 6)
         return np.c_[np.ones(len(z)), z, z * z] if self.squares else np.c_[np.ones(len(z)), z]
 
-    def fit(self, x, y, weight=None):
+    def sums(self, x, y) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the log likelihood of rows; both add up over rows."""
+        m = self._design(np.asarray(x, float))
+        p = 1 / (1 + np.exp(-np.clip(m @ self.w, -30, 30)))
+        return m.T @ (y - p), (m * (p * (1 - p) + 1e-9)[:, None]).T @ m
+
+    def step(self, gradient, curvature) -> float:
+        """One Newton step; its largest part."""
+        d = np.linalg.solve(curvature + self.ridge * np.eye(len(self.w)), gradient - self.ridge * self.w)
+        self.w = self.w + np.clip(d, -3, 3)
+        return float(np.abs(d).max())
+
+    def fit(self, x, y):
         x, y = np.asarray(x, float), np.asarray(y, float)
         self.mean, self.std = x.mean(0), x.std(0) + 1e-6
-        m, w = self._design(x), np.ones(len(x)) if weight is None else weight
-        t = np.zeros(m.shape[1])
+        self.w = np.zeros(1 + x.shape[1] * (2 if self.squares else 1))
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(m @ t, -30, 30)))
-            h = (m * (w * p * (1 - p) + 1e-9)[:, None]).T @ m + self.ridge * np.eye(len(t))
-            step = np.linalg.solve(h, m.T @ (w * (y - p)) - self.ridge * t)
-            t = t + np.clip(step, -3, 3)
-            if np.abs(step).max() < 1e-6:
+            if self.step(*self.sums(x, y)) < 1e-6:
                 break
-        self.w = t
         return self
 
     def odds(self, x) -> np.ndarray:
         return np.clip(self._design(np.asarray(x, float)) @ self.w, -30, 30)
 
+    def copy(self) -> "Logistic":
+        out = Logistic(self.squares, self.ridge)
+        out.mean, out.std, out.w = self.mean, self.std, self.w
+        return out
+
+
+def _bins(model: Logistic, x) -> np.ndarray:
+    return np.rint(model.odds(x) * _STEP).astype(np.int64)
+
+
+class Round:
+    """What the views were in a round, and per view the bins up to which it says 0 and from which it says 1."""
+
+    def __init__(self, models: list[Logistic], bounds: list[tuple[int, int]]):
+        self.models, self.bounds = models, bounds
+
+
+def given(rounds: list[Round], views: list[np.ndarray]) -> list[np.ndarray]:
+    """For each view the label that the other has given to a row, -1 if none.  A label stays as first given."""
+    out = [np.full(len(views[0]), -1, np.int8) for _ in views]
+    for r in rounds:
+        for v, x in enumerate(views):
+            b, (low, high), mine = _bins(r.models[v], x), r.bounds[v], out[1 - v]
+            free = mine < 0
+            mine[free & (b >= high)] = 1
+            mine[free & (b <= low)] = 0
+    return out
+
+
+def bounds(counts: dict[int, int], total: int, prior: float) -> tuple[int, int]:
+    """The bins up to which and from which a view labels, given its free rows per bin:
+    the surest bins that hold the share of each kind, none less sure than SURE."""
+    least = math.ceil(math.log(SURE / (1 - SURE)) * _STEP)
+
+    def last(ordered, share):
+        want, have, at = SHARE * total * share, 0, None
+        for b in ordered:
+            if have >= want:
+                break
+            have, at = have + counts[b], b
+        return at
+    high = last(sorted((b for b in counts if b >= least), reverse=True), prior)
+    low = last(sorted(b for b in counts if b <= -least), 1 - prior)
+    never = 100 * _STEP
+    return -never if low is None else low, never if high is None else high
+
 
 class CoTrained:
     """The two views, their calibrations and how they combine."""
@@ -101,27 +165,27 @@ class CoTrained:
     def __init__(self, fixed: float | None = None):
         self.fixed = fixed
 
-    def fit(self, text, meta, y, pool_text, pool_meta, held):
-        """held: labelled rows kept for calibration."""
-        views = [(text[~held], pool_text), (meta[~held], pool_meta)]
-        y0, free = y[~held], np.ones(len(pool_text), bool)
-        given: list[list] = [[], []]  # (pool row, label) that each view has been given
-        self.models = [Logistic(True), Logistic(False)]
-        for r in range(ROUNDS + 1):
-            for v, (x, pool) in enumerate(views):
-                rows = [i for i, _ in given[v]]
-                xs = np.r_[x, pool[rows]] if rows else x
-                ys = np.r_[y0, [l for _, l in given[v]]]
-                self.models[v].fit(xs, ys, np.r_[np.ones(len(x)), np.full(len(rows), 0.5)])
-            if r == ROUNDS:
+    def fit(self, text, meta, y, held, pool: DataFrame):
+        """held: labelled rows kept for calibration; pool: the unlabelled rows' features t and m."""
+        views, y0 = [text[~held], meta[~held]], y[~held]
+        self.models = [Logistic(True).fit(views[0], y0), Logistic(False).fit(views[1], y0)]
+        rounds: list[Round] = []
+        total = None
+        for _ in range(ROUNDS):
+            counts = _odds_counts(pool, rounds, self.models)
+            if total is None:
+                total = sum(counts[0].values())
+            if not total:
                 break
-            for v, (_, pool) in enumerate(views):
-                p = 1 / (1 + np.exp(-self.models[v].odds(pool))) if len(pool) else np.zeros(0)
-                for label, sure in ((1, p), (0, 1 - p)):
-                    n = int(SHARE * len(pool) * (y0.mean() if label else 1 - y0.mean())) + 1
-                    best = [i for i in np.argsort(-sure, kind="stable") if free[i] and sure[i] >= SURE][:n]
-                    free[best] = False
-                    given[1 - v] += [(i, label) for i in best]
+            rounds.append(Round([m.copy() for m in self.models], [bounds(c, total, y0.mean()) for c in counts]))
+            for _ in range(STEPS):
+                more = _given_sums(pool, rounds, self.models)
+                moved = []
+                for m, x, (g, h) in zip(self.models, views, more):
+                    g0, h0 = m.sums(x, y0)
+                    moved.append(m.step(g0 + WEIGHT * g, h0 + WEIGHT * h))
+                if max(moved) < 1e-4:
+                    break
         # Platt scaling per view, then one model over both calibrated log odds
         rows = held if held.any() and 0 < y[held].mean() < 1 else np.ones(len(y), bool)
         raw = [self.models[0].odds(text[rows]), self.models[1].odds(meta[rows])]
@@ -138,6 +202,53 @@ class CoTrained:
         return 1 / (1 + np.exp(-self.top.odds(both)))
 
 
+def _matrices(b) -> list[np.ndarray]:
+    return [np.asarray(b.column(c).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, w)
+            for c, w in zip("tm", _WIDTHS)]
+
+
+def _odds_counts(pool: DataFrame, rounds: list[Round], models: list[Logistic]) -> list[dict[int, int]]:
+    """Per view, its rows not yet labelled by it, per bin of log odds (6,001 at most)."""
+    def run(batches):
+        have: list[Counter] = [Counter(), Counter()]
+        for b in batches:
+            x = _matrices(b)
+            done = given(rounds, x)
+            for v in (0, 1):
+                have[v].update(_bins(models[v], x[v][done[1 - v] < 0]).tolist())
+        rows = [(v, k, n) for v in (0, 1) for k, n in have[v].items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (
+            pa.int32(), pa.int64(), pa.int64()))], ["v", "bin", "n"])
+    out: list[dict[int, int]] = [{}, {}]
+    for r in pool.select("t", "m").mapInArrow(run, "v int, bin long, n long").groupBy("v", "bin").agg(
+            F.sum("n").alias("n")).collect():
+        out[r.v][r.bin] = r.n
+    return out
+
+
+def _given_sums(pool: DataFrame, rounds: list[Round], models: list[Logistic]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per view, gradient and curvature over all rows that the other has labelled for it."""
+    size = [len(m.w) for m in models]
+
+    def run(batches):
+        total = [np.zeros(k + k * k) for k in size]
+        for b in batches:
+            x = _matrices(b)
+            for v, y in enumerate(given(rounds, x)):
+                some = y >= 0
+                if some.any():
+                    g, h = models[v].sums(x[v][some], y[some])
+                    total[v] += np.concatenate([g, h.ravel()])
+        flat = np.rint(np.concatenate(total) * _UNIT).astype(np.int64)
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], ["at", "n"])
+    flat = np.zeros(sum(k + k * k for k in size))
+    for r in pool.select("t", "m").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        flat[r.at] = r.n / _UNIT
+    cut = size[0] + size[0] ** 2
+    return [(f[:k], f[k:].reshape(k, k)) for f, k in zip((flat[:cut], flat[cut:]), size)]
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
@@ -150,55 +261,51 @@ def _views(b):
     return text, meta
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained:
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    mine = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    pool = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(
-        known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool)
-    # at most max_labelled + max_pool ids, so they may be broadcast
-    wanted = F.broadcast(mine.unionByName(pool.withColumn("label", F.lit(None).cast("int"))))
-
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id and both views (t, m) of each row, written."""
     def run(batches):
         for b in batches:
             text, meta = _views(b)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("label"), pa.array(text, pa.list_(pa.float64())),
-                 pa.array(meta, pa.list_(pa.float64()))], ["doc_id", "label", "t", "m"])
-    got = _rows(docs).join(wanted, "doc_id").mapInArrow(
-        run, "doc_id long, label int, t array<double>, m array<double>").toPandas().sort_values("doc_id", kind="stable")
-    y = got["label"].to_numpy(float)
-    seen = got[~np.isnan(y)]
-    if not seen["label"].nunique() == 2:
-        return CoTrained(fixed=0.0 if len(seen) and not seen["label"].any() else 1.0)
-    rest = got[np.isnan(y)]
-
-    def matrix(part, c, width):
-        return np.array(part[c].tolist(), float).reshape(len(part), width)
-    held = np.array([zlib.crc32(b"held:%d" % i) % 4 == 0 for i in seen["doc_id"]])
-    label = (seen["label"].to_numpy(float) > 0).astype(float)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.list_(pa.float64())),
+                                              pa.array(meta, pa.list_(pa.float64()))], ["doc_id", "t", "m"])
+    return written(_rows(docs).mapInArrow(run, "doc_id long, t array<double>, m array<double>"), "views")
+
+
+def fit(views: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained:
+    """The model of the documents whose `features` are given."""
+    known = labels.where("quality is not null and doc_id is not null").groupBy(
+        F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("label"))
+    mine = known.join(views.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(
+        F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    # at most max_labelled ids, so they may be broadcast; a row for each
+    got = views.join(F.broadcast(mine), "doc_id").groupBy("doc_id", "label").agg(
+        F.max(F.struct("t", "m")).alias("x")).select("doc_id", "label", "x.t", "x.m").toPandas().sort_values("doc_id")
+    if not (got["label"] > 0).nunique() == 2:
+        return CoTrained(fixed=0.0 if len(got) and not (got["label"] > 0).any() else 1.0)
+    held = np.array([zlib.crc32(b"held:%d" % i) % 4 == 0 for i in got["doc_id"]])
+    label = (got["label"].to_numpy(float) > 0).astype(float)
     if not 0 < label[~held].mean() < 1:
         held[:] = False
-    return CoTrained().fit(matrix(seen, "t", 16), matrix(seen, "m", 64), label,
-                           matrix(rest, "t", 16), matrix(rest, "m", 64), held)
+    pool = written(views.join(known, "doc_id", "left_anti").select("t", "m"), "pool")
+    text, meta = (np.array(got[c].tolist(), float).reshape(len(got), w) for c, w in zip("tm", _WIDTHS))
+    return CoTrained().fit(text, meta, label, held, pool)
 
 
-def score(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_labelled: int = MAX_LABELLED,
-          max_pool: int = MAX_POOL) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, score (0 to 1, higher: better) and kept (from the least score on)."""
-    model = fit(docs, labels, max_labelled, max_pool)
+    views = features(docs)
+    model = fit(views, labels, max_labelled)
 
     def run(batches):
         for b in batches:
-            text, meta = _views(b)
-            s = model.score(np.array(text, float).reshape(-1, 16), np.array(meta, float).reshape(-1, 64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
-    return _rows(docs).mapInArrow(run, "doc_id long, score double").withColumn("kept", F.col("score") >= least)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(*_matrices(b)), pa.float64())],
+                                             ["doc_id", "score"])
+    return views.mapInArrow(run, "doc_id long, score double").withColumn("kept", F.col("score") >= least)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_labelled: int = MAX_LABELLED,
-              max_pool: int = MAX_POOL) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier keeps."""
-    model = fit(docs, labels, max_labelled, max_pool)
+    model = fit(features(docs), labels, max_labelled)
     columns = docs.columns
 
     def run(batches):
