@@ -158,7 +158,7 @@ def _blocks(batches):
     (stretch, low, high, [(row, its places), ...]), equal stretches collapsed."""
     block, gram, last = [], None, None
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("gram", "stretch", "low", "high", "id", "crc", "places")]
+        cols = [b.column(c).to_pylist() for c in ("gram", "stretch", "low", "high", "high64", "low64", "places")]
         for g, s, lo, hi, i, c, p in zip(*cols):
             if g != gram and len(block) >= BLOCK:
                 yield block
@@ -181,19 +181,22 @@ def _table(rows, names, types):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
 
 
-_KEY = ["id", "crc"]
+_KEY = ["high64", "low64"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and id and crc, which equal rows share and others don't."""
+    """doc_id, text, and a key of 128 bits of the SHA-256 of both, null apart
+    from any id: equal rows share it and others don't."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("id", F.coalesce("doc_id", F.lit(-1).cast("long"))).withColumn(
-        "crc", F.crc32(F.concat(F.when(F.col("doc_id").isNull(), F.lit("null")).otherwise(F.lit("id")), F.col("text")).cast("binary")))
+    digest = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), "text").cast("binary"), 256)
+    half = [F.conv(F.substring(digest, at, 16), 16, -10).cast("long") for at in (1, 17)]
+    # never null, which the joins on it need not look for
+    return rows.select("doc_id", "text", *[F.coalesce(h, F.lit(0).cast("long")).alias(k) for h, k in zip(half, _KEY)])
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """id, crc (see keyed), first and stop of runs of bytes in strings of `length`
+    """The key (see keyed), first and stop of runs of bytes in strings of `length`
     bytes that also start elsewhere."""
     if length < GRAM + 8 or length % 8:
         raise ValueError(f"length must be a multiple of 8 from {GRAM + 8} on")
@@ -202,15 +205,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 
     def grams(batches):
         for b in batches:
-            for i, c, t in zip(b.column("id").to_pylist(), b.column("crc").to_pylist(), text_bytes(b, "text")):
+            for i, c, t in zip(b.column("high64").to_pylist(), b.column("low64").to_pylist(), text_bytes(b, "text")):
                 at, h = _doc_anchors(t, length)
                 if len(at):  # a gram once per document, with its first place
                     gram, first, times = np.unique(h, return_index=True, return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(gram.view(np.int64)), pa.array(np.full(len(gram), i)), pa.array(np.full(len(gram), c)),
                          pa.array(at[first].astype(np.int64)), pa.array(times.astype(np.int64))],
-                        ["gram", "id", "crc", "place", "times"])
-    found = rows.mapInArrow(_joined(grams), "gram long, id long, crc long, place long, times long")
+                        ["gram", *_KEY, "place", "times"])
+    found = rows.mapInArrow(_joined(grams), "gram long, high64 long, low64 long, place long, times long")
     # written, so that the join below may split a hot gram's rows
     often = written(found.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1"), "often")
     # the repeated grams, together for each document
@@ -223,7 +226,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
         def run(batches):
             for b in batches:
                 out = []
-                for i, c, t, p in zip(*(b.column(k).to_pylist() for k in ("id", "crc", "text", "places"))):
+                for i, c, t, p in zip(*(b.column(k).to_pylist() for k in (*_KEY, "text", "places"))):
                     t = t.encode()
                     size, edge, again = len(t), b"\x00" * side, None
                     wide = edge + t + edge
@@ -250,10 +253,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
                             out = []
                 if out:
                     yield _table(out, names, types)
-        names = ["gram", "id", "crc", "places", "stretch", "low", "high"]
+        names = ["gram", *_KEY, "places", "stretch", "low", "high"]
         types = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int32()] * 2
-        return rows.join(some, _KEY).select(*_KEY, "text", "places").mapInArrow(
-            run, "gram long, id long, crc long, places binary, stretch binary, low int, high int")
+        # doc_id goes along, so that this shuffle of the texts also serves the last join
+        return rows.join(some, _KEY).select("doc_id", "text", *_KEY, "places").mapInArrow(
+            run, "gram long, high64 long, low64 long, places binary, stretch binary, low int, high int")
 
     def ranked(batches):
         for block in _blocks(batches):
@@ -283,11 +287,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 
     cold = places.select(*_KEY, F.filter("places", lambda x: x["n"] <= hot).alias("places")).where(F.size("places") > 0)
     runs = stretches(cold).repartition("gram").sortWithinPartitions("gram", "stretch", "low", "high").mapInArrow(
-        ranked, "id long, crc long, first long, stop long")
+        ranked, "high64 long, low64 long, first long, stop long")
     warm = places.select(*_KEY, F.filter("places", lambda x: x["n"] > hot).alias("places")).where(F.size("places") > 0)
     if warm.isEmpty():
         return runs
-    each = stretches(warm).mapInArrow(_joined(named), "name binary, id long, crc long, first long")
+    each = stretches(warm).mapInArrow(_joined(named), "name binary, high64 long, low64 long, first long")
     twice = each.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
     return runs.unionByName(each.join(twice, "name").select(*_KEY, "first", (F.col("first") + length).alias("stop")))
 

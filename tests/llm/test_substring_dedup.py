@@ -1,6 +1,7 @@
 """Removed bytes against a brute-force table of all strings."""
 
 import random
+import zlib
 
 import pytest
 
@@ -60,3 +61,57 @@ def test_long_text_in_pieces(docs_of, monkeypatch):
 
 def test_empty(docs_of):
     assert S.remove_repeats(docs_of([])).count() == 0
+
+
+def test_equal_checksums_are_different_rows(docs_of):
+    """Rows that share their id and the crc32 of their texts: only the repeated text loses bytes."""
+    rng = random.Random(9)
+
+    def text(k): return "".join(rng.choice("abcdefgh") for _ in range(k))
+    repeated, alone = text(400), text(400)
+    # crc32 is linear: 33 pairs of letters hold a choice that makes up for any difference
+    target, slots = zlib.crc32((repeated + "-" * 66).encode()), 66
+    base = (alone + "a" * slots).encode()
+    zero = zlib.crc32(base)
+    basis = []  # (crc difference, slots flipped from "a" to "c")
+    for i in range(slots):
+        other = bytearray(base)
+        other[len(alone) + i] ^= 2
+        d, used = zlib.crc32(bytes(other)) ^ zero, 1 << i
+        for e, u in basis:
+            if d ^ e < d:
+                d, used = d ^ e, used ^ u
+        if d:
+            basis = sorted([*basis, (d, used)], reverse=True)
+    need, flips = target ^ zero, 0
+    for e, u in basis:
+        if need ^ e < need:
+            need, flips = need ^ e, flips ^ u
+    twin = alone + "".join("c" if flips >> i & 1 else "a" for i in range(slots))
+    first = repeated + "-" * 66
+    assert need == 0 and zlib.crc32(twin.encode()) == zlib.crc32(first.encode())
+    for i in (5, None):
+        rows = [(i, first), (i, twin), (6, "x" + repeated)]
+        got = sorted((r.n_bytes, len(r.kept)) for r in S.remove_repeats(docs_of(rows)).collect())
+        assert got == [(401, 1), (466, 66), (466, 466)]
+
+
+def test_null_is_not_an_id(docs_of):
+    keys = [tuple(r) for r in S.keyed(docs_of([(None, "x"), (None, None), (1, "2:x"), (12, ":x"), (None, "x"), (0, "")])).select(*S._KEY).collect()]
+    assert len(set(keys)) == 5 and keys[0] == keys[4]
+
+
+def test_texts_are_shuffled_once(spark, docs_of, tmp_path):
+    """The join of the stretches and the last join read the same shuffle of the texts."""
+    rng = random.Random(3)
+    texts = corpus(rng, 60)
+    docs_of(enumerate(texts)).write.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = S.remove_repeats(spark.read.parquet(str(tmp_path / "docs")))
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    final = plan.split("Initial Plan")[0]
+    assert "ReusedExchange" in final and final.count("FileScan parquet [doc_id") == 1
