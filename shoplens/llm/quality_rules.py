@@ -1,9 +1,13 @@
 """Quality rules with thresholds from mergeable quantile sketches.
 
 Each document's measures are ratios (symbols and capitals to word characters,
-repeated lines to lines, repeated words to words).  One KLL sketch per measure
-is built for each language and source; the sketches of a language's sources
-are merged for the language, and these for the whole table.  A group of
+repeated lines to lines, repeated words to words).  A sketch of a measure counts
+values in bins whose bounds grow by one percent (zero is a bin of its own), so a
+quantile is half a percent off at most, a sketch has some thousands of bins
+however many values it holds, and two sketches merge by adding their counts:
+the result depends neither on order nor on partitions.  There is one for each
+language and source; those of a language's sources are merged for the language,
+and these for the whole table.  A group of
 enough documents takes its thresholds from its own sketch, a smaller one from
 its language's, a small language from the table's.  All values come from the
 sketches.  A threshold lies `fence` interquartile ranges above the third
@@ -15,16 +19,19 @@ threshold holds; where nine tenths of the table have, a quarter of the way from
 there to the 99th percentile.
 
 Defined results: a null text has no words and fails the base rules, as does an
-empty one; null languages and sources are groups like any other; repeated rows
-and null ids keep their rows; an empty table gives an empty result.
+empty one; of a text of any length all is counted; a value equal to its
+threshold passes; null languages and sources are groups like any other; repeated
+rows and null ids keep their rows and count in the sketches; an empty table gives
+an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import spread_join, text_bytes, written
 
@@ -36,6 +43,9 @@ MIN_GROUP = 200
 FENCE = 3.0
 #: Part of the way from the ninth decile to the 99th percentile, for a table without a spread below.
 TAIL_PART = 0.25
+#: Quantiles that thresholds are made of; the logarithm of a bin's width; the bin of zero, below all others.
+QUANTILES = (0.25, 0.75, 0.9, 0.99)
+BIN, ZERO = math.log(1.01), -1_000_000
 
 _NOT_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS))
 _CAPITALS = bytes(range(65, 91))
@@ -86,43 +96,55 @@ def _with_ratios(stats: DataFrame) -> DataFrame:
             .withColumn("repeats", ratio("n_repeat_words", "n_words")))
 
 
-def thresholds(ratios: DataFrame, min_group: int = MIN_GROUP, fence: float = FENCE) -> DataFrame:
+def sketches(ratios: DataFrame) -> DataFrame:
+    """lang, source, measure, bin and n: the documents with a value in the bin."""
+    def bin_of(m):
+        return F.when(F.col(m) > 0, F.round(F.ln(m) / BIN).cast("int")).otherwise(ZERO)
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), bin_of(m).alias("bin")) for m in MEASURES])
+    return ratios.select("lang", "source", F.inline(each)).groupBy("lang", "source", "measure", "bin").agg(
+        F.count("*").alias("n"))
+
+
+def quantiles(cells: DataFrame, *keys: str) -> DataFrame:
+    """Of each group of keys and measure: n and its quantiles q1, q3, d9, c99, from merged sketches."""
+    group = [*keys, "measure"]
+    merged = cells.groupBy(*group, "bin").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(*group)  # the bins of one sketch
+    upto = merged.withColumn("total", F.sum("n").over(whole)).withColumn("upto", F.sum("n").over(whole.orderBy("bin")))
+
+    def value(q):
+        at = F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin")))
+        return F.when(at == ZERO, 0.0).otherwise(F.exp(at * BIN))
+    return upto.groupBy(*group).agg(F.max("total").alias("n"), *[
+        value(q).alias(name) for q, name in zip(QUANTILES, ("q1", "q3", "d9", "c99"))])
+
+
+def thresholds(ratios: DataFrame, min_group: int = MIN_GROUP, fence: float = FENCE,
+               tail_part: float = TAIL_PART) -> DataFrame:
     """lang, source and a threshold top_<measure> for each of their groups."""
-    names = list(MEASURES)
-    own = ratios.groupBy("lang", "source").agg(
-        F.count("*").alias("n"), *[F.kll_sketch_agg_double(m).alias(m) for m in names])
-    own = written(own, "sketches")  # a row per language and source
-
-    def merged(of, *keys):
-        return of.groupBy(*keys).agg(F.sum("n").alias("n"), *[
-            F.expr(f"reduce(collect_list({m}), cast(null as binary), (a, x) -> if(a is null, x, kll_sketch_merge_double(a, x)))").alias(m)
-            for m in names])
-
-    by_lang = written(merged(own, "lang"), "by_lang")  # a language's sources are few
-    at = (0.25, 0.75, 0.9, 0.99)
-    table = merged(by_lang).select(*[F.array(*[F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in at]).alias(m)
-                                     for m in names]).first()
+    cells = written(sketches(ratios), "sketches")
     tail, whole = {}, {}
-    for m in names:
-        q1, q3, d9, c99 = (x or 0.0 for x in table[m])  # nulls of an empty table
-        tail[m] = d9 + fence * (d9 - q3) if d9 > q3 else d9 + TAIL_PART * (c99 - d9)
-        whole[m] = max(q3 + fence * (q3 - q1), tail[m])
-
-    def top(m):
-        """A group's own threshold, null without a spread."""
-        q1, q3, d9 = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in at[:3])
-        upper = F.least(F.lit(tail[m]), d9 + fence * (d9 - q3))
-        return F.when((F.col("n") >= min_group) & (d9 > q1), F.greatest(q3 + fence * (q3 - q1), upper))
-    lang = by_lang.select(F.col("lang").alias("of"), *[F.coalesce(top(m), F.lit(whole[m])).alias(f"lang_{m}") for m in names])
-    return own.select("lang", "source", *[top(m).alias(f"own_{m}") for m in names]).join(
-        lang, F.col("lang").eqNullSafe(F.col("of")), "left").select(
-        "lang", "source", *[F.coalesce(f"own_{m}", f"lang_{m}").alias(f"top_{m}") for m in names])
-
-
-def judge(docs: DataFrame, min_group: int = MIN_GROUP, fence: float = FENCE) -> DataFrame:
+    for r in quantiles(cells).collect():  # a row per measure
+        tail[r.measure] = r.d9 + fence * (r.d9 - r.q3) if r.d9 > r.q3 else r.d9 + tail_part * (r.c99 - r.d9)
+        whole[r.measure] = max(r.q3 + fence * (r.q3 - r.q1), tail[r.measure])
+
+    def of_table(values):
+        return F.coalesce(*[F.when(F.col("measure") == m, F.lit(v)) for m, v in values.items()], F.lit(0.0))
+    upper = F.least(of_table(tail), F.expr(f"d9 + {fence} * (d9 - q3)"))
+    # a group's own threshold, null without a spread
+    top = F.when((F.col("n") >= min_group) & (F.col("d9") > F.col("q1")), F.greatest(F.expr(f"q3 + {fence} * (q3 - q1)"), upper))
+    own = quantiles(cells, "lang", "source").select("lang", "source", "measure", top.alias("own"))
+    lang = quantiles(cells, "lang").select(F.col("lang").alias("of"), F.col("measure").alias("what"),
+                                           F.coalesce(top, of_table(whole)).alias("merged"))
+    both = own.join(lang, F.col("lang").eqNullSafe(F.col("of")) & (F.col("measure") == F.col("what")), "left")
+    return both.groupBy("lang", "source").agg(*[
+        F.max(F.when(F.col("measure") == m, F.coalesce("own", "merged"))).alias(f"top_{m}") for m in MEASURES])
+
+
+def judge(docs: DataFrame, min_group: int = MIN_GROUP, fence: float = FENCE, tail_part: float = TAIL_PART) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the measures with their thresholds."""
     stats = _with_ratios(written(measured(docs), "measures"))
-    top = thresholds(stats, min_group, fence)
+    top = thresholds(stats, min_group, fence, tail_part)
     rows = spread_join(stats, top, ["lang", "source"], "doc_id")
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     above = [F.col(m) > F.col(f"top_{m}") for m in MEASURES]
