@@ -7,7 +7,10 @@ look-alikes, a repeated letter for one or two, a separator for nothing.  The
 Viterbi path under the character model restores the word; any other word's
 lattice has one path and stays.  The words of original and restored text, with
 their prefixes, are weighed by what the labelled rows show, and a document's
-score is the logistic of its prior and the weights found.
+score is the logistic of its prior and the weights found.  A text longer than
+usual is read in overlapping windows of the usual length, and what its strongest
+window shows counts, less a little for the number of windows, so that a passage
+weighs nearly alike in a text of any length.
 
 Labels come from a sample of at most `max_labelled` rows, those with the
 smallest hash of their id; the character counts come from the whole table, the
@@ -16,7 +19,11 @@ copies of a document don't make its words look toxic.
 
 Defined results: null and empty texts score as texts without any word found;
 without labelled rows of both kinds every score is the prior (0 without any);
-repeated rows and null ids keep their rows (a null id is not held out).
+repeated rows and null ids keep their rows (a null id is not held out); an id
+labelled both ways is toxic, and all rows with a sampled id are learned from;
+equal texts have equal scores, features of equal gain go by their spelling; an
+empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +58,12 @@ _INSIDE = re.compile(rf"[^\W\d_][{_SIGN}_*]+[^\W\d_]|(?<![^\s])[{_SIGN}]{{1,2}}[
 _SPACED = re.compile(r"(?<![^\W_])[^\W_]([ ._*-])[^\W_](?:\1[^\W_])+(?![^\W_])")
 _ANY_SIGN = re.compile(f"[{_SIGN}_*]")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Where a long text may be cut, best first: not beside a letter set apart, at white space, at another sign.
+_CUTS = (re.compile(r"(?<=\w\w)\s+(?=\w\w)"), re.compile(r"\s+"), re.compile(r"[\W_]"))
+#: What the logarithm of the number of windows costs.
+WINDOW_COST = 1.0
+#: Evidence is put together in steps of a twentieth for calibration, up to a bound.
+_STEPS, _MOST = 20, 100.0
 
 
 def _classes(text: str, of: np.ndarray) -> np.ndarray:
@@ -156,6 +169,18 @@ def restored_words(text: str, restored) -> list[str]:
     return words + [x for h in hidden_words(text, words) if (x := restored(h))]
 
 
+def blocks(text: str, size: int):
+    """The text in pieces of about `size` characters, cut between words where there is room."""
+    at = 0
+    while len(text) - at > size * 3 // 2:
+        found = (c.search(text, at + size, min(len(text), at + 2 * size)) for c in _CUTS)
+        cut = next((m for m in found if m), None)
+        first, last = cut.span() if cut else (min(len(text), at + 2 * size),) * 2
+        yield text[at:first]
+        at = last
+    yield text[at:]
+
+
 def _features(word: str):
     return {word[:24], *(word[:n] + "-" for n in range(4, 9) if len(word) > n)}
 
@@ -223,40 +248,60 @@ def _telling(counted: DataFrame, n_clean: int, n_toxic: int, limit: int) -> dict
 
 
 class Model:
-    """The character model, the features' weights, the usual words of a text, and a and b of sigmoid(a + b * evidence)."""
+    """The character model, the features' weights, the usual words and characters
+    of a text, and a and b of sigmoid(a + b * evidence)."""
 
-    def __init__(self, lm, weights=None, usual=1.0, a=None, b=0.0):
+    def __init__(self, lm, weights=None, usual=1.0, usual_chars=1.0, a=None, b=0.0):
         self.lm, self.weights, self.usual, self.a, self.b = lm, weights or {}, usual, a, b
+        self.usual_chars = usual_chars
 
     def scorer(self):
         """A function from a text to its evidence and score, with caches of bounded size."""
         restored, known, get = _cached(self.lm), {}, self.weights.get
+        half = max(200, int(self.usual_chars) // 2)
 
-        def one(text: str | None) -> tuple[float, float]:
-            if self.a is None:
-                return 0.0, 0.0
-            words = restored_words(text or "", restored)
-            # by chance a word is found in proportion to the text's length
-            chance, found = math.log(max(1, len(words)) / self.usual), 0.0
+        def weighed(words) -> dict[str, float]:
+            out = {}
             for w in set(words):
                 x = known.get(w)
                 if x is None:
                     if len(known) > 300_000:
                         known.clear()
                     x = known[w] = max(get(f, 0.0) for f in _features(w))
-                if x and x - chance > 1.0:
-                    found += min(x - chance, 6.0)
+                if x:
+                    out[w] = x
+            return out
+
+        def total(found, chance) -> float:
+            # by chance a word is found in proportion to the length read
+            return math.fsum(min(x - chance, 6.0) for x in found.values() if x - chance > 1.0)
+
+        def one(text: str | None) -> tuple[float, float]:
+            if self.a is None:
+                return 0.0, 0.0
+            text = text or ""
+            if len(text) <= 3 * half:
+                words = restored_words(text, restored)
+                found = total(weighed(words), math.log(max(1, len(words)) / self.usual))
+            else:  # windows of two neighbouring blocks
+                found, before, n = 0.0, {}, 0
+                for piece in blocks(text, half):
+                    now = weighed(restored_words(piece, restored))
+                    if now or before:
+                        found = max(found, total(before | now, 0.0))
+                    before, n = now, n + 1
+                found = max(0.0, found - WINDOW_COST * math.log(max(1, n - 1)))
             return found, 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.a + self.b * found))))
         return one
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """a and b of sigmoid(a + b x), by Newton steps with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """a and b of sigmoid(a + b x) for n rows of each kind, by Newton steps with a small ridge."""
     t, m = np.zeros(2), np.c_[np.ones(len(x)), x]
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(m @ t, -30, 30)))
-        h = (m * (p * (1 - p) + 1e-6)[:, None]).T @ m + 0.05 * np.eye(2)
-        step = np.linalg.solve(h, m.T @ (y - p) - 0.05 * t)
+        h = (m * (n * (p * (1 - p) + 1e-6))[:, None]).T @ m + 0.05 * np.eye(2)
+        step = np.linalg.solve(h, m.T @ (n * (y - p)) - 0.05 * t)
         t = t + np.clip(step, -2, 2)
     return float(t[0]), float(max(0.0, t[1]))
 
@@ -266,23 +311,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     lm = language_model(character_counts(docs))
     texts = _labelled_texts(docs, labels, max_labelled)
     n = {r.label: r for r in texts.groupBy("label").agg(
-        F.count("*").alias("n"), F.sum(F.size(F.split("text", r"\s+"))).alias("words")).collect()}
+        F.count("*").alias("n"), F.sum(F.size(F.split("text", r"\s+"))).alias("words"),
+        F.sum(F.length("text")).alias("chars")).collect()}
     clean, toxic = n[False].n if False in n else 0, n[True].n if True in n else 0
     if not clean or not toxic:
         return Model(lm, a=None if not clean + toxic else 8.0 if toxic else -8.0)
     first = _telling(_counted(texts, lm, None), clean, toxic, max_features)
     weights = _telling(_counted(texts, lm, set(first)), clean, toxic, max_features)
-    model = Model(lm, weights, (n[False].words + n[True].words) / (clean + toxic), a=0.0, b=1.0)
+    words, chars = ((n[False][k] + n[True][k]) / (clean + toxic) for k in ("words", "chars"))
+    model = Model(lm, weights, words, chars, a=0.0, b=1.0)
 
     def evidence(batches):
         one = model.scorer()
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column("label"), pa.array([one(t)[0] for t in b.column("text").to_pylist()], pa.float64())],
-                ["label", "found"])
-    # at most max_labelled numbers
-    seen = texts.mapInArrow(evidence, "label boolean, found double").toPandas()
-    model.a, model.b = _logistic(seen["found"].to_numpy(float), seen["label"].to_numpy(float))
+            found = [round(min(_MOST, one(t)[0]) * _STEPS) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(found, pa.int32())], ["label", "found"])
+    # 2,001 steps of evidence and two labels, however many rows have the ids
+    seen = texts.mapInArrow(evidence, "label boolean, found int").groupBy("label", "found").agg(
+        F.count("*").alias("n")).orderBy("label", "found").toPandas()
+    model.a, model.b = _logistic(seen["found"].to_numpy(float) / _STEPS, seen["label"].to_numpy(float), seen["n"].to_numpy(float))
     return model
 
 
