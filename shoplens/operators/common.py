@@ -62,8 +62,9 @@ def n_sessions() -> Column:
 # split when the small side is an aggregate already partitioned on the key.
 # ``split_hot_join`` salts only the hot keys: their large-side rows spread
 # over ``n_split`` tasks, their few small-side rows are copied ``n_split``
-# times.  Hot keys are estimated from a sample; an estimate only moves rows
-# between tasks, never changes the result.
+# times.  Hot keys are told by the sketches stored with a table, or estimated
+# from a sample; an estimate only moves rows between tasks, never changes the
+# result.
 
 HOT_ROWS_CONF = "spark.shoplens.hotKeyRows"        # rows per task before a key is split
 HOT_SAMPLE_CONF = "spark.shoplens.hotKeySample"    # sampled fraction for the estimate
@@ -77,13 +78,17 @@ def _conf(df: DataFrame, key: str, default: float) -> float:
         return default
 
 
-def hot_keys(big: DataFrame, keys: list[str], by: str | None) -> DataFrame:
+def hot_keys(big: DataFrame, keys: list[str], by: str | None, heavy: DataFrame | None = None) -> DataFrame:
     """Keys of ``big`` estimated to hold more than the per-task row budget,
     with ``n_split`` ways to split each.  The sample is chosen by a hash of
     ``by`` (the primary key), so it is a function of the rows and every scan
     of them finds the same keys; without a primary key (None) it is random,
-    for callers that write the result."""
+    for callers that write the result.  With ``heavy`` (keys and their
+    ``rows``, at least those of ``big``) nothing is scanned."""
     rows = _conf(big, HOT_ROWS_CONF, HOT_ROWS_DEFAULT)
+    if heavy is not None:
+        return (heavy.filter(F.col("rows") > rows)
+                .select(*keys, F.ceil(F.col("rows") / F.lit(rows)).cast("int").alias("n_split")))
     frac = min(1.0, _conf(big, HOT_SAMPLE_CONF, HOT_SAMPLE_DEFAULT))
     million = 1_000_000
     chance = F.xxhash64(F.col(by)) if by else F.floor(F.rand() * million)
@@ -102,10 +107,11 @@ def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> Dat
     return x.join(y, on, how).select(*[F.col(f"x.{c}") for c in a.columns], *rest)
 
 
-def split_hot_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: str) -> DataFrame:
+def split_hot_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: str,
+                   heavy: DataFrame | None = None) -> DataFrame:
     """Inner join of ``big`` (possibly hot keys) with ``small`` (a few rows
     per key) on ``keys``, with hot keys split over several tasks."""
-    hot = hot_keys(big, keys, by=salt_by)
+    hot = hot_keys(big, keys, by=salt_by, heavy=heavy)
     b = (big.join(hot, keys, "left")
          .withColumn("_salt", F.when(F.col("n_split").isNull(), F.lit(0))
                      .otherwise(F.pmod(F.xxhash64(F.col(salt_by)), F.col("n_split"))).cast("int"))

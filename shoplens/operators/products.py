@@ -68,13 +68,15 @@ def monthly_conversion_revenue(sessions: DataFrame, orders: DataFrame, start, en
 def next_page_pathing(pageviews: DataFrame, from_url: str, targets: Mapping[str, str],
                       split, after, before,
                       labels: Sequence[str] = ("A. Pre_New_Product_Launch",
-                                               "B. Post_New_Product_Launch")) -> DataFrame:
+                                               "B. Post_New_Product_Launch"),
+                      heavy: DataFrame | None = None) -> DataFrame:
     """Per period (before / from ``split``): sessions that viewed
     ``from_url`` in (after, before), how many went on to another page, and
     how many went next to each target page, with shares.
 
     A session is counted once per period in which it viewed ``from_url``;
     its next page is the first pageview after its first such view.
+    ``heavy``: the store's sessions of many pageviews.
     """
     seen = (F.col(URL) == from_url) & in_range("created_at", after=after, before=before)
     src = (pageviews.filter(seen)
@@ -83,7 +85,7 @@ def next_page_pathing(pageviews: DataFrame, from_url: str, targets: Mapping[str,
     # the next page is X iff the smallest later id is the smallest later id of X
     pid, url = F.col("pid"), F.col(URL)
     nxt = (split_hot_join(from_first(pageviews, seen).select(SID, F.col(PV).alias("pid"), URL),
-                          src, [SID], salt_by="pid")
+                          src, [SID], salt_by="pid", heavy=heavy)
            .filter(pid > F.col("from_id"))
            .groupBy("time_period", SID)
            .agg(F.min("pid").alias("next"), F.min(F.when(url.isNotNull(), pid)).alias("known"),
@@ -146,7 +148,8 @@ ID_BUCKET_BITS = 20
 
 
 def funnel_page_flags(pageviews: DataFrame, product_urls: Sequence[str],
-                      steps: Mapping[str, str], after, before, ordered: bool = True) -> DataFrame:
+                      steps: Mapping[str, str], after, before, ordered: bool = True,
+                      heavy: DataFrame | None = None) -> DataFrame:
     """Pageview-grain detail behind ``product_funnel``: for each session and
     product page first viewed in (after, before), one row per later pageview
     of the session with a 0/1 flag per step page (one all-zero row when
@@ -164,7 +167,7 @@ def funnel_page_flags(pageviews: DataFrame, product_urls: Sequence[str],
     last = views.groupBy(SID).agg(F.max(PV).alias("last_pv"))
     flags = [(url == u).cast("int").alias(f"{lab}_page") for lab, u in steps.items()]
     later = (split_hot_join(views.select(SID, PV, URL, F.col("created_at").alias("seen_at")),
-                            firsts, [SID], salt_by=PV)
+                            firsts, [SID], salt_by=PV, heavy=heavy)
              .filter(F.col(PV) > F.col("from_id"))
              .select(SID, "product_page_seen", *flags, "seen_at"))
     zero = [F.lit(0).alias(f"{lab}_page") for lab in steps]

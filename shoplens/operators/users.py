@@ -45,13 +45,13 @@ def _new_and_repeat(sessions: DataFrame, start, before):
     return new, rep
 
 
-def repeat_session_histogram(sessions: DataFrame, start, before) -> DataFrame:
+def repeat_session_histogram(sessions: DataFrame, start, before, heavy: DataFrame | None = None) -> DataFrame:
     """Users with a new session in [start, before), by how many repeat
     sessions in the window came after (a larger id than) their first new
-    session."""
+    session.  ``heavy``: the store's frequent users."""
     new, rep = _new_and_repeat(sessions, start, before)
     first_new = new.groupBy("user_id").agg(F.min("new_session_id").alias("new_session_id"))
-    later = (split_hot_join(rep, first_new, ["user_id"], salt_by="repeat_session_id")
+    later = (split_hot_join(rep, first_new, ["user_id"], salt_by="repeat_session_id", heavy=heavy)
              .filter(F.col("repeat_session_id") > F.col("new_session_id"))
              .groupBy("user_id").agg(F.count("repeat_session_id").alias("n_rep")))
     per_user = first_new.join(later, "user_id", "left") \

@@ -71,7 +71,7 @@ GROUP BY ALL
 ORDER BY 1"""),
     Analysis(
         "repeat_session_histogram", "U2",
-        lambda st, **p: users.repeat_session_histogram(st.sessions, **p),
+        lambda st, **p: users.repeat_session_histogram(st.sessions, heavy=st.heavy("website_sessions"), **p),
         dict(start="2024-01-01", before="2024-01-25"),
         f"""
 SELECT repeat_sessions, COUNT(*) AS users

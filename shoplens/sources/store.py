@@ -56,6 +56,12 @@ PRIMARY_KEY = {name: columns[-1] for name, columns in LAYOUT.items()}
 #: Whether a table's key is checked when it is built.
 CHECK_KEYS_CONF = "spark.shoplens.checkKeys"
 
+#: Join keys whose frequent values are kept in sketches beside a table's folder.
+HOT_KEYS = {"website_pageviews": "website_session_id", "website_sessions": "user_id"}
+#: Rows for one sketch, and the keys it tells apart: counts are short of the
+#: truth by at most 3.5 / 2 / SKETCH_KEYS of a sketch's rows.
+SKETCH_ROWS, SKETCH_KEYS = 1 << 26, 4096
+
 #: Source bytes for one file of a written table, and rows it holds at most.
 FILE_BYTES, FILE_ROWS = 256 << 20, 20_000_000
 
@@ -100,6 +106,12 @@ class Store:
     def refunds(self) -> DataFrame:
         return self.order_item_refunds
 
+    def heavy(self, name: str) -> DataFrame | None:
+        """Frequent join keys of a table with their ``rows``, from the sketches
+        written with it; None for tables that were given."""
+        make = object.__getattribute__(self, "make")
+        return make.heavy(name) if make else None
+
     def register_views(self, prefix: str = "") -> list[str]:
         """Expose the tables as temporary views (``website_sessions``,
         ``website_pageviews``, ``web_orders``, ``orders``, ``order_items``,
@@ -158,6 +170,7 @@ def _code() -> str:
     for mod in (feeds, schemas, ranking):
         with open(mod.__file__, "rb") as f:
             h.update(f.read())
+    h.update(repr((HOT_KEYS, SKETCH_ROWS, SKETCH_KEYS)).encode())
     return h.hexdigest()
 
 
@@ -255,6 +268,26 @@ def check_keys(table: DataFrame, name: str) -> None:
         raise DuplicateKeys(f"{key} is not a primary key of {name}: {shown}")
 
 
+def write_key_sketches(spark: SparkSession, folder: str, name: str) -> None:
+    """Sketches of the most frequent join keys of a written table, in a folder
+    beside it: one for every SKETCH_ROWS rows, by hash of the key, so that a
+    sketch's error doesn't grow with the table.  They are partial aggregates:
+    what is shuffled is sketches, however hot a key is."""
+    key, table = HOT_KEYS[name], spark.read.parquet(folder)
+    n = max(1, math.ceil(table.count() / SKETCH_ROWS))
+    (table.where(F.col(key).isNotNull()).groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("part"))
+     .agg(F.expr(f"approx_top_k_accumulate({key}, {SKETCH_KEYS})").alias("sketch"))
+     .write.parquet(f"{folder}-keys"))
+
+
+def frequent_keys(spark: SparkSession, folders: list[str], name: str) -> DataFrame:
+    """(key, rows) of the keys that the sketches of a table's folders tell; a
+    key that several folders have counts with its sum."""
+    found = F.explode(F.expr(f"approx_top_k_estimate(sketch, {SKETCH_KEYS})")).alias("found")
+    return (spark.read.parquet(*[f"{f}-keys" for f in folders]).select(found)
+            .groupBy(F.col("found.item").alias(HOT_KEYS[name])).agg(F.sum("found.count").alias("rows")))
+
+
 def _write_once(spark: SparkSession, make, base: str, name: str, source_bytes: int, layout=None,
                 before: list[str] | None = None) -> list[str]:
     """The folders of the table's data, written (``make()``) unless published;
@@ -273,6 +306,8 @@ def _write_once(spark: SparkSession, make, base: str, name: str, source_bytes: i
         check_keys(spark.read.parquet(folder), name)
         if before:
             check_keys_beside(spark.read.parquet(*before), spark.read.parquet(folder), name)
+    if name in HOT_KEYS:
+        write_key_sketches(spark, folder, name)
     return _publish(spark, manifest, [*(before or []), folder])
 
 
@@ -373,6 +408,9 @@ class _Builder:
             self._table(name, source, make, LAYOUT[name])
         return _published(self.spark, f"{self.base[GROUP_OF[name]]}/{name}.manifest")
 
+    def heavy(self, name: str) -> DataFrame:
+        return frequent_keys(self.spark, self.paths(name), name)
+
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.schema(schemas.TABLES[name]).parquet(*self.paths(name))
 

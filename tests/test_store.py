@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from samples import SF_SMALL
 from shoplens.plans import REGISTRY
@@ -82,6 +83,51 @@ def test_appended_events_extend_the_tables(spark):
         assert store.pageviews.count() == sum(x <= upto for x in ts)
 
 
+def test_sketches_tell_the_frequent_keys(spark, monkeypatch):
+    """Few keys are told apart here, in several sketches and two folders: a key
+    with a third of the rows, one with a twentieth in the second folder only."""
+    monkeypatch.setattr(S, "SKETCH_ROWS", 5000)
+    monkeypatch.setattr(S, "SKETCH_KEYS", 64)
+    root, n = tempfile.mkdtemp(prefix="shoplens-keys-"), 20_000
+    folders, i = [f"{root}/a", f"{root}/b"], F.col("id")
+    for f in folders:
+        user = F.when(i % 3 == 0, 77).when((i % 20 == 1) & F.lit(f == folders[1]), 5).when(i % 50 != 2, i + 100)
+        spark.range(n).select(user.cast("long").alias("user_id")).write.parquet(f)
+        S.write_key_sketches(spark, f, "website_sessions")
+    counts = {r[0]: r[1] for r in spark.read.parquet(*folders).groupBy("user_id").count().collect()}
+    told = {r["user_id"]: r["rows"] for r in S.frequent_keys(spark, folders, "website_sessions").collect()}
+    error = 2 * n * 3.5 / 2 / 64
+    assert spark.read.parquet(*[f"{f}-keys" for f in folders]).count() == 8 and None not in told
+    assert all(abs(told[k] - counts[k]) <= error for k in told)
+    assert all(k in told for k in (5, 77)) and told[77] > 10 * error > told[5]
+
+
+def test_stored_sketches_replace_the_scan_for_hot_keys(spark):
+    root = tempfile.mkdtemp(prefix="shoplens-store-")
+    S._memo.clear()
+    store = S.load_store(spark, SF_SMALL, root=root)
+    given = S.Store(**{t: getattr(store, t) for t in S.STORE_TABLES})
+    spark.conf.set("spark.shoplens.hotKeyRows", "2")
+    try:
+        for name in ("next_page_pathing", "funnel_page_flags", "repeat_session_histogram"):
+            by_sketch, by_sample = REGISTRY[name](store), REGISTRY[name](given)
+            plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (by_sketch, by_sample)]
+            assert "approx_top_k_estimate" in plans[0] and "1000000" not in plans[0], name
+            assert "approx_top_k_estimate" not in plans[1] and "1000000" in plans[1], name
+            assert sorted(map(str, by_sketch.collect())) == sorted(map(str, by_sample.collect()))
+    finally:
+        spark.conf.unset("spark.shoplens.hotKeyRows")
+
+
+def test_sketches_of_an_empty_table(spark):
+    folder, root = tempfile.mkdtemp(prefix="shoplens-none-"), tempfile.mkdtemp(prefix="shoplens-store-")
+    for t in S.SOURCE_TABLES:
+        pq.write_table(pq.read_table(f"{SF_SMALL}/{t}.parquet").slice(0, 0), f"{folder}/{t}.parquet")
+    store = S.load_store(spark, folder, root=root)
+    assert all(store.heavy(name).isEmpty() for name in S.HOT_KEYS)
+    assert REGISTRY["repeat_session_histogram"](store).collect() == []
+
+
 def test_late_events_and_changed_files_make_a_new_build(spark):
     folder, root = tempfile.mkdtemp(prefix="shoplens-late-"), tempfile.mkdtemp(prefix="shoplens-store-")
     rows, ts = event_files(folder)
