@@ -31,6 +31,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoplens.functions.metrics import ts_lit
 from shoplens.operators import ranking
 from shoplens.session import checkpoint_root
 from shoplens.sources import feeds, schemas
@@ -64,6 +65,8 @@ SKETCH_ROWS, SKETCH_KEYS = 1 << 26, 4096
 
 #: Source bytes for one file of a written table, and rows it holds at most.
 FILE_BYTES, FILE_ROWS = 256 << 20, 20_000_000
+#: Files a window's rows are read from by name; a wider window reads folders.
+NAMED_FILES = 10_000
 
 _lock = threading.Lock()
 _memo: dict[tuple, "Store"] = {}
@@ -81,6 +84,7 @@ class Store:
     order_items: DataFrame | None = None
     order_item_refunds: DataFrame | None = None
     make: object = field(default=None, repr=False)
+    windows: dict = field(default_factory=dict, repr=False)
 
     def __getattribute__(self, name):
         value = object.__getattribute__(self, name)
@@ -112,6 +116,19 @@ class Store:
         make = object.__getattribute__(self, "make")
         return make.heavy(name) if make else None
 
+    def between(self, name: str, after=None, before=None) -> DataFrame:
+        """A table's files that may have rows from ``after`` to ``before`` (either
+        may be None): all rows of that window, and others, so that a filter on
+        ``created_at`` must follow.  Tables that were given come whole."""
+        make = object.__getattribute__(self, "make")
+        if make is None or (after is None and before is None):
+            return getattr(self, name)
+        seen = object.__getattribute__(self, "windows")
+        window = (name, str(after), str(before))
+        if window not in seen:
+            seen[window] = make.between(name, after, before)
+        return seen[window]
+
     def register_views(self, prefix: str = "") -> list[str]:
         """Expose the tables as temporary views (``website_sessions``,
         ``website_pageviews``, ``web_orders``, ``orders``, ``order_items``,
@@ -170,7 +187,7 @@ def _code() -> str:
     for mod in (feeds, schemas, ranking):
         with open(mod.__file__, "rb") as f:
             h.update(f.read())
-    h.update(repr((HOT_KEYS, SKETCH_ROWS, SKETCH_KEYS)).encode())
+    h.update(repr((LAYOUT, HOT_KEYS, SKETCH_ROWS, SKETCH_KEYS)).encode())
     return h.hexdigest()
 
 
@@ -288,6 +305,28 @@ def frequent_keys(spark: SparkSession, folders: list[str], name: str) -> DataFra
             .groupBy(F.col("found.item").alias(HOT_KEYS[name])).agg(F.sum("found.count").alias("rows")))
 
 
+def write_file_ranges(spark: SparkSession, folder: str) -> None:
+    """The least and greatest time in each file of a written table, as a table
+    in a folder beside it."""
+    (spark.read.parquet(folder).groupBy(F.concat(F.lit(f"{folder}/"), "_metadata.file_name").alias("file"))
+     .agg(F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+     .write.parquet(f"{folder}-files"))
+
+
+def files_between(spark: SparkSession, folders: list[str], after=None, before=None) -> list[str]:
+    """The files with rows in a time window (bounds included), found without a
+    look at any of them; the folders themselves if that is over NAMED_FILES
+    files, whose footers Spark then prunes by."""
+    cond = F.lit(True)
+    if after is not None:
+        cond &= F.col("last") >= ts_lit(after)
+    if before is not None:
+        cond &= F.col("first") <= ts_lit(before)
+    ranges = spark.read.parquet(*[f"{f}-files" for f in folders])
+    found = [r[0] for r in ranges.where(cond).select("file").take(NAMED_FILES + 1)]
+    return folders if len(found) > NAMED_FILES else sorted(found)
+
+
 def _write_once(spark: SparkSession, make, base: str, name: str, source_bytes: int, layout=None,
                 before: list[str] | None = None) -> list[str]:
     """The folders of the table's data, written (``make()``) unless published;
@@ -308,6 +347,8 @@ def _write_once(spark: SparkSession, make, base: str, name: str, source_bytes: i
             check_keys_beside(spark.read.parquet(*before), spark.read.parquet(folder), name)
     if name in HOT_KEYS:
         write_key_sketches(spark, folder, name)
+    if name in LAYOUT:
+        write_file_ranges(spark, folder)
     return _publish(spark, manifest, [*(before or []), folder])
 
 
@@ -411,6 +452,11 @@ class _Builder:
     def heavy(self, name: str) -> DataFrame:
         return frequent_keys(self.spark, self.paths(name), name)
 
+    def between(self, name: str, after, before) -> DataFrame:
+        files = files_between(self.spark, self.paths(name), after, before)
+        read = self.spark.read.schema(schemas.TABLES[name])
+        return read.parquet(*files) if files else self.spark.createDataFrame([], schemas.TABLES[name])
+
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.schema(schemas.TABLES[name]).parquet(*self.paths(name))
 

@@ -119,6 +119,41 @@ def test_stored_sketches_replace_the_scan_for_hot_keys(spark):
         spark.conf.unset("spark.shoplens.hotKeyRows")
 
 
+def test_a_window_reads_the_files_that_have_its_rows(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="shoplens-store-")
+    monkeypatch.setattr(S, "FILE_BYTES", 2000)
+    S._memo.clear()
+    store = S.load_store(spark, SF_SMALL, root=root)
+    everything_ = store.sessions
+    bounds = {f: (a, b) for f, a, b in everything_.groupBy(F.col("_metadata.file_name")).agg(
+        F.min("created_at"), F.max("created_at")).collect()}
+    assert len(bounds) > 4
+    times = sorted(t for pair in bounds.values() for t in pair)
+    conv = REGISTRY["conversion_overall"]
+    files = []
+    for after, before in [(None, times[0]), (None, times[3]), (times[4], times[5]), (times[-1], None),
+                          (None, times[0] - dt.timedelta(days=1)), (times[-1] + dt.timedelta(days=1), None)]:
+        part = store.between("website_sessions", after, before)
+        want = {f for f, (a, b) in bounds.items() if (after is None or b >= after) and (before is None or a <= before)}
+        assert {os.path.basename(f) for f in part.inputFiles()} == want
+        keep = F.lit(True)
+        if after:
+            keep &= F.col("created_at") >= F.lit(after).cast("timestamp_ntz")
+        if before:
+            keep &= F.col("created_at") <= F.lit(before).cast("timestamp_ntz")
+        assert part.where(keep).count() == everything_.where(keep).count()
+        files.append(len(want))
+    assert files[0] < files[1] < len(bounds) and files[4:] == [0, 0]
+    early = conv.run(store, **{**conv.params, "before": times[3]})
+    early_files = [f for f in early.inputFiles() if "website_sessions" in f]
+    assert len(early_files) == files[1]
+    given = S.Store(**{t: getattr(store, t) for t in S.STORE_TABLES})
+    assert early.collect() == conv.run(given, **{**conv.params, "before": times[3]}).collect()
+    monkeypatch.setattr(S, "NAMED_FILES", 2)  # a wide window reads the folders
+    folders = S.files_between(spark, store.make.paths("website_sessions"), None, times[-1])
+    assert folders == store.make.paths("website_sessions")
+
+
 def test_sketches_of_an_empty_table(spark):
     folder, root = tempfile.mkdtemp(prefix="shoplens-none-"), tempfile.mkdtemp(prefix="shoplens-store-")
     for t in S.SOURCE_TABLES:
