@@ -114,7 +114,10 @@ class Store:
         """Frequent join keys of a table with their ``rows``, from the sketches
         written with it; None for tables that were given."""
         make = object.__getattribute__(self, "make")
-        return make.heavy(name) if make else None
+        seen = object.__getattribute__(self, "windows")
+        if make and name not in seen:
+            seen[name] = make.heavy(name)
+        return seen.get(name)
 
     def between(self, name: str, after=None, before=None) -> DataFrame:
         """A table's files that may have rows from ``after`` to ``before`` (either
@@ -301,8 +304,11 @@ def frequent_keys(spark: SparkSession, folders: list[str], name: str) -> DataFra
     """(key, rows) of the keys that the sketches of a table's folders tell; a
     key that several folders have counts with its sum."""
     found = F.explode(F.expr(f"approx_top_k_estimate(sketch, {SKETCH_KEYS})")).alias("found")
-    return (spark.read.parquet(*[f"{f}-keys" for f in folders]).select(found)
-            .groupBy(F.col("found.item").alias(HOT_KEYS[name])).agg(F.sum("found.count").alias("rows")))
+    told = (spark.read.parquet(*[f"{f}-keys" for f in folders]).select(found)
+            .select(F.col("found.item").alias(HOT_KEYS[name]), F.col("found.count").alias("rows")))
+    if len(folders) == 1:  # a folder has a key in one sketch alone
+        return told
+    return told.groupBy(HOT_KEYS[name]).agg(F.sum("rows").alias("rows"))
 
 
 def write_file_ranges(spark: SparkSession, folder: str) -> None:
