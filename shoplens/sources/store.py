@@ -65,6 +65,11 @@ SKETCH_ROWS, SKETCH_KEYS = 1 << 26, 4096
 
 #: Source bytes for one file of a written table, and rows it holds at most.
 FILE_BYTES, FILE_ROWS = 256 << 20, 20_000_000
+#: Source rows for one range of a written table: a task sorts a range, about
+#: 110 bytes a row, and source bytes don't tell its rows.
+RANGE_ROWS = 2_000_000
+#: Keys that one task of a key check counts.
+CHECKED_KEYS = 1_000_000
 #: Files a window's rows are read from by name; a wider window reads folders.
 NAMED_FILES = 10_000
 
@@ -274,6 +279,14 @@ class DuplicateKeys(ValueError):
     """A table's primary key is not one."""
 
 
+def counted_keys(table: DataFrame, key: str) -> DataFrame:
+    """The keys of a written table and how many ``rows`` have each.  Keys are
+    dealt out before they are counted: counts per file would combine nothing
+    and hold all keys of a file."""
+    ways = max(1, math.ceil(table.count() / CHECKED_KEYS))
+    return table.select(key).repartition(ways, key).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def check_keys(table: DataFrame, name: str) -> None:
     """Fails if two rows of the table share the key, or one has none.
 
@@ -281,8 +294,7 @@ def check_keys(table: DataFrame, name: str) -> None:
     is right only for primary keys.  Keys are counted per hash bucket by Spark;
     what reaches the driver is a few offenders."""
     key = PRIMARY_KEY[name]
-    bad = (table.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-           .where((F.col("rows") > 1) | F.col(key).isNull()).take(3))
+    bad = counted_keys(table, key).where((F.col("rows") > 1) | F.col(key).isNull()).take(3)
     if bad:
         shown = ", ".join(f"{r[key]} ({r['rows']} rows)" for r in bad)
         raise DuplicateKeys(f"{key} is not a primary key of {name}: {shown}")
@@ -333,18 +345,20 @@ def files_between(spark: SparkSession, folders: list[str], after=None, before=No
     return folders if len(found) > NAMED_FILES else sorted(found)
 
 
-def _write_once(spark: SparkSession, make, base: str, name: str, source_bytes: int, layout=None,
+def _write_once(spark: SparkSession, make, base: str, name: str, source_bytes: int, source_rows, layout=None,
                 before: list[str] | None = None) -> list[str]:
     """The folders of the table's data, written (``make()``) unless published;
-    ``before`` are folders whose rows it has, too.  A logical table whose key
-    is not unique is not published."""
+    ``before`` are folders whose rows it has, too.  A table with a layout is
+    sorted in ranges for its source's bytes and rows (``source_rows()``).  A
+    logical table whose key is not unique is not published."""
     manifest = f"{base}/{name}.manifest"
     done = _published(spark, manifest)
     if done:
         return done
     df = make()
     if layout:
-        df = df.repartitionByRange(max(1, math.ceil(source_bytes / FILE_BYTES)), *layout).sortWithinPartitions(*layout)
+        ranges = max(1, math.ceil(source_bytes / FILE_BYTES), math.ceil(source_rows() / RANGE_ROWS))
+        df = df.repartitionByRange(ranges, *layout).sortWithinPartitions(*layout)
     folder = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
     if name in PRIMARY_KEY and spark.conf.get(CHECK_KEYS_CONF, "true") != "false":
@@ -387,6 +401,7 @@ class _Builder:
         self.sources = _sources(spark, sf_dir)
         self.base = folders_of(spark, sf_dir, root, self.sources)
         self.size = {name: sum(n for _, n, _ in files) for name, files in self.sources.items()}
+        self.rows: dict[str, int] = {}
         self.earlier: _Earlier | None | bool = False  # not looked for yet
 
     def _event_files(self) -> list[str]:
@@ -419,13 +434,21 @@ class _Builder:
         before = None
         if GROUP_OF[name] == "web" and name != "user_state" and self._extends():
             before = self._extends().folders(name)
-        paths = _write_once(self.spark, make, self.base[GROUP_OF[name]], name, self.size[source], layout, before)
+        paths = _write_once(self.spark, make, self.base[GROUP_OF[name]], name, self.size[source],
+                            lambda: self._rows(source), layout, before)
         own = paths[len(before):] if before and not layout else paths  # an intermediate: only the new rows
         return self.spark.read.parquet(*own)
 
     def _events(self) -> DataFrame:
         return self._extends().new_events() if self._extends() else read_source(self.spark, self.sf_dir, "events")
 
+    def _rows(self, source: str) -> int:
+        """The rows that tables are made from, as the files' footers tell."""
+        if source not in self.rows:
+            read = self._events() if source == "events" else read_source(self.spark, self.sf_dir, source)
+            self.rows[source] = read.count()
+        return self.rows[source]
+
     def _state(self) -> DataFrame | None:
         return self._extends().table("user_state") if self._extends() else None
 
@@ -491,7 +514,7 @@ class _Earlier:
         tagged = self.table("tagged_events")
         made = feeds.web_tables_from_tagged(tagged)
         df = {"website_sessions": made.sessions, "website_pageviews": made.pageviews, "web_orders": made.orders}[name]
-        return _write_once(self.later.spark, lambda: df, self.folder, name, self.later.size["events"], LAYOUT[name])
+        return _write_once(self.later.spark, lambda: df, self.folder, name, self.later.size["events"], tagged.count, LAYOUT[name])
 
 
 def load_store(spark: SparkSession, sf_dir: str, materialized: bool = True,

@@ -280,3 +280,33 @@ def test_write_reports(spark):
     names = write_reports(store, out, ["conversion_by_device", "monthly_refund_summary"])
     for n in names:
         assert spark.read.parquet(f"{out}/{n}").count() == REGISTRY[n](store).count()
+
+
+def test_a_range_has_bounded_rows_whatever_the_bytes(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="shoplens-store-")
+    monkeypatch.setattr(S, "RANGE_ROWS", 500)  # the files' bytes ask for one range
+    S._memo.clear()
+    store = S.load_store(spark, SF_SMALL, root=root)
+    for name, source in (("website_pageviews", "events"), ("orders", "orders"), ("order_items", "lineitem")):
+        rows = S.read_source(spark, SF_SMALL, source).count()
+        sizes = [r[1] for r in getattr(store, name).groupBy(F.col("_metadata.file_name")).agg(F.count("*")).collect()]
+        assert sum(sizes) == rows > 500 and len(sizes) >= rows / 500 / 2, name
+        assert max(sizes) <= 2 * 500, name
+    S._memo.clear()
+
+
+def test_a_key_check_counts_bounded_keys_a_task(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHECKED_KEYS", 100)
+    folder = tempfile.mkdtemp(prefix="shoplens-store-") + "/t"
+    spark.range(1000).coalesce(1).select(F.col("id").alias("order_id")).write.parquet(folder)
+    table = spark.read.parquet(folder)
+    counted = S.counted_keys(table, "order_id")
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    # dealt out first: nothing below the exchange gathers keys
+    assert "hashpartitioning(order_id" in plan and ", 10)" in plan and "HashAggregate" not in plan[plan.index("hashpartitioning("):]
+    assert counted.count() == 1000
+    S.check_keys(table, "orders")
+    with pytest.raises(S.DuplicateKeys, match="7 \\(2 rows\\)"):
+        S.check_keys(table.unionByName(spark.range(7, 8).select(F.col("id").alias("order_id"))), "orders")
+    with pytest.raises(S.DuplicateKeys, match="None"):
+        S.check_keys(table.unionByName(spark.sql("select cast(null as bigint) as order_id")), "orders")
