@@ -10,10 +10,11 @@ bucket:
   occurrence of the gram with the bytes around it (its stretch) stands for all
   of its suffixes.  Grams that occur once are dropped before any text moves.
 * Cover sample.  In a block of buckets every eighth position of the stretches
-  is ranked by the 192 bytes behind it, by rank doubling (24, 48, 96, 192
-  bytes).  Any suffix starts less than eight bytes before a sampled position,
+  is ranked by the 192 bytes behind it, by rank doubling (8, 16, 32, 64, 128,
+  192 bytes).  Any suffix starts less than eight bytes before a sampled position,
   so it is ordered by at most eight bytes of its own and one precomputed rank:
-  long ties cost no comparison of bytes, and memory is bounded by the block.
+  long ties cost no comparison of bytes, and memory is bounded by the block,
+  which ends with the gram that brings its places to `BLOCK` or more.
 * Equal neighbours in that order are the repeated strings.
 
 Equal stretches are collapsed before they are ranked (their strings repeat for
@@ -33,15 +34,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_bytes, written
+from .common import byte_slices, text_bytes, written
 
 LENGTH, GRAM = 200, 32
 #: Different stretches of a gram beyond which its strings are counted one by one.
 HOT = 50_000
-#: Stretches ranked at a time, bytes of text scanned at a time.
+#: Places of stretches ranked at a time, bytes of text scanned at a time.
 BLOCK, SCAN = 20_000, 2 << 20
+#: Bytes of text taken from an Arrow batch at a time, runs given back at a time.
+SLICE, RUNS = 1 << 20, 50_000
 
 
 def _gram_hashes(x: np.ndarray) -> np.ndarray:
@@ -96,14 +100,24 @@ def _doc_anchors(t: bytes, length: int):
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].reshape(-1).astype(np.uint64)
+    return np.unique(keys, return_inverse=True)[1].reshape(-1).astype(np.uint32)
 
 
 def _rank_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Dense ranks of the pairs (a, b), both of dense ranks or 64-bit words."""
-    if len(a) and (a.max(initial=0) >> np.uint64(32) or b.max(initial=0) >> np.uint64(32)):
-        a, b = _ranks(a), _ranks(b)
-    return _ranks((a << np.uint64(32)) | b)
+    """Dense ranks of the pairs (a, b) of dense ranks."""
+    return _ranks((a.astype(np.uint64) << np.uint64(32)) | b)
+
+
+def _deep_ranks(x: np.ndarray, words: int) -> list[np.ndarray]:
+    """Ranks of the `words` * 8 bytes from every eighth place on, by doubling; of
+    the shorter ranks only the last are kept."""
+    level = [_ranks(np.ascontiguousarray(x[:, i:i + 8]).view("<u8").reshape(-1)) for i in range(0, x.shape[1] - 7, 8)]
+    done = 1
+    while done < words:
+        step = min(done, words - done)  # the last two may overlap
+        level = [_rank_pairs(level[i], level[i + step]) for i in range(len(level) - step)]
+        done += step
+    return level
 
 
 def repeated(stretches: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
@@ -119,16 +133,7 @@ def repeated(stretches: np.ndarray, count: np.ndarray, low: np.ndarray, high: np
         return out
     depth, step = length - 8, 8  # sampled ranks cover `depth` bytes
     x = np.ascontiguousarray(stretches)
-    words = [_ranks(np.ascontiguousarray(x[:, i:i + 8]).view("<u8").reshape(-1)) for i in range(0, x.shape[1] - 7, step)]
-    sampled = {1: words}  # length in words -> rank at each sampled place
-
-    def doubled(size):
-        if size not in sampled:
-            half = size // 2
-            a, b = doubled(half), doubled(size - half)
-            sampled[size] = [_rank_pairs(a[i], b[i + half]) for i in range(len(words) - size + 1)]
-        return sampled[size]
-    deep = doubled(depth // step)
+    deep = _deep_ranks(x, depth // step)
     for o in range(starts):
         rows = np.flatnonzero(valid[:, o])
         if len(rows) < 2 or out[rows, o].all():
@@ -154,27 +159,77 @@ def own_starts(stretch: bytes, side: int, low: int, high: int) -> tuple[int, int
 
 
 def _blocks(batches):
-    """Rows sorted by gram and stretch; yields blocks of whole grams as lists of
-    (stretch, low, high, [(row, its places), ...]), equal stretches collapsed."""
-    block, gram, last = [], None, None
+    """Rows sorted by gram, as tables of whole grams: a table ends with the gram
+    that brings its places to BLOCK or more."""
+    held, n, last = [], 0, None
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("gram", "stretch", "low", "high", "high64", "low64", "places")]
-        for g, s, lo, hi, i, c, p in zip(*cols):
-            if g != gram and len(block) >= BLOCK:
-                yield block
-                block = []
-            if g != gram or (s, lo, hi) != last:
-                block.append((s, lo, hi, []))
-            block[-1][3].append((i, c, np.frombuffer(p, np.int64)))
-            gram, last = g, (s, lo, hi)
-    if block:
-        yield block
+        gram = b.column("gram").to_numpy(zero_copy_only=False)
+        total = np.cumsum(pc.binary_length(b.column("places")).to_numpy(zero_copy_only=False).astype(np.int64) // 8)
+        at, before = 0, -n  # before the first row of the block, by `total`
+        for s in np.flatnonzero(np.diff(gram, prepend=gram[:1] if last is None else last)).tolist():
+            so_far = int(total[s - 1]) if s else 0
+            if so_far - before >= BLOCK:
+                yield pa.Table.from_batches([*held, b.slice(at, s - at)])
+                held, at, before = [], s, so_far
+        if len(gram):
+            held.append(b.slice(at))
+            n, last = int(total[-1]) - before, gram[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column one after the other, and each one's length."""
+    c = pa.concat_arrays(column.cast(pa.binary()).chunks)
+    size = pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.frombuffer(c.buffers()[1], np.int32)[c.offset]
+    return np.frombuffer(c.buffers()[2] or b"", np.uint8)[start:start + size.sum()], size
 
 
 def _runs(flags: np.ndarray):
-    """Starts and ends of the runs of true."""
-    d = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
+    """Row, start and end of the runs of true in each row."""
+    d = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(d == 1)
+    return row, start, np.nonzero(d == -1)[1]
+
+
+def _ranked_block(block: pa.Table, length: int):
+    """Runs of repeated bytes in the documents of a block, some at a time."""
+    side = length - GRAM
+    x = _bytes(block["stretch"])[0].reshape(block.num_rows, 2 * side + GRAM)
+    flat, size = _bytes(block["places"])
+    flat, size = flat.view(np.int64), size // 8
+    gram, low, high, i, c = (block[k].to_numpy() for k in ("gram", "low", "high", *_KEY))
+    # equal stretches are neighbours, and ranked once
+    new = np.ones(len(gram), bool)
+    new[1:] = (np.diff(gram) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)
+    wide = x.view(np.uint64)
+    for s in range(1, len(x), BLOCK):
+        new[s:s + BLOCK] |= (wide[s:s + BLOCK] != wide[s - 1:s - 1 + len(wide[s:s + BLOCK])]).any(axis=1)
+    head = np.flatnonzero(new)
+    count = np.add.reduceat(size, head)
+    flags = repeated(x[head], count, low[head].astype(np.int64), high[head].astype(np.int64), length)
+    one, a, e = _runs(flags)
+    row = np.repeat(np.arange(len(size)), size)  # of each place
+    begin = np.cumsum(count) - count
+    # every run at every place of its stretch, in parts of whole runs
+    done = np.cumsum(count[one])
+    at = 0
+    while at < len(one):
+        to = max(at + 1, int(np.searchsorted(done, done[at] - count[one[at]] + RUNS, side="right")))
+        n = count[one[at:to]]
+        run = np.repeat(np.arange(at, to), n)
+        p = np.arange(len(run)) + np.repeat(begin[one[at:to]] - (np.cumsum(n) - n), n)
+        r, place = row[p], flat[p]
+        # runs of equal length in a document that touch are one
+        first = np.ones(len(run), bool)
+        first[1:] = (np.diff(run) != 0) | (np.diff(r) != 0) | (np.diff(place) > (e - 1 - a + length)[run[1:]])
+        s = np.flatnonzero(first)
+        t = np.append(s[1:], len(run)) - 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v) for v in (i[r[s]], c[r[s]], place[s] - side + a[run[s]], place[t] - side + e[run[s]] - 1 + length)],
+            [*_KEY, "first", "stop"])
+        at = to
 
 
 def _table(rows, names, types):
@@ -220,64 +275,51 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     places = written(found.join(often, "gram").groupBy(*_KEY).agg(
         F.collect_set(F.struct("place", "times", "gram", "n")).alias("places")), "places")
 
-    def stretches(some):
+    def stretches(batches):
         """A row per document, gram and stretch: the bytes around the gram, the
         valid starts, and all the gram's places in the document with just these."""
-        def run(batches):
-            for b in batches:
-                out = []
-                for i, c, t, p in zip(*(b.column(k).to_pylist() for k in (*_KEY, "text", "places"))):
-                    t = t.encode()
-                    size, edge, again = len(t), b"\x00" * side, None
-                    wide = edge + t + edge
-                    for x in p:
-                        ats = [x["place"]]
-                        if x["times"] > 1:
-                            if again is None:
-                                at, h = _doc_anchors(t, length)
-                                order = np.argsort(h, kind="stable")
-                                again = at[order], h[order].view(np.int64)
-                                low, high = (np.searchsorted(h[order], np.array([y["gram"] for y in p], np.int64).view(np.uint64), s)
-                                             for s in ("left", "right"))
-                                range_of = {y["gram"]: (a, e) for y, a, e in zip(p, low.tolist(), high.tolist())}
-                            a, e = range_of[x["gram"]]
-                            ats = again[0][a:e].tolist()
-                        alike: dict = {}
-                        for at in ats:
-                            alike.setdefault((wide[at:at + 2 * side + GRAM], max(0, side - at),
-                                              min(side, side + size - length - at) + 1), []).append(at)
-                        for (s, lo, hi), where in alike.items():
-                            out.append((x["gram"], i, c, np.array(where, np.int64).tobytes(), s, lo, hi))
-                        if len(out) >= 2_000:
-                            yield _table(out, names, types)
-                            out = []
-                if out:
-                    yield _table(out, names, types)
-        names = ["gram", *_KEY, "places", "stretch", "low", "high"]
-        types = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int32()] * 2
+        for b in (part for whole in batches for part in byte_slices(whole, "text", SLICE)):
+            out = []
+            for i, c, t, p in zip(*(b.column(k).to_pylist() for k in _KEY), text_bytes(b, "text"), b.column("places")):
+                p = p.as_py()
+                size, edge, again = len(t), b"\x00" * side, None
+                wide = edge + t + edge
+                for x in p:
+                    ats = [x["place"]]
+                    if x["times"] > 1:
+                        if again is None:
+                            at, h = _doc_anchors(t, length)
+                            order = np.argsort(h, kind="stable")
+                            again = at[order], h[order].view(np.int64)
+                            low, high = (np.searchsorted(h[order], np.array([y["gram"] for y in p], np.int64).view(np.uint64), s)
+                                         for s in ("left", "right"))
+                            range_of = {y["gram"]: (a, e) for y, a, e in zip(p, low.tolist(), high.tolist())}
+                        a, e = range_of[x["gram"]]
+                        ats = again[0][a:e].tolist()
+                    alike: dict = {}
+                    for at in ats:
+                        alike.setdefault((wide[at:at + 2 * side + GRAM], max(0, side - at),
+                                          min(side, side + size - length - at) + 1), []).append(at)
+                    for (s, lo, hi), where in alike.items():
+                        out.append((x["gram"], i, c, np.array(where, np.int64).tobytes(), s, lo, hi))
+                    if len(out) >= 2_000:
+                        yield _table(out, names, types)
+                        out = []
+            if out:
+                yield _table(out, names, types)
+    names = ["gram", *_KEY, "places", "stretch", "low", "high"]
+    types = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int32()] * 2
+
+    def beside(some):
         # doc_id goes along, so that this shuffle of the texts also serves the last join
-        return rows.join(some, _KEY).select("doc_id", "text", *_KEY, "places").mapInArrow(
-            run, "gram long, high64 long, low64 long, places binary, stretch binary, low int, high int")
+        return rows.join(some, _KEY).select("doc_id", "text", *_KEY, "places")
 
     def ranked(batches):
         for block in _blocks(batches):
-            x = np.frombuffer(b"".join(r[0] for r in block), np.uint8).reshape(len(block), 2 * side + GRAM)
-            low, high, count = (np.fromiter(v, np.int64, len(block)) for v in (
-                (r[1] for r in block), (r[2] for r in block), (sum(len(p) for _, _, p in r[3]) for r in block)))
-            out = []
-            for (_, _, _, who), f in zip(block, repeated(x, count, low, high, length)):
-                first, end = _runs(f)
-                for a, e in zip(first.tolist(), end.tolist()):
-                    for i, c, at in who:
-                        at = at if len(at) == 1 else np.sort(at)
-                        # runs of equal length that touch are one
-                        new = np.flatnonzero(np.diff(at, prepend=at[0] - 4 * length) > e - 1 - a + length)
-                        last = np.append(new[1:], len(at)) - 1
-                        out += [(i, c, x - side + a, y - side + e - 1 + length) for x, y in zip(at[new].tolist(), at[last].tolist())]
-            yield _table(out, [*_KEY, "first", "stop"], [pa.int64()] * 4)
+            yield from _ranked_block(block, length)
 
     def named(batches):
-        for b in batches:
+        for b in stretches(batches):  # in the same worker: a second one per task would double their memory
             for i, c, ats, s, lo, hi in zip(*(b.column(k).to_pylist() for k in (*_KEY, "places", "stretch", "low", "high"))):
                 lo, hi = own_starts(s, side, lo, hi)
                 named = [(hashlib.blake2b(s[o:o + length], digest_size=16).digest(), o) for o in range(lo, hi)]
@@ -286,12 +328,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
                                  ["name", *_KEY, "first"], [pa.binary()] + [pa.int64()] * 3)
 
     cold = places.select(*_KEY, F.filter("places", lambda x: x["n"] <= hot).alias("places")).where(F.size("places") > 0)
-    runs = stretches(cold).repartition("gram").sortWithinPartitions("gram", "stretch", "low", "high").mapInArrow(
+    around = beside(cold).mapInArrow(
+        stretches, "gram long, high64 long, low64 long, places binary, stretch binary, low int, high int")
+    runs = around.repartition("gram").sortWithinPartitions("gram", "stretch", "low", "high").mapInArrow(
         ranked, "high64 long, low64 long, first long, stop long")
     warm = places.select(*_KEY, F.filter("places", lambda x: x["n"] > hot).alias("places")).where(F.size("places") > 0)
     if warm.isEmpty():
         return runs
-    each = stretches(warm).mapInArrow(_joined(named), "name binary, high64 long, low64 long, first long")
+    each = beside(warm).mapInArrow(_joined(named), "name binary, high64 long, low64 long, first long")
     twice = each.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
     return runs.unionByName(each.join(twice, "name").select(*_KEY, "first", (F.col("first") + length).alias("stop")))
 
@@ -302,11 +346,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     spans = repeats(docs, length, hot).groupBy(*_KEY).agg(F.collect_set(F.struct("first", "stop")).alias("found"))
 
     def cut(batches):
-        for b in batches:
-            out, held = [], 0
-            for d, t, found in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "found"))):
-                t, runs = t.encode(), []
-                for a, e in sorted((x["first"], x["stop"]) for x in found or ()):
+        for b in (part for whole in batches for part in byte_slices(whole, "text", SLICE)):
+            out = []
+            for d, t, found in zip(b.column("doc_id").to_pylist(), text_bytes(b, "text"), b.column("found")):
+                runs = []
+                for a, e in sorted((x["first"], x["stop"]) for x in found.as_py() or ()):
                     if runs and a <= runs[-1][1]:
                         runs[-1][1] = max(e, runs[-1][1])
                     else:
@@ -316,10 +360,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                     parts.append(t[at:a])
                     at = e
                 out.append((d, len(t), [{"first": a, "stop": e} for a, e in runs], b"".join([*parts, t[at:]])))
-                held += len(t)
-                if held > 8 << 20:
-                    yield _table(out, names, types)
-                    out, held = [], 0
             yield _table(out, names, types)
     names = ["doc_id", "n_bytes", "spans", "kept"]
     types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())])), pa.binary()]

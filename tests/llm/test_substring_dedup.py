@@ -1,8 +1,13 @@
 """Removed bytes against a brute-force table of all strings."""
 
+import gc
 import random
+import re
+import tracemalloc
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from shoplens.llm import substring_dedup as S
@@ -115,3 +120,44 @@ def test_texts_are_shuffled_once(spark, docs_of, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     final = plan.split("Initial Plan")[0]
     assert "ReusedExchange" in final and final.count("FileScan parquet [doc_id") == 1
+
+
+def test_ranking_keeps_no_block():
+    """A block's ranks are gone when it is done, without a run of the garbage collector."""
+    rng = np.random.default_rng(4)
+    n, width = 3_000, 2 * S.LENGTH - S.GRAM
+    x = rng.integers(97, 101, (n, width)).astype(np.uint8)
+    one, low, high = np.ones(n, np.int64), np.zeros(n, np.int64), np.full(n, 3)
+    S.repeated(x[:2], one[:2], low[:2], high[:2], S.LENGTH)
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        out = S.repeated(x, one, low, high, S.LENGTH)
+        held, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert held < out.nbytes + 100_000
+    assert most < 1_000 * n
+
+
+def test_blocks_end_by_places():
+    """Rows of many places each end a block, too, and grams stay whole."""
+    rows = [(g, np.arange(k, dtype=np.int64).tobytes()) for g, k in [(1, 5), (1, 15_000), (2, 9_000), (3, 1), (3, 30_000), (3, 2), (4, 1), (5, 1)]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([g for g, _ in part], pa.int64()), pa.array([p for _, p in part], pa.binary())],
+                                          ["gram", "places"]) for part in (rows[:1], rows[1:5], [], rows[5:7], rows[7:])]
+    got = [[(r["gram"], r["places"]) for r in b.to_pylist()] for b in S._blocks(batches)]
+    assert got == [rows[:3], rows[3:6], rows[6:]]
+
+
+def test_one_python_worker_per_task(docs_of):
+    """No stage passes rows from one Python function straight to another."""
+    rng = random.Random(5)
+    out = S.remove_repeats(docs_of(enumerate(corpus(rng, 20))), hot=1)
+    out.collect()
+    lines = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    assert any("MapInArrow" in x for x in lines)
+    nodes = [re.sub(r"^[\s:|+*()\d-]*", "", x).split(" ")[0] for x in lines]
+    nodes = [x for x in nodes if x not in ("Project", "Filter", "")]
+    assert ("MapInArrow", "MapInArrow") not in set(zip(nodes, nodes[1:]))
